@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding
+from . import exact_dedup, license_scan, secret_scan, sharding
 
 
 def queries() -> dict:
     return {
+        "op2_secret_scan": secret_scan.query,
+        "op4_license_scan": license_scan.query,
         "op6_sharding": sharding.query,
         "op10_exact_dedup": exact_dedup.query,
     }
