@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, secret_scan, sharding
+from . import exact_dedup, imatch, license_scan, secret_scan, sharding
 
 
 def queries() -> dict:
     return {
         "op2_secret_scan": secret_scan.query,
         "op4_license_scan": license_scan.query,
+        "op5_imatch": imatch.query,
         "op6_sharding": sharding.query,
         "op10_exact_dedup": exact_dedup.query,
     }
