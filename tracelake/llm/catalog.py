@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, imatch, license_scan, secret_scan, sharding
+from . import exact_dedup, imatch, license_scan, near_dedup, secret_scan, sharding
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_license_scan": license_scan.query,
         "op5_imatch": imatch.query,
         "op6_sharding": sharding.query,
+        "op7_near_dedup": near_dedup.query,
         "op10_exact_dedup": exact_dedup.query,
     }
 
