@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, imatch, license_scan, near_dedup, secret_scan, sharding
+from . import byte_bpe, exact_dedup, imatch, license_scan, near_dedup, packing, secret_scan, sharding
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "op5_imatch": imatch.query,
         "op6_sharding": sharding.query,
         "op7_near_dedup": near_dedup.query,
+        "op8_packing": packing.query,
+        "op9_byte_bpe": byte_bpe.query,
         "op10_exact_dedup": exact_dedup.query,
     }
 
