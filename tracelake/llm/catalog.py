@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, imatch, license_scan, near_dedup, packing, secret_scan, sharding
+from . import byte_bpe, exact_dedup, imatch, license_scan, near_dedup, packing, secret_scan, sharding, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.query,
         "op2_secret_scan": secret_scan.query,
         "op4_license_scan": license_scan.query,
         "op5_imatch": imatch.query,
