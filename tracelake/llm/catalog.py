@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, imatch, license_scan, near_dedup, packing, secret_scan, sharding, toxicity
+from . import byte_bpe, exact_dedup, html_text, imatch, license_scan, near_dedup, packing, secret_scan, sharding, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.query,
         "op2_secret_scan": secret_scan.query,
+        "op3_html_text": html_text.query,
         "op4_license_scan": license_scan.query,
         "op5_imatch": imatch.query,
         "op6_sharding": sharding.query,

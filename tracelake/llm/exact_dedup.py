@@ -97,9 +97,10 @@ def _with_kept(groups: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns; one row where the row that stays is itself repeated."""
-    kept = exact_groups(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The rows of `docs` that stay, with all their columns; one row of those that repeat it."""
+    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    stays = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    return stays.withColumn("_text", normalised(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_text"]).drop("_text")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -65,13 +65,8 @@ def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     return bins.join(other, near, "left_semi").drop("bin")
 
 
-def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """A row for each document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked.
-
-    spans has all base spans, and of the weak parts (`linked_secret`, `linked_id`, `linked_endpoint`) those with a complement
-    within `scope`; a weak part inside a base span is that span. Null and empty texts have no spans, equal texts have equal ones, repeated rows
-    each return, and a null doc_id is carried along. Other columns are ignored; an empty table gives no rows.
-    """
+def marked(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """text_key, base and more: the base spans and the linked parts of each row's text; repeated rows each return, with doc_id."""
     text = F.col("text")
     base = F.array_sort(F.concat(found(text, ASSIGN, 0, "assign", 2, 6), found(text, ACCESS, 1, "access", 0, 20), found(text, HEX, 2, "hex")))
     has = lambda p: text.rlike(p)
@@ -79,8 +74,7 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         has(WEAK_SECRET) | has(IDENTIFIER) | has(ENDPOINT),
         F.concat(found(text, WEAK_SECRET, 3, "linked_secret"), found(text, IDENTIFIER, 4, "linked_id"), found(text, ENDPOINT, 5, "linked_endpoint")),
     ).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
-    spans = texts(docs).select("doc_id", F.md5("text").alias("text_key"), base.alias("base"), weak.alias("weak"))
-    spans = written(spans)
+    spans = written(texts(docs).select("doc_id", F.md5("text").alias("text_key"), base.alias("base"), weak.alias("weak")))
 
     # Only texts with a weak part enter, each text once; base spans are strong complements of them.
     rows = spans.where("size(weak) > 0").dropDuplicates(["text_key"])
@@ -89,15 +83,43 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     rows = rows.where((F.col("p.rank") < 3) | ~inside)
     parts = rows.select("text_key", "p.*", F.col("p.kind").isin("assign", "hex", "linked_secret").alias("secret"))
     more = linked(parts, scope).where("rank >= 3").groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias("more"))
-
     out = spans.select("doc_id", "text_key", "base").join(more, "text_key", "left")
-    more_or_none = F.coalesce("more", F.expr(f"cast(array() as array<{SPAN}>)"))
+    return out.withColumn("more", F.coalesce("more", F.expr(f"cast(array() as array<{SPAN}>)")))
+
+
+def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """A row for each document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked.
+
+    spans has all base spans, and of the weak parts (`linked_secret`, `linked_id`, `linked_endpoint`) those with a complement
+    within `scope`; a weak part inside a base span is that span. Null and empty texts have no spans, equal texts have equal ones, repeated rows
+    each return, and a null doc_id is carried along. Other columns are ignored; an empty table gives no rows.
+    """
     of = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return out.select(
+    return marked(docs, scope).select(
         "doc_id", *map(of, KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
-        joined(F.array_sort(F.concat("base", more_or_none))).alias("spans"), F.size(more_or_none).cast("long").alias("n_linked"),
+        joined(F.array_sort(F.concat("base", "more"))).alias("spans"), F.size("more").cast("long").alias("n_linked"),
     )
 
 
+def masked(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """The rows of `docs`, with all their columns; each span of a secret gives way to its kind in angle brackets, overlapping ones to the first.
+
+    Texts without spans, and null ones, stay as they are; a text with spans is found by its digest, and equal texts share its spans.
+    """
+    hit = marked(docs, scope).where("size(base) + size(more) > 0").select("text_key", F.array_sort(F.concat("base", "more")).alias("_spans")).dropDuplicates(["text_key"])
+    hit = hit.withColumnRenamed("text_key", "_text_key")
+    hit = written(hit)
+    zero = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+        next_ = F.struct(F.concat(acc["out"], gap, F.lit("<"), s["kind"], F.lit(">")).alias("out"), s["end"].alias("at"))
+        return F.when(s["start"] >= acc["at"], next_).otherwise(acc)
+
+    done = F.aggregate(F.col("_spans"), zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.char_length("text"))))
+    key = F.when(F.col("text").isNotNull(), F.md5("text"))
+    return docs.withColumn("_text_key", key).join(hit, "_text_key", "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(done)).select(*docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir))

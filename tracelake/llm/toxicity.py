@@ -348,6 +348,20 @@ def summaries(rows: pd.DataFrame, model: Model, known: dict[str, float]) -> np.n
     return summary(first, second, hits, np.diff(ends))
 
 
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose texts score below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        known: dict[str, float] = {}
+        for batch in batches:
+            text = pd.DataFrame({"text": batch.column("text").fill_null("").to_pandas()})
+            parts = [shared.value.probability(summaries(rows, shared.value, known)) < threshold for rows in sliced(text)]
+            yield batch.filter(pa.array(np.concatenate(parts))) if parts else batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """A row for each document: doc_id, held_out, score, predicted.
 
