@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, texts, written
+from .ragged import sliced
 
 WORDS = 5
 SKETCH = 64
@@ -89,15 +90,11 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
         import hashlib
 
         for batch in batches:
-            sets = shingle_sets(batch["text"], words)
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "n": [len(s) for s in sets],
-                    "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
-                    "sketch": [s[:SKETCH].view(np.int64) for s in sets],
-                }
-            )
+            for rows in sliced(batch):
+                sets = shingle_sets(rows["text"], words)
+                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                least = [s[:SKETCH].view(np.int64).copy() for s in sets]
+                yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "n": [len(s) for s in sets], "set_key": keys, "sketch": least})
 
     return docs.mapInPandas(run, "doc_id long, n long, set_key binary, sketch array<long>")
 
@@ -141,23 +138,18 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> Da
 
     def build(batches):
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "values": [s.view(np.int64) for s in shingle_sets(batch["text"], words)]})
+            for rows in sliced(batch):
+                sets = shingle_sets(rows["text"], words)
+                yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "values": [s.view(np.int64) for s in sets]})
 
     # Rows that repeat a doc_id with other texts are one document with several sets, each of which can confirm a pair.
     sets = docs.join(ids, "doc_id", "left_semi").mapInPandas(build, "doc_id long, values array<long>")
     sets = written(sets.withColumn("of", F.xxhash64("values")).dropDuplicates(["doc_id", "of"]).drop("of"))
-
-    def compare(batches):
-        for batch in batches:
-            good = []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.loc[good, ["a", "b"]]
-
     left = sets.select(F.col("doc_id").alias("a"), F.col("values").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("values").alias("y"))
-    return pairs.join(left, "a").join(right, "b").mapInPandas(compare, "a long, b long")
+    common = F.size(F.array_intersect("x", "y"))
+    alike = common * 100 >= percent * (F.size("x") + F.size("y") - common)
+    return pairs.join(left, "a").join(right, "b").where(alike).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
