@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from tracelake.operators import aggregates, joins, listing, traverse
+
+MODULES: tuple = (listing, aggregates, joins, traverse)
 FLAGSHIP = "screen_impact"
 
 
