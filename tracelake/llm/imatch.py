@@ -72,20 +72,43 @@ def document_frequency(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(term_hashes(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once; inside a lambda, an outer expression would be computed again for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def in_cells(terms: Column, cells: Column) -> Column:
+    return F.filter(terms, lambda t: F.pmod(t, cells) < CELLS)
+
+
+def cells_of(level: Column) -> Column:
+    return F.pow(F.lit(2.0), level).cast("long")
+
+
 def sampled(terms: Column) -> Column:
-    """The terms that any of a document's subsets can hold."""
-    level = F.greatest(F.lit(5), F.ceil(F.log2(F.greatest(F.size(terms), F.lit(1)))).cast("int"))
-    cells = F.pow(F.lit(2.0), level).cast("long")
-    return F.struct(level.alias("level"), F.filter(terms, lambda t: F.pmod(t, cells) < CELLS).alias("terms"))
+    """The level for so many terms, and the terms that any of the document's subsets can hold."""
+
+    def at(ts: Column) -> Column:
+        level = F.greatest(F.lit(5), F.ceil(F.log2(F.greatest(F.size(ts), F.lit(1)))).cast("int"))
+        pick = lambda x: F.struct(x["level"].alias("level"), in_cells(ts, x["cells"]).alias("terms"))
+        return let(F.struct(level.alias("level"), cells_of(level).alias("cells")), pick)
+
+    return let(terms, at)
 
 
 def fingerprint(level: Column, terms: Column) -> Column:
     """Tokens level.cell.hash for each subset that holds terms; terms are sorted, and their list is hashed."""
-    def at(lv: Column) -> Column:
-        cells = F.pow(F.lit(2.0), lv).cast("long")
-        here = F.filter(terms, lambda t: F.pmod(t, cells) < CELLS)
+
+    def token(lv: Column, here: Column, cells: Column, cell: Column) -> Column:
+        digest = F.hex(F.xxhash64(F.filter(here, lambda t: F.pmod(t, cells) == cell)))
+        return F.concat_ws(".", lv.cast("string"), cell.cast("string"), F.lpad(digest, 16, "0"))
+
+    def tokens(lv: Column, cells: Column, here: Column) -> Column:
         of = F.array_distinct(F.transform(here, lambda t: F.pmod(t, cells)))
-        return F.transform(of, lambda c: F.concat_ws(".", lv.cast("string"), c.cast("string"), F.lpad(F.hex(F.xxhash64(F.filter(here, lambda t: F.pmod(t, cells) == c))), 16, "0")))
+        return F.transform(of, lambda cell: token(lv, here, cells, cell))
+
+    def at(lv: Column) -> Column:
+        return let(cells_of(lv), lambda cells: let(in_cells(terms, cells), lambda here: tokens(lv, cells, here)))
 
     return F.array_sort(F.flatten(F.transform(F.sequence(level, F.greatest(level, F.lit(LEVELS))), at)))
 
