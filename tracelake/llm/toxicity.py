@@ -27,8 +27,8 @@ from .common import texts, written
 from .ragged import sliced
 
 #: The documented bound of the training sample: labelled documents of each label, taken by hash, of at most so many characters.
-TRAIN_DOCS = 2000
-TRAIN_CHARS = 20_000
+TRAIN_DOCS = 1500
+TRAIN_CHARS = 10_000
 DECAY = 0.6
 LONGEST = 24  # characters of a word that are compared; longer ones are compared in overlapping windows
 LOW = -2.0  # margin of a word without characters
@@ -207,23 +207,27 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Model:
     of the sample have.
     """
     rng = np.random.default_rng(seed)
-    bags = [(sorted({w for s in SENTENCE.split(text) for w in windows(chunks_of(s))}), label) for text, label in rows]
-    toxic, clean = {}, {}
+    one: dict[str, str] = {}
+    once = lambda w: one.setdefault(w, w)  # noqa: E731  equal words of different texts share their memory
+    bags = [([once(w) for w in sorted({w for s in SENTENCE.split(text) for w in windows(chunks_of(s))})], label) for text, label in rows]
+    clean: dict[str, int] = {}
     for words, label in bags:
-        of = toxic if label else clean
-        for w in words:
-            of[w] = of.get(w, 0) + 1
+        for w in () if label else words:
+            clean[w] = clean.get(w, 0) + 1
     n_toxic, n_clean = sum(label for _, label in bags), sum(1 - label for _, label in bags)
     if not n_toxic or not n_clean:
         return Model(np.zeros(ALPHABET**3, np.float32), -1.0, np.r_[-4.0 if not n_toxic else 4.0, np.zeros(5)])
-    bag_grams = [({g for w in words for g in grams(w)}, label) for words, label in bags]
-    with_gram = ({}, {})
-    for found, label in bag_grams:
-        of = with_gram[label]
-        for g in found:
-            of[g] = of.get(g, 0) + 1
+    in_toxic: dict[str, int] = {}
+    for words, label in bags:
+        for g in {g for w in words for g in grams(w)} if label else ():
+            in_toxic[g] = in_toxic.get(g, 0) + 1
+    in_toxic = {g: n for g, n in in_toxic.items() if n >= 4}
+    in_clean = dict.fromkeys(in_toxic, 0)
+    for words, label in bags:
+        for g in {g for w in words for g in grams(w) if g in in_clean} if not label else ():
+            in_clean[g] += 1
     # A copied passage repeats its grams as well, but always beside the same words.
-    beside: dict[str, set] = {g: set() for g, n in with_gram[1].items() if n >= 4 and n / n_toxic > 10 * (with_gram[0].get(g, 0) + 0.5) / n_clean}
+    beside: dict[str, set] = {g: set() for g, n in in_toxic.items() if n / n_toxic > 10 * (in_clean[g] + 0.5) / n_clean}
     for text, label in rows:
         for s in SENTENCE.split(text) if label else ():
             words = chunks_of(s)
@@ -231,8 +235,8 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Model:
                 for g in grams(w):
                     if g in beside and len(beside[g]) < 64:
                         beside[g].add((*words[max(0, k - 1) : k], *words[k + 1 : k + 2]))
-    excess = lambda g: with_gram[1][g] - 20 * with_gram[0].get(g, 0) * n_toxic / n_clean
-    telling = {g: excess(g) for g, contexts in beside.items() if excess(g) > 2 and len(contexts) > 0.6 * min(64, with_gram[1][g])}
+    excess = lambda g: in_toxic[g] - 20 * in_clean[g] * n_toxic / n_clean
+    telling = {g: excess(g) for g, contexts in beside.items() if excess(g) > 2 and len(contexts) > 0.6 * min(64, in_toxic[g])}
     # In each toxic document, the words with its most telling gram; each is a positive example.
     positive: dict[str, int] = {}
     for words, label in bags:
@@ -254,7 +258,7 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Model:
     gram = (base @ base.T).astype(np.float64)
     value, vector = np.linalg.eigh(gram + 1e-6 * np.eye(len(gram)))
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-6))) @ vector.T
-    fold = lambda ws: np.vstack([vectors(ws[k : k + 400]) @ base.T for k in range(0, len(ws), 400)]) @ root
+    fold = lambda ws: np.vstack([vectors(ws[k : k + 100]) @ base.T for k in range(0, len(ws), 100)]) @ root
     x_yes = fold(words)
     x_no = fold(no)
     for _ in range(4):
@@ -268,8 +272,9 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Model:
         if not more:
             break
         no, x_no = no + more, np.vstack([x_no, fold(more)])
-    frame = pd.DataFrame({"text": [text for text, _ in rows]})
-    model.of_text = fitted(summaries(frame, model, {}), np.array([label for _, label in rows], float))
+    known: dict[str, float] = {}
+    parts = [summaries(pd.DataFrame({"text": [text for text, _ in rows[k : k + 200]]}), model, known) for k in range(0, len(rows), 200)]
+    model.of_text = fitted(np.vstack(parts), np.array([label for _, label in rows], float))
     return model
 
 
