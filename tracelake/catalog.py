@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracelake.operators import aggregates, joins, listing, traverse
+from tracelake.operators import aggregates, diff, joins, listing, merge, search, traverse
 
-MODULES: tuple = (listing, aggregates, joins, traverse)
+MODULES: tuple = (listing, aggregates, joins, traverse, merge, diff, search)
 FLAGSHIP = "screen_impact"
 
 
