@@ -2,66 +2,114 @@
 
 Documents start in shards dealt by rank, so counts are at most one apart. In each round a document asks
 for the shard in which most of its neighbours (documents of equal text) are, if those are more than in its own.
-Moves are granted as exchanges: what goes from one shard to another comes back as as many documents
-that ask for the opposite move, or that have no links. So every round leaves the sizes as they are.
+Moves are granted in cycles of shards, each of which gives as many documents as it takes, and as exchanges against
+documents without links or groups that move as a whole. So every round leaves the sizes as they are.
 Neighbours meet at their group, never in pairs: an edge count is a count by group and shard.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import CELL_ROWS, documents, ranked, written
 
 SHARDS = 24
-ROUNDS = 8
+ROUNDS = 12
+#: What documents want that may go anywhere: those without links, and those of groups that are whole in their shard and move as such.
+ALONE, TOGETHER = -1, -2
 
 
-def granted(asked: dict[tuple[int, int], int], free: dict[int, int]) -> list[tuple[int, int, int, int, int]]:
+def circulation(asked: dict[tuple[int, int], int]) -> dict[tuple[int, int], int]:
+    """What of the asked moves can go round in cycles, so that every shard gives as much as it takes; the largest demands first.
+
+    Each cycle uses up one demand at least, so there are at most as many cycles as pairs of shards.
+    """
+    left, given = dict(asked), {}
+    while True:
+        path, seen, dead = [], {}, set()
+        out: dict[int, list[tuple[int, int]]] = {}
+        for (i, j), n in left.items():
+            if n and i != j:
+                out.setdefault(i, []).append((n, j))
+        for moves in out.values():
+            moves.sort(key=lambda x: (x[0], -x[1]))
+        cycle = None
+        for start in sorted(out):
+            path, seen = [start], {start: 0}
+            while path and cycle is None:
+                moves = out.get(path[-1], [])
+                if not moves or path[-1] in dead:
+                    dead.add(path[-1])
+                    del seen[path.pop()]
+                    if path:
+                        out[path[-1]].pop()
+                    continue
+                step = moves[-1][1]
+                if step in dead:
+                    moves.pop()
+                elif step in seen:
+                    cycle = path[seen[step] :]
+                else:
+                    seen[step] = len(path)
+                    path.append(step)
+            if cycle:
+                break
+        if not cycle:
+            return given
+        pairs = list(zip(cycle, cycle[1:] + cycle[:1], strict=True))
+        n = min(left[p] for p in pairs)
+        for p in pairs:
+            left[p] -= n
+            given[p] = given.get(p, 0) + n
+
+
+def granted(asked: dict[tuple[int, int], int], free: dict[tuple[int, int], int]) -> list[tuple[int, int, int, int, int]]:
     """Rows (from, wants, low, high, to): ranks low to high - 1 of those in shard `from` that want `wants` go to `to`.
 
-    asked: documents in shard i that want shard j; free: documents without links in each shard, which want -1.
-    Both are bounded by the square of the number of shards.
+    asked: documents in shard i that want shard j; free: those in shard i that go anywhere, ALONE or with their whole group, TOGETHER.
+    Opposite moves and cycles are granted first, then moves against free documents. Both tables are bounded by the square of the number of shards.
     """
-    left, used, rows = dict(free), dict.fromkeys(free, 0), []
-    for (i, j), n in sorted(asked.items(), key=lambda x: (-x[1], x[0])):
-        both = min(n, asked.get((j, i), 0))
-        more = min(n - both, left.get(j, 0))
-        if both + more:
-            rows.append((i, j, 0, both + more, j))
-        if more:
-            rows.append((j, -1, used[j], used[j] + more, i))
-            left[j] -= more
-            used[j] += more
-    return rows
+    given = circulation(asked)
+    used, rows = dict.fromkeys(free, 0), []
+    for kind in (ALONE, TOGETHER):
+        for (i, j), n in sorted(asked.items(), key=lambda x: (-x[1], x[0])):
+            back = min(n - given.get((i, j), 0), free.get((j, kind), 0) - used.get((j, kind), 0))
+            if back > 0:
+                at = used[j, kind]
+                rows.append((j, kind, at, at + back, i))
+                used[j, kind] += back
+                given[i, j] = given.get((i, j), 0) + back
+    return [(i, j, 0, n, j) for (i, j), n in sorted(given.items()) if n] + rows
 
 
 def propagate(state: DataFrame, shards: int, rounds: int, rows: int) -> DataFrame:
     """state: doc_id, gid and linked (rows of the text, both null without links) and shard, besides other columns.
 
-    Returns it with the shards of the last round. A text that fills a shard alone asks for the next best one.
+    Returns it with the shards of the last round. A text of more rows than a shard holds keeps as many shards as it needs, those where most of it is.
     """
     spark, capacity = state.sparkSession, max(1, rows // shards)
     # A text is ranked as one unit, unless it is larger than a cell.
     part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("linked") / CELL_ROWS))
     unit = F.when(F.col("gid").isNull(), F.xxhash64("doc_id", "text_crc32")).otherwise(F.xxhash64("gid", part))
     for _ in range(rounds):
-        votes = state.where("gid is not null").groupBy("gid", "shard").agg(F.count(F.lit(1)).alias("n"))
-        best = Window.partitionBy("gid").orderBy((F.col("n") >= capacity).asc(), F.desc("n"), F.xxhash64("gid", "shard"))
-        votes = votes.select("gid", "shard", "n", F.first("shard").over(best).alias("aim"), F.first("n").over(best).alias("most"))
-        aims = votes.where((F.col("n") < capacity) & (F.col("most") < capacity) & (F.col("shard") != F.col("aim")))
-        wants = F.when(F.col("gid").isNull(), -1).otherwise(F.col("aim")).cast("int")
-        asking = state.join(aims.select("gid", "shard", "aim"), ["gid", "shard"], "left").withColumn("wants", wants).drop("aim")
+        votes = state.where("gid is not null").groupBy("gid", "shard").agg(F.count(F.lit(1)).alias("n"), F.first("linked").alias("linked"))
+        most = F.greatest(F.lit(1), F.ceil(F.max("linked") / capacity)).cast("int")
+        order = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("fewer"), F.xxhash64("gid", "shard").alias("h"), "shard")))
+        tops = votes.groupBy("gid").agg(F.slice(order, 1, most).alias("tops"), F.count(F.lit(1)).alias("spread"))
+        aims = tops.select("gid", "spread", F.col("tops.shard").alias("keep"), F.filter("tops", lambda t: -t["fewer"] < capacity)["shard"].alias("open"))
+        aim = F.when(F.size("open") > 0, F.element_at("open", (F.pmod(F.xxhash64("doc_id"), F.size("open")) + 1).cast("int")))
+        inside = F.when(F.col("spread") == 1, TOGETHER)
+        wants = F.when(F.col("gid").isNull(), ALONE).when(F.array_contains("keep", F.col("shard")), inside).otherwise(aim).cast("int")
+        asking = state.join(aims, "gid", "left").withColumn("wants", wants).select(*state.columns, "wants")
         asking = written(asking)
-        found = asking.where("wants is not null").groupBy("shard", "wants").agg(F.count(F.lit(1)).alias("n")).collect()  # at most shards * (shards + 1) rows
+        found = asking.where("wants is not null").groupBy("shard", "wants").agg(F.count(F.lit(1)).alias("n")).collect()  # at most shards * (shards + 2) rows
         asked = {(r.shard, r.wants): r.n for r in found if r.wants >= 0}
-        free = dict.fromkeys(range(shards), 0) | {r.shard: r.n for r in found if r.wants < 0}
-        moves = granted(asked, free)
+        moves = granted(asked, {(r.shard, r.wants): r.n for r in found if r.wants < 0})
         if not moves:
             return asking.drop("wants")
         movers = ranked(asking.where("wants is not null"), ["shard", "wants"], [F.col("gid"), F.col("doc_id"), F.col("text_crc32")], unit, "place", rows)
-        table = F.broadcast(spark.createDataFrame(moves, "at int, aim int, low long, high long, goes int"))  # at most 2 * shards * shards rows
+        table = F.broadcast(spark.createDataFrame(moves, "at int, aim int, low long, high long, goes int"))  # at most 3 * shards * shards rows
         fits = (F.col("shard") == F.col("at")) & (F.col("wants") == F.col("aim")) & (F.col("place") >= F.col("low")) & (F.col("place") < F.col("high"))
         moved = movers.join(table, fits, "left").withColumn("shard", F.coalesce("goes", "shard"))
         columns = state.columns
