@@ -327,7 +327,7 @@ def insults():
     rows = []
     for k in range(400):
         words = prose(k, 40).split()
-        label = int(k % 4 == 0)
+        label = int(zlib.crc32(b"%d" % k) % 4 == 1)
         if label:
             words[7], words[21] = ("blockhead", "numbskull", "dimwit")[k % 3], ("dimwit", "blockhead", "numbskull")[k % 3]
         rows.append((k, " ".join(words), label))
