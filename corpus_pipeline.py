@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelake.llm import exact_dedup, near_dedup, packing, secret_scan, toxicity
-from tracelake.llm.common import written
+from tracelake.llm.common import short_batches, written
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity machine, trained on the labelled ones among them, rejects go."""
+    short_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(toxicity.training_rows(toxicity.texts(docs), labels))
     return toxicity.without_toxic(docs, model)

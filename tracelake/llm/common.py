@@ -1,22 +1,24 @@
-"""Reading the corpus tables, cutting lineage in the shared folder and gapless ranks."""
+"""Reading the corpus tables, and gapless ranks."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracelake.sources.scratch import shared_dir, written
+
+__all__ = ["documents", "ranked", "shared_dir", "short_batches", "texts", "written"]
+
 #: Rows that one ranking cell holds on average.
 CELL_ROWS = 20_000
+BATCH_ROWS = 1000
 #: What the word and text contracts call white space.
 SPACES = " \t\n\x0b\x0c\r"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and text of every row; a null text is empty, other columns are not read."""
+    short_batches(spark)
     return texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
@@ -25,23 +27,9 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where it is unset (tests) a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = os.path.join(tempfile.gettempdir(), "tracelake-shared")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def written(df: DataFrame, **options: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, read again: lineage ends and sizes are known.
-
-    The table outlives lost executors. It is scratch: the folder's owner removes it after the job.
-    """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def short_batches(spark: SparkSession) -> None:
+    """Rows of a batch that goes to Python, for this session: texts are long, and two workers share an executor's memory with its JVM."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[Column], by: Column, name: str, rows: int) -> DataFrame:

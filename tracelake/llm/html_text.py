@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import short_batches, written
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "video", "audio", "canvas", "head", "select", "button"}
@@ -270,4 +270,5 @@ def extracted(pages: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))

@@ -59,7 +59,7 @@ class ChunkTokenizer:
         parts = json.loads(file)
         self.by_bytes = any(x["type"] == "ByteLevel" for x in (parts["pre_tokenizer"] or {}).get("pretokenizers", ()))
         self.words = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": None}))
-        self.known = Lists(600_000)
+        self.known = Lists(400_000)
         self.stops = {x: self._ids(self.whole, [x])[0] for x in ("", ".", ",")}
 
     @staticmethod

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 
 #: Characters whose words are in memory at once, unless a single text has more.
-SLICE_CHARS = 3_000_000
+SLICE_CHARS = 1_500_000
 
 
 def sliced(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:

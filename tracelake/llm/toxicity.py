@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import short_batches, texts, written
 from .ragged import sliced
 
 #: The documented bound of the training sample: labelled documents of each label, taken by hash, of at most so many characters.
@@ -310,7 +310,7 @@ def _scores(rows: pd.DataFrame, model: Model, known: dict[str, float]) -> pd.Dat
 
 def summaries(rows: pd.DataFrame, model: Model, known: dict[str, float]) -> np.ndarray:
     """The summary of each whole text; each distinct word is compared once, and kept in `known`."""
-    if len(known) > 500_000:
+    if len(known) > 200_000:
         known.clear()
     lists = pc.utf8_split_whitespace(pa.array(rows["text"], pa.large_string()))
     ends, words = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
@@ -381,4 +381,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
