@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tracelake.operators import aggregates, diff, joins, listing, merge, search, traverse
+from tracelake.operators import aggregates, derive, diff, joins, knowledge, listing, merge, search, traverse
+from tracelake.sources import readers
+from tracelake.streaming import usage
 
-MODULES: tuple = (listing, aggregates, joins, traverse, merge, diff, search)
+MODULES: tuple = (listing, aggregates, joins, traverse, merge, diff, search, derive, knowledge, readers, usage)
 FLAGSHIP = "screen_impact"
 
 
