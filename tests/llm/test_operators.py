@@ -220,7 +220,7 @@ def test_sketch_floor_is_rarely_missed():
     import math
 
     m = near_dedup.floor_of(0.85)
-    assert sum(math.comb(64, k) * 0.85**k * 0.15 ** (64 - k) for k in range(m)) <= near_dedup.MISS
+    assert sum(math.comb(near_dedup.SKETCH, k) * 0.85**k * 0.15 ** (near_dedup.SKETCH - k) for k in range(m)) <= near_dedup.MISS
 
 
 def test_packing_round_trip(odd, small):

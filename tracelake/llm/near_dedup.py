@@ -5,8 +5,13 @@ smallest hashes of its set. Two sets of similarity t share at least `floor_of` o
 ordered rarest first, the heads of two sketches, as long as the rest allows, share a value. The inverted lists of the heads
 give candidates. A union sketch estimates each candidate's similarity, and those not clearly below are compared on their full sets.
 
-A list is not expanded into pairs. First every class of a list is compared with the first one of the list. The links found
-join classes into components, and afterwards only classes of different components that share a list are compared.
+A list is not expanded into pairs. First every class of a list is compared with the list's hub, its most typical class. The links found
+join classes into components; only classes of different components are compared further, and only where the hub leaves it open:
+
+- One is linked with the hub and the other far from it (a distance of more than twice the allowed one): by the triangle inequality, no link.
+- Both are near the hub: two sets can be linked only if what they do differently from the hub agrees in part. These differences are
+  small sets; they are indexed rarest first, again by heads, and only classes that share an entry are compared.
+- One is far and neither is linked with the hub: compared, if the heads and sizes allow it.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from .common import documents, texts, written
 from .ragged import sliced
 
 WORDS = 5
-SKETCH = 64
+SKETCH = 128
 MISS = 1e-7
 
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -100,20 +105,23 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def heads(classes: DataFrame, percent: int) -> DataFrame:
-    """classes: rep, n, sketch. Entries value, rep, n, at: the values of each head that other classes have too.
+    """classes: rep, n, sketch. Entries value, rep, n, typical: the values of each head that other classes have too.
 
-    `at` counts the rarer values of the sketch; a value of one class comes first and needs no entry.
+    A value of one class only is the rarest and needs no entry. typical: how common the values of the whole sketch are.
     """
     share = percent / 100
     m = floor_of(share)
     # A set of up to SKETCH * share values and any partner of it are their own sketches.
     need = F.when(F.col("n") <= int(SKETCH * share), F.ceil(F.col("n") * percent / 100)).otherwise(F.least(F.lit(m), F.ceil(F.col("n") * percent / 100)))
-    rows = classes.select("rep", "n", (F.size("sketch") - need + 1).alias("head"), F.size("sketch").alias("of"), F.explode("sketch").alias("value"))
+    sizes = classes.select("rep", "n", (F.size("sketch") - need + 1).alias("head"), F.size("sketch").alias("of"))
+    rows = classes.select("rep", F.explode("sketch").alias("value"))
     often = rows.groupBy("value").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    shared = rows.join(often, "value").groupBy("rep", "n", "head", "of").agg(F.sort_array(F.collect_list(F.struct("often", "value"))).alias("values"))
-    rare = F.col("of") - F.size("values")
-    shared = shared.select("rep", "n", "of", "head", rare.alias("rare"), F.posexplode(F.slice("values", F.lit(1), F.greatest(F.lit(0), F.col("head") - rare))).alias("k", "v"))
-    return shared.select(F.col("v.value").alias("value"), "rep", "n", (F.col("rare") + F.col("k")).alias("at"))
+    shared = rows.join(often, "value").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("often", "value"))).alias("values"))
+    shared = shared.join(sizes, "rep")
+    typical = F.aggregate("values", F.lit(0.0), lambda acc, v: acc + F.log2(v["often"])) / F.col("of")
+    left = F.greatest(F.lit(0), F.col("head") - (F.col("of") - F.size("values")))
+    shared = shared.select("rep", "n", typical.alias("typical"), F.explode(F.slice("values", F.lit(1), left)).alias("v"))
+    return shared.select(F.col("v.value").alias("value"), "rep", "n", "typical")
 
 
 def close_in_size(percent: int, a: str = "n", b: str = "n2"):
@@ -132,8 +140,11 @@ def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.where(close_in_size(percent, "n_a", "n_b") & F.when(whole, exact).otherwise((common >= m) | (F.size(union) < SKETCH))).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold; sets are built for the documents in pairs only."""
+def compared(pairs: DataFrame, docs: DataFrame, words: int, near: int) -> DataFrame:
+    """pairs: a, b. Sizes of both full sets, of their intersection, and for pairs of at least `near` percent what b has or lacks against a.
+
+    Sets are built for the documents in pairs only. A value that b lacks stands as its complement.
+    """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def build(batches):
@@ -147,9 +158,39 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> Da
     sets = written(sets.withColumn("of", F.xxhash64("values")).dropDuplicates(["doc_id", "of"]).drop("of"))
     left = sets.select(F.col("doc_id").alias("a"), F.col("values").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("values").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    alike = common * 100 >= percent * (F.size("x") + F.size("y") - common)
-    return pairs.join(left, "a").join(right, "b").where(alike).select("a", "b")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", F.size(F.array_intersect("x", "y")).alias("common"))
+    union = F.size("x") + F.size("y") - F.col("common")
+    apart = F.concat(F.array_except("y", "x"), F.transform(F.array_except("x", "y"), lambda v: F.bitwise_not(v)))
+    close = F.col("common") * 100 >= near * union
+    return both.select("a", "b", F.size("x").alias("n_a"), F.size("y").alias("n_b"), "common", F.when(close, apart).alias("apart"))
+
+
+def linked(percent: int):
+    return F.col("common") * 100 >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))
+
+
+def by_differences(seen: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes that are both near a hub, not both linked with it, and may be linked with each other.
+
+    seen: a (hub), b, sizes, apart. With c = (100 - p) / (100 + p), sets x and y are linked if they differ in at most c (|x| + |y|) values.
+    They differ in |x~h| + |y~h| - 2 |common differences|, and x differs from h in more than c (|x| + |h|) if it isn't linked with it. So x and y share more
+    than (|y~h| - c (|y| - |h|)) / 2 differences, and at least (|x~h| - c (|x| + |h|)) / 2; their heads, rarest first, share one.
+    """
+    c = (100.0 - percent) / (100.0 + percent)
+    d = F.size("apart")
+    least = F.greatest(F.lit(1), F.ceil((d - c * (F.col("n_b") + F.col("n_a"))) / 2 - 1e-9))
+    other = F.greatest(F.lit(1), F.floor((d - c * (F.col("n_b") - F.col("n_a"))) / 2 + 1e-9))
+    rows = seen.where("apart is not null").select("a", "b", "apart", linked(percent).alias("linked"), (d - least + 1).alias("head_x"), (d - other + 1).alias("head_y"))
+    # a hub all of whose near classes are linked with it leaves nothing open
+    open_ = rows.groupBy("a").agg(F.max(~F.col("linked")).alias("open")).where("open")
+    rows = rows.join(open_.select("a"), "a", "left_semi").withColumn("value", F.explode("apart")).drop("apart")
+    often = rows.groupBy("a", "value").agg(F.count(F.lit(1)).alias("often"))
+    rows = rows.join(often, ["a", "value"]).groupBy("a", "b").agg(F.first("linked").alias("linked"), F.first("head_x").alias("head_x"), F.first("head_y").alias("head_y"), F.sort_array(F.collect_list(F.struct("often", "value"))).alias("values"))
+    rows = written(rows.join(found, F.col("b") == F.col("id"), "left").withColumn("component", F.coalesce("component", "b")).drop("id"))
+    take = lambda head: F.explode(F.slice("values", F.lit(1), F.greatest(F.lit(0), F.col(head)).cast("int"))).alias("v")
+    x = rows.where(~F.col("linked")).select("a", "b", "component", take("head_x")).where("v.often > 1").select("a", F.col("b").alias("x"), F.col("component").alias("cx"), F.col("v.value").alias("value"))
+    y = rows.select("a", "b", "component", take("head_y")).where("v.often > 1").select("a", F.col("b").alias("y"), F.col("component").alias("cy"), F.col("v.value").alias("value"))
+    return x.join(y, ["a", "value"]).where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -185,20 +226,26 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataF
     of = rows.where("n > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = written(of)
     entries = written(heads(classes, percent))
-    first = entries.groupBy("value").agg(F.min(F.struct("rep", "n")).alias("f"))
-    pairs = entries.join(first, "value").select(F.col("f.rep").alias("a"), F.col("rep").alias("b"), "n", F.col("f.n").alias("n2"))
-    pairs = pairs.where(F.col("a") != F.col("b")).where(close_in_size(percent)).select("a", "b").distinct()
-    links = written(confirmed(written(estimated(pairs, classes, percent)), docs, percent, words))
+    near = 2 * percent - 100  # at twice the allowed distance
+    hubs = entries.groupBy("value").agg(F.max(F.struct("typical", -F.col("rep"), "rep", "n")).alias("h")).select("value", F.col("h.rep").alias("hub"), F.col("h.n").alias("n2"))
+    pairs = entries.join(hubs, "value").where(F.col("hub") != F.col("rep")).where(close_in_size(near)).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    seen = written(compared(written(estimated(pairs, classes, near)), docs, words, near))
+    links = written(seen.where(linked(percent)).select("a", "b"))
     found = components(links)
 
-    named = entries.join(found, F.col("rep") == F.col("id"), "left").select("value", "rep", "n", "at", F.coalesce("component", "rep").alias("component"))
-    mixed = named.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    # Where each class of a list stands: with the hub, near it, or far.
+    state = F.when(F.col("rep") == F.col("hub"), 0).when(linked(percent), 0).when(F.col("apart").isNotNull(), 1).otherwise(2)
+    known = seen.select(F.col("a").alias("hub"), F.col("b").alias("rep"), "n_a", "n_b", "common", "apart")
+    placed = entries.drop("typical").join(hubs.select("value", "hub"), "value").join(known, ["hub", "rep"], "left").select("value", "rep", "n", state.alias("state"))
+    named = placed.where("state > 0").join(found, F.col("rep") == F.col("id"), "left").select("value", "rep", "n", "state", F.coalesce("component", "rep").alias("component"))
+    mixed = named.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("state").alias("far")).where("low < high and far = 2")
     named = written(named.join(mixed.select("value"), "value"))
-    other = named.select("value", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("component").alias("component2"))
-    rest = named.join(other, (named["value"] == other["value"]) & (F.col("component") < F.col("component2")) & close_in_size(percent))
+    other = named.select("value", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("state").alias("state2"), F.col("component").alias("component2"))
+    open_ = (F.col("state") + F.col("state2") > 2) & (F.col("component") < F.col("component2"))
+    rest = named.join(other, (named["value"] == other["value"]) & open_ & close_in_size(percent))
     rest = rest.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
-    rest = rest.join(pairs, ["a", "b"], "left_anti")
-    more = confirmed(written(estimated(rest, classes, percent)), docs, percent, words)
+    rest = rest.unionByName(by_differences(seen, found, percent)).distinct().join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
+    more = compared(written(estimated(rest, classes, percent)), docs, words, 101).where(linked(percent)).select("a", "b")
     found = components(written(links.unionByName(more)))
 
     top = classes.join(found, F.col("rep") == F.col("id"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
