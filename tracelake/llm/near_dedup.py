@@ -11,7 +11,8 @@ join classes into components; only classes of different components are compared
 - One is linked with the hub and the other far from it (a distance of more than twice the allowed one): by the triangle inequality, no link.
 - Both are near the hub: two sets can be linked only if what they do differently from the hub agrees in part. These differences are
   small sets; they are indexed rarest first, again by heads, and only classes that share an entry are compared.
-- One is far and neither is linked with the hub: compared, if the heads and sizes allow it.
+- One is far and neither is linked with the hub: compared, if the heads and sizes allow it. Where a list has more than LIST such
+  classes, their full sets are indexed, rarest first: heads of full sets are much shorter than those of sketches, which allow for chance.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, texts, written
@@ -31,6 +32,8 @@ from .ragged import sliced
 WORDS = 5
 SKETCH = 128
 MISS = 1e-7
+#: Open classes of a list that are compared with one another at once; longer lists go through full sets.
+LIST = 32
 
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -104,15 +107,22 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, n long, set_key binary, sketch array<long>")
 
 
-def heads(classes: DataFrame, percent: int) -> DataFrame:
-    """classes: rep, n, sketch. Entries value, rep, n, typical: the values of each head that other classes have too.
+def shared_of_sets(percent: int) -> Column:
+    """Values that a set of n shares with any set that is linked with it, at least."""
+    return F.ceil(F.col("n") * percent / 100)
+
+
+def shared_of_sketches(percent: int) -> Column:
+    """Values that its sketch shares. A set of up to SKETCH * percent / 100 values and any partner of it are their own sketches."""
+    least = shared_of_sets(percent)
+    return F.when(F.col("n") <= int(SKETCH * percent / 100), least).otherwise(F.least(F.lit(floor_of(percent / 100)), least))
+
+
+def heads(classes: DataFrame, need: Column) -> DataFrame:
+    """classes: rep, n, sketch; need: values shared at least. Entries value, rep, n, typical: the values of each head that other classes have too.
 
     A value of one class only is the rarest and needs no entry. typical: how common the values of the whole sketch are.
     """
-    share = percent / 100
-    m = floor_of(share)
-    # A set of up to SKETCH * share values and any partner of it are their own sketches.
-    need = F.when(F.col("n") <= int(SKETCH * share), F.ceil(F.col("n") * percent / 100)).otherwise(F.least(F.lit(m), F.ceil(F.col("n") * percent / 100)))
     sizes = classes.select("rep", "n", (F.size("sketch") - need + 1).alias("head"), F.size("sketch").alias("of"))
     rows = classes.select("rep", F.explode("sketch").alias("value"))
     often = rows.groupBy("value").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
@@ -140,12 +150,11 @@ def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.where(close_in_size(percent, "n_a", "n_b") & F.when(whole, exact).otherwise((common >= m) | (F.size(union) < SKETCH))).select("a", "b")
 
 
-def compared(pairs: DataFrame, docs: DataFrame, words: int, near: int) -> DataFrame:
-    """pairs: a, b. Sizes of both full sets, of their intersection, and for pairs of at least `near` percent what b has or lacks against a.
+def full_sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, values, of (their hash) for the documents in ids only.
 
-    Sets are built for the documents in pairs only. A value that b lacks stands as its complement.
+    Rows that repeat a doc_id with other texts are one document with several sets, each of which can confirm a pair.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def build(batches):
         for batch in batches:
@@ -153,9 +162,16 @@ def compared(pairs: DataFrame, docs: DataFrame, words: int, near: int) -> DataFr
                 sets = shingle_sets(rows["text"], words)
                 yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "values": [s.view(np.int64) for s in sets]})
 
-    # Rows that repeat a doc_id with other texts are one document with several sets, each of which can confirm a pair.
     sets = docs.join(ids, "doc_id", "left_semi").mapInPandas(build, "doc_id long, values array<long>")
-    sets = written(sets.withColumn("of", F.xxhash64("values")).dropDuplicates(["doc_id", "of"]).drop("of"))
+    return written(sets.withColumn("of", F.xxhash64("values")).dropDuplicates(["doc_id", "of"]))
+
+
+def compared(pairs: DataFrame, docs: DataFrame, words: int, near: int) -> DataFrame:
+    """pairs: a, b. Sizes of both full sets, of their intersection, and for pairs of at least `near` percent what b has or lacks against a.
+
+    A value that b lacks stands as its complement.
+    """
+    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs, words)
     left = sets.select(F.col("doc_id").alias("a"), F.col("values").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("values").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", F.size(F.array_intersect("x", "y")).alias("common"))
@@ -169,6 +185,17 @@ def linked(percent: int):
     return F.col("common") * 100 >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))
 
 
+def by_full_sets(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """classes: rep, n, component, far. Pairs of other components, one of them far from a hub, whose full sets share a value of their heads."""
+    sets = full_sets(classes.select(F.col("rep").alias("doc_id")), docs, words)
+    sets = sets.select(F.struct("doc_id", "of").alias("rep"), F.size("values").alias("n"), F.col("values").alias("sketch"))
+    entries = heads(sets, shared_of_sets(percent)).select("value", F.col("rep.doc_id").alias("rep")).distinct()
+    entries = written(entries.join(classes, "rep"))
+    other = entries.select("value", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "component", "far")))
+    both = entries.join(other, "value").where((F.col("far") | F.col("far2")) & (F.col("component") < F.col("component2")) & close_in_size(percent))
+    return both.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
+
+
 def by_differences(seen: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes that are both near a hub, not both linked with it, and may be linked with each other.
 
@@ -225,7 +252,7 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataF
     rows = written(sketches(docs, words))
     of = rows.where("n > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = written(of)
-    entries = written(heads(classes, percent))
+    entries = written(heads(classes, shared_of_sketches(percent)))
     near = 2 * percent - 100  # at twice the allowed distance
     hubs = entries.groupBy("value").agg(F.max(F.struct("typical", -F.col("rep"), "rep", "n")).alias("h")).select("value", F.col("h.rep").alias("hub"), F.col("h.n").alias("n2"))
     pairs = entries.join(hubs, "value").where(F.col("hub") != F.col("rep")).where(close_in_size(near)).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
@@ -238,13 +265,15 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataF
     known = seen.select(F.col("a").alias("hub"), F.col("b").alias("rep"), "n_a", "n_b", "common", "apart")
     placed = entries.drop("typical").join(hubs.select("value", "hub"), "value").join(known, ["hub", "rep"], "left").select("value", "rep", "n", state.alias("state"))
     named = placed.where("state > 0").join(found, F.col("rep") == F.col("id"), "left").select("value", "rep", "n", "state", F.coalesce("component", "rep").alias("component"))
-    mixed = named.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("state").alias("far")).where("low < high and far = 2")
-    named = written(named.join(mixed.select("value"), "value"))
+    mixed = named.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("state").alias("far"), F.count(F.lit(1)).alias("size")).where("low < high and far = 2")
+    named = written(named.join(mixed.select("value", "size"), "value"))
+    large = named.where(F.col("size") > LIST).groupBy("rep", "n", "component").agg((F.max("state") == 2).alias("far"))
+    named = named.where(F.col("size") <= LIST)
     other = named.select("value", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("state").alias("state2"), F.col("component").alias("component2"))
     open_ = (F.col("state") + F.col("state2") > 2) & (F.col("component") < F.col("component2"))
     rest = named.join(other, (named["value"] == other["value"]) & open_ & close_in_size(percent))
-    rest = rest.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
-    rest = rest.unionByName(by_differences(seen, found, percent)).distinct().join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
+    rest = rest.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
+    rest = rest.unionByName(by_full_sets(large, docs, words, percent)).unionByName(by_differences(seen, found, percent)).distinct().join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
     more = compared(written(estimated(rest, classes, percent)), docs, words, 101).where(linked(percent)).select("a", "b")
     found = components(written(links.unionByName(more)))
 
