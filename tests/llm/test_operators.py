@@ -2,6 +2,7 @@
 
 import hashlib
 import importlib.util
+import random
 import sys
 import zlib
 from pathlib import Path
@@ -208,6 +209,25 @@ def test_near_duplicates(odd, small, spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in near_dedup.near_groups(small, 85).collect())
 
 
+@pytest.mark.parametrize("size", [near_dedup.LIST, 0])
+def test_groups_at_all_distances_lose_no_link(spark, monkeypatch, size):
+    monkeypatch.setattr(near_dedup, "LIST", size)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(240):
+        words = list(base)
+        for _ in range(i // 16):  # from equal to far away
+            words[rng.randrange(300)] = rng.choice(["the", "and", f"x{rng.randrange(99)}"])
+        rows.append((i, " ".join(words)))
+        if i % 5 == 0:  # a near copy of each fifth one, however far
+            words[rng.randrange(300)] = "of"
+            rows.append((1000 + i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_groups(df, 85).collect()}
+    assert got == brute.near_components(dict(rows))
+
+
 def test_large_groups_of_near_copies_lose_no_link(spark):
     base = prose(5, 120).split()
     rows = [(k, " ".join([*base[: 60 + 0], f"only{k}", *base[61:]])) for k in range(150)] + [(500 + k, prose(40 + k, 90)) for k in range(50)]
