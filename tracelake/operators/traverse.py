@@ -98,6 +98,10 @@ def _screens(s, d, n=20):
     return nodes(s, d).where("node_type = 'SCREEN'").where(F.substring_index("stable_id", ":", -1).cast("long") < n).select(F.col("stable_id").alias("start"))
 
 
+def _every_screen(s, d):
+    return nodes(s, d).where("node_type = 'SCREEN'").select(F.col("stable_id").alias("start"))
+
+
 def _serving(s, d):
     return edges(s, d)
 
@@ -125,13 +129,13 @@ QUERIES = {
     "impact_by_system": lambda s, d: impact(_table(s, d), edges(s, d), nodes(s, d)).groupBy("system_key", "node_type").agg(F.count(F.lit(1)).alias("n")),
     "impact_api_trace": lambda s, d: walk(nodes(s, d).where("node_type = 'API_OPERATION'").where(F.substring_index("stable_id", ":", -1).cast("long") < 50).select(F.col("stable_id").alias("start")), adjacency(edges(s, d), nodes(s, d)), F.col("to_type").isin(*DATA_TARGETS), 8).select("start", "node", "depth", "confidence"),
     "flows_materialized": lambda s, d: flows(_screens(s, d), _serving(s, d), nodes(s, d)).select("start", "target", "confidence", "depth", "target_no").select("start", "target", "depth"),
-    "flow_steps": lambda s, d: flows(_screens(s, d, 5), _serving(s, d), nodes(s, d)).select("start", "target", F.posexplode("path").alias("step", "node")).groupBy("start", "step").agg(F.count_distinct("node").alias("nodes")),
+    "flow_steps": lambda s, d: flows(_every_screen(s, d), _serving(s, d), nodes(s, d)).select("start", "target", F.posexplode("path").alias("step", "node")).groupBy("start", "step").agg(F.count_distinct("node").alias("nodes")),
     "touched_data": lambda s, d: touched(_screens(s, d), edges(s, d), nodes(s, d)),
     "business_reach": lambda s, d: walk(_screens(s, d), adjacency(edges(s, d), nodes(s, d), lambda k, t: is_data_edge(k) | follows(k, t)), F.col("to_type").isin(*DATA_TARGETS), 8).groupBy("start", "depth").agg(F.count(F.lit(1)).alias("n")),
     "induced_subgraph": lambda s, d: induced(edges(s, d), nodes(s, d).where("node_type in ('SYSTEM', 'APPLICATION', 'SCREEN')").select(F.col("stable_id").alias("id"))).select("edge_id", "source", "target"),
     "cycle_walk": lambda s, d: walk(_ring_nodes(s, d).where("stable_id in ('m1', 'm2')").select(F.col("stable_id").alias("start")), adjacency(_ring(s, d), _ring_nodes(s, d)), F.lit(False), 64).select("start", "node", "depth"),
     "label_propagation": _labels,
-    "node_flow_index": lambda s, d: flows(_screens(s, d), _serving(s, d), nodes(s, d)).select("start", F.explode("path").alias("node")).distinct().groupBy("node").agg(F.count(F.lit(1)).alias("flows"), F.min("start").alias("first_flow")),
+    "node_flow_index": lambda s, d: flows(_every_screen(s, d), _serving(s, d), nodes(s, d)).select("start", F.explode("path").alias("node")).distinct().groupBy("node").agg(F.count(F.lit(1)).alias("flows"), F.min("start").alias("first_flow")),
     "pass_through_connected": lambda s, d: touched(_screens(s, d, 10), edges(s, d), nodes(s, d)).select("start", "target").distinct(),
 }
 
