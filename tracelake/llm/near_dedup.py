@@ -92,7 +92,10 @@ def floor_of(share: float, size: int = SKETCH, miss: float = MISS) -> int:
 
 
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n, set_key and sketch (the smallest hashes, sorted) of each document."""
+    """doc_id, n, set_key and sketch (the smallest hashes, sorted) of each document.
+
+    The top bit of a sketch value is flipped, so that signed order, by which Spark sorts, is that of the hashes.
+    """
 
     def run(batches):
         import hashlib
@@ -101,7 +104,7 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
             for rows in sliced(batch):
                 sets = shingle_sets(rows["text"], words)
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                least = [s[:SKETCH].view(np.int64).copy() for s in sets]
+                least = [(s[:SKETCH] ^ np.uint64(1 << 63)).view(np.int64) for s in sets]
                 yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "n": [len(s) for s in sets], "set_key": keys, "sketch": least})
 
     return docs.mapInPandas(run, "doc_id long, n long, set_key binary, sketch array<long>")
