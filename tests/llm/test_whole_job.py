@@ -6,7 +6,7 @@ import pytest
 
 pytest.importorskip("tracelake.llm")
 
-from tracelake.llm import near_dedup  # noqa: E402
+from tracelake.llm import license_scan, near_dedup  # noqa: E402
 
 
 @pytest.mark.parametrize(("percent", "small", "large"), [(80, 180, 225), (85, 200, 235), (85, 130, 152), (80, 224, 280)])
@@ -20,3 +20,20 @@ def test_nested_sets_at_the_threshold_are_not_estimated_away(spark, percent, sma
     pairs = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(100)], "a long, b long")
     assert 100 * small >= percent * large
     assert near_dedup.estimated(pairs, sets.withColumnRenamed("doc_id", "rep"), percent).count() == 100
+
+
+def test_licences_wrapped_over_lines_are_found(spark):
+    rows, want = [], {}
+    for label, texts in license_scan.TEMPLATES.items():
+        for text in texts:
+            for width in (5, 12):
+                w = text.split()
+                lines = ["# " + " ".join(w[k : k + width]) for k in range(0, len(w), width)]
+                for before in (0, 20, 31, 45):  # at different places of the chunks
+                    rows.append((len(rows), "\n".join([" ".join(f"x{k}" for k in range(before)), *lines, "import os"])))
+                    want[len(rows) - 1] = label
+    # the words of a template, but far apart
+    rows.append((9999, "\n".join(f"{w} and a few more other things here" for w in license_scan.TEMPLATES["bsd"][0].split())))
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(label in got[k].labels.split(",") and got[k].score == 1 for k, label in want.items())
+    assert not got[9999].by_block and got[9999].score == 0

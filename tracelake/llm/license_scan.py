@@ -1,6 +1,7 @@
 """Exact set-similarity join of text blocks with licence templates.
 
-A block is a line of a text. It matches a template when it has at least CONTAINMENT of the template's distinct words.
+A block is a line of a text, or, across line ends, a run of as many words as the template has. It matches a template when it has at least
+CONTAINMENT of the template's distinct words. Runs are looked for in overlapping chunks, of which each run lies in one.
 Words are ordered by how many blocks have them, rarest first. A block that matches shares at least one word
 with the template's prefix, is long enough, and has enough words behind its first shared one; what is left after
 these filters is compared in full. So every matching block is found.
@@ -62,8 +63,35 @@ def block_frequency(blocks: DataFrame, vocabulary: DataFrame) -> dict[str, int]:
     return {r.token: r.n for r in counts.collect()}  # at most the templates' words
 
 
+def longest() -> int:
+    """Words of the longest template."""
+    return max(len(text.split()) for texts_ in TEMPLATES.values() for text in texts_)
+
+
+def chunks(texts_: DataFrame) -> DataFrame:
+    """texts_: text_key, text. text_key, run (words in order) and tokens (distinct words); any run of `longest()` words lies in one chunk."""
+    size = longest()
+    rows = texts_.where(F.contains("text", F.lit("\n"))).select("text_key", words(F.col("text")).alias("w")).where("size(w) > 0")
+    rows = rows.select("text_key", F.explode(F.expr(f"transform(sequence(0, size(w) - 1, {size}), i -> slice(w, i + 1, {2 * size}))")).alias("run"))
+    return rows.select("text_key", "run", F.array_distinct("run").alias("tokens"))
+
+
 def matches(blocks: DataFrame) -> DataFrame:
-    """blocks: text_key and tokens (distinct words of a block). Returns text_key, label, containment of every match.
+    """blocks: text_key and tokens (distinct words of a block). Returns text_key, label, containment of every match."""
+    near = candidates(blocks)
+    return near.select("text_key", "label", (F.col("shared") / F.size("words")).alias("containment"))
+
+
+def matches_across(chunks_: DataFrame) -> DataFrame:
+    """text_key, label, containment of each chunk in which a run as long as the template matches it."""
+    near = candidates(chunks_)
+    at = "transform(sequence(0, greatest(0, size(run) - length)), i -> size(array_intersect(words, slice(run, i + 1, length))))"
+    near = near.withColumn("shared", F.array_max(F.expr(at))).where("shared >= need")
+    return near.select("text_key", "label", (F.col("shared") / F.size("words")).alias("containment"))
+
+
+def candidates(blocks: DataFrame) -> DataFrame:
+    """The blocks, with all their columns, and each template of which they have enough words: words, length, need, shared.
 
     The templates are a fixed list, so their prefixes are broadcast.
     """
@@ -71,11 +99,12 @@ def matches(blocks: DataFrame) -> DataFrame:
     vocabulary = spark.createDataFrame([(w,) for w in sorted({w for _, _, ws in all_ for w in ws})], "token string")
     often = block_frequency(blocks, vocabulary)
     order = lambda w: (often.get(w, 0), w)
+    lengths = [len(text.split()) for texts_ in TEMPLATES.values() for text in texts_]
     rows = []
     for k, label, ws in all_:
         ranked, need = sorted(ws, key=order), needed(len(ws))
-        rows += [(ranked[at], k, label, ranked, at, need) for at in range(len(ws) - need + 1)]
-    prefixes = F.broadcast(spark.createDataFrame(rows, "token string, template int, label string, words array<string>, at int, need int"))
+        rows += [(ranked[at], k, label, ranked, at, need, lengths[k]) for at in range(len(ws) - need + 1)]
+    prefixes = F.broadcast(spark.createDataFrame(rows, "token string, template int, label string, words array<string>, at int, need int, length int"))
     prefix_words = F.array(*[F.lit(w) for w in sorted({r[0] for r in rows})])
     near = blocks.where(F.size("tokens") >= min(r[5] for r in rows)).where(F.arrays_overlap("tokens", prefix_words))
     near = near.withColumn("token", F.explode(F.array_intersect("tokens", prefix_words))).join(prefixes, "token")
@@ -84,14 +113,13 @@ def matches(blocks: DataFrame) -> DataFrame:
     first = F.size(F.array_intersect(F.slice("words", F.lit(1), F.col("at")), "tokens")) == 0
     reachable = F.size("words") - F.col("at") >= F.col("need")
     near = near.where(long_enough & reachable & first)
-    near = near.withColumn("shared", F.size(F.array_intersect("tokens", "words"))).where("shared >= need")
-    return near.select("text_key", "label", (F.col("shared") / F.size("words")).alias("containment"))
+    return near.withColumn("shared", F.size(F.array_intersect("tokens", "words"))).where("shared >= need")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, by_block.
 
-    n_base counts the places of all phrases, also across lines. labels adds those of the templates that lines match; score is the largest
+    n_base counts the places of all phrases, also across lines. labels adds those of the templates that lines, or runs across them, match; score is the largest
     containment, 1 where a phrase stands, and 0 without any. Null and empty texts have no words and no labels. Repeated
     rows each return, a null doc_id is carried along, other columns are ignored, an empty table gives no rows.
     """
@@ -109,7 +137,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     blocks = texts(docs).select(F.md5("text").alias("text_key"), F.explode(F.split("text", "\n")).alias("block"))
     blocks = blocks.select("text_key", F.array_distinct(words(F.col("block"))).alias("tokens")).where("size(tokens) > 0")
-    best = matches(blocks).groupBy("text_key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"), F.count(F.lit(1)).alias("n_blocks"))
+    across = matches_across(chunks(texts(docs).select(F.md5("text").alias("text_key"), "text")))
+    best = matches(blocks).unionByName(across).groupBy("text_key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"), F.count(F.lit(1)).alias("n_blocks"))
     out = base.join(best, "text_key", "left")
     more = F.coalesce("more", F.expr("cast(array() as array<string>)"))
     score = F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0)))
