@@ -34,7 +34,7 @@ NOT_TEXT = frozenset(
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-hidden|hidden)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
-#: Pages of a host that a slot needs before its one text counts as the template's.
+#: Different pages of a host on which a text must stand before it counts as the template's.
 LEAST_PAGES = 5
 FAN_IN = 16
 
@@ -161,17 +161,21 @@ def aligned(a: list, b: list) -> list:
     return out
 
 
+def _text_hash(text: str) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
 def observed(pages: DataFrame) -> DataFrame:
     """host, expression and slots (path, hash and length of each block that may be text) of every page."""
 
     def run(batches):
-        import xxhash
-
         for batch in batches:
             rows = []
             for url, page in zip(batch["url"], batch["html"], strict=True):
                 found = blocks(page or "")
-                slots = [{"path": p, "hash": xxhash.xxh3_64_intdigest(t) - (1 << 63), "chars": len(t)} for p, may, t in found if may]
+                slots = [{"path": p, "hash": _text_hash(t), "chars": len(t)} for p, may, t in found if may]
                 rows.append((host_of(url), json.dumps(stream([p for p, _, _ in found])), slots))
             yield pd.DataFrame(rows, columns=["host", "expression", "slots"])
 
@@ -206,19 +210,25 @@ def slots_of(expression: list) -> list[str]:
 
 
 def content(seen: DataFrame, found: DataFrame) -> DataFrame:
-    """host, expression, root, template (paths of slots whose text never changes) of each wrapper."""
-    slots = seen.select("host", F.explode("slots").alias("s")).select("host", "s.*")
-    texts_ = slots.groupBy("host", "path", "hash").agg(F.count(F.lit(1)).alias("n"), F.first("chars").alias("chars"))
-    paths = texts_.groupBy("host", "path").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("different"), F.max("n").alias("top"), F.sum("chars").alias("chars"))
-    fixed = (F.col("n") >= LEAST_PAGES) & (F.col("top") * 10 >= F.col("n") * 9)
-    rows = paths.select("host", F.struct("path", "chars", fixed.alias("fixed")).alias("slot")).groupBy("host").agg(F.collect_list("slot").alias("slots"))
+    """host, expression, root, template (slots and texts that recur) of each wrapper.
+
+    Equal pages of a host count once. A text is the template's if it stands in its slot on nearly all different pages that have the slot.
+    """
+    pages = seen.select("host", F.xxhash64("slots").alias("page"), F.array_distinct("slots").alias("slots")).dropDuplicates(["host", "page"])
+    texts_ = pages.select("host", F.explode("slots").alias("s")).select("host", "s.*").groupBy("host", "path", "hash").agg(F.count(F.lit(1)).alias("n"), F.first("chars").alias("chars"))
+    having = pages.select("host", F.explode(F.array_distinct("slots.path")).alias("path")).groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"))
+    fixed = (F.col("n") >= LEAST_PAGES) & (F.col("n") * 10 >= F.col("pages") * 9)
+    texts_ = texts_.join(having, ["host", "path"]).withColumn("fixed", fixed)
+    varying = F.sum(F.when(~F.col("fixed"), F.col("chars")).otherwise(0)).alias("chars")
+    slots = texts_.groupBy("host", "path").agg(varying, F.collect_list(F.when(F.col("fixed"), F.col("hash"))).alias("fixed"))
+    rows = slots.select("host", F.struct("path", "chars", "fixed").alias("slot")).groupBy("host").agg(F.collect_list("slot").alias("slots"))
 
     def choose(batches):
         for batch in batches:
             out = []
             for host, expression, slots in zip(batch["host"], batch["expression"], batch["slots"], strict=True):
                 of = {s["path"]: s for s in (slots if slots is not None else ())}
-                varying = {p: of[p]["chars"] for p in slots_of(json.loads(expression)) if p in of and not of[p]["fixed"]}
+                varying = {p: of[p]["chars"] for p in slots_of(json.loads(expression)) if p in of and of[p]["chars"]}
                 weight: dict[str, int] = {}
                 for path, chars in varying.items():
                     ups = path.split("/")
@@ -228,7 +238,7 @@ def content(seen: DataFrame, found: DataFrame) -> DataFrame:
                 total = sum(varying.values())
                 # the deepest element that holds nearly all of the varying text
                 root = max((p for p, w in weight.items() if w >= 0.9 * total), key=lambda p: (p.count("/"), weight[p], p), default="")
-                out.append((host, expression, root.rpartition("/")[0] if root in varying else root, sorted(p for p, s in of.items() if s["fixed"])))
+                out.append((host, expression, root.rpartition("/")[0] if root in varying else root, sorted(_named(p, h) for p, s in of.items() for h in s["fixed"])))
             yield pd.DataFrame(out, columns=["host", "expression", "root", "template"])
 
     return found.join(rows, "host", "left").mapInPandas(choose, "host string, expression string, root string, template array<string>")
@@ -237,6 +247,10 @@ def content(seen: DataFrame, found: DataFrame) -> DataFrame:
 ARTICLE = re.compile(r"/(?:article(?:\.[^/]*)?|main(?:\.[^/]*)?|[a-z]+[^/]*\.main)(?=/|$)")
 
 
+def _named(path: str, text_hash: int) -> str:
+    return f"{path} {text_hash}"
+
+
 def main_text(page: str, root: str, template: frozenset) -> str:
     """Blocks of the page's articles, else of its main element, else of the wrapper's root without the template's texts."""
     found = [(p, t) for p, may, t in blocks(page) if may]
@@ -244,8 +258,9 @@ def main_text(page: str, root: str, template: frozenset) -> str:
         own = [t for p, t in found if (m := ARTICLE.search(p)) and (m[0].startswith(name) or (name == "/main" and m[0]))]
         if own:
             return "\n\n".join(own)
-    inside = [t for p, t in found if (p == root or p.startswith(root + "/")) and p not in template] if root else []
-    return "\n\n".join(inside or [t for p, t in found if p not in template] or [t for _, t in found])
+    rest = [(p, t) for p, t in found if _named(p, _text_hash(t)) not in template] if template else found
+    inside = [t for p, t in rest if p == root or p.startswith(root + "/")] if root else []
+    return "\n\n".join(inside or [t for _, t in rest or found])
 
 
 def extracted(pages: DataFrame) -> DataFrame:
