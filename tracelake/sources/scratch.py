@@ -10,16 +10,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where it is unset (tests) a temporary folder."""
+    """spark.checkpoint.dir. Where it is unset, a session on one machine gets a temporary folder; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = os.path.join(tempfile.gettempdir(), "tracelake-shared")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
 def written(df: DataFrame, **options: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, read again: lineage ends, and sizes are known. Its owner removes the folder after the job."""
+    """The rows as a Parquet table in the shared folder, read again: lineage ends, and sizes are known.
+
+    `freed` removes it; what is not freed goes when the folder's owner empties it after the job.
+    """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def freed(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more, neither a plan to come nor one that a lost executor may repeat."""
+    for table in tables:
+        path = getattr(table, "_written_to", None)
+        if path:
+            spark = table.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
