@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracelake.sources.scratch import shared_dir, written
+from tracelake.sources.scratch import freed, shared_dir, written
 
-__all__ = ["documents", "ranked", "shared_dir", "short_batches", "texts", "written"]
+__all__ = ["documents", "freed", "ranked", "shared_dir", "short_batches", "texts", "written"]
 
 #: Rows that one ranking cell holds on average.
 CELL_ROWS = 20_000

@@ -13,6 +13,10 @@ join classes into components; only classes of different components are compared
   small sets; they are indexed rarest first, again by heads, and only classes that share an entry are compared.
 - One is far and neither is linked with the hub: compared, if the heads and sizes allow it. Where a list has more than LIST such
   classes, their full sets are indexed, rarest first: heads of full sets are much shorter than those of sketches, which allow for chance.
+
+Both indexes also keep the place of each value in its set's order. Where two sets first meet, at places i and j, they can share only what
+comes after; a pair whose sets are too short behind their meeting is left out. So copies with edits of their own, which have
+many values that no other class has, meet no one.
 """
 
 from __future__ import annotations
@@ -26,14 +30,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, texts, written
+from .common import documents, freed, texts, written
 from .ragged import sliced
 
 WORDS = 5
 SKETCH = 128
 MISS = 1e-7
-#: Open classes of a list that are compared with one another at once; longer lists go through full sets.
+#: Open classes of a list that are compared with one another at once; longer lists go through full sets. Both ways find every link.
 LIST = 32
+#: Rows of one value that a task joins; longer lists are dealt to several.
+SALT_ROWS = 1024
 
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -122,9 +128,10 @@ def shared_of_sketches(percent: int) -> Column:
 
 
 def heads(classes: DataFrame, need: Column) -> DataFrame:
-    """classes: rep, n, sketch; need: values shared at least. Entries value, rep, n, typical: the values of each head that other classes have too.
+    """classes: rep, n, sketch; need: values shared at least. Entries value, often, at, rep, n, typical: the values of each head that other classes have too.
 
-    A value of one class only is the rarest and needs no entry. typical: how common the values of the whole sketch are.
+    A value of one class only is the rarest and needs no entry. often: classes that have the value; at: values before it in the order,
+    which is that of (often, value) for every class. typical: how common the values of the whole sketch are.
     """
     sizes = classes.select("rep", "n", (F.size("sketch") - need + 1).alias("head"), F.size("sketch").alias("of"))
     rows = classes.select("rep", F.explode("sketch").alias("value"))
@@ -132,9 +139,16 @@ def heads(classes: DataFrame, need: Column) -> DataFrame:
     shared = rows.join(often, "value").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("often", "value"))).alias("values"))
     shared = shared.join(sizes, "rep")
     typical = F.aggregate("values", F.lit(0.0), lambda acc, v: acc + F.log2(v["often"])) / F.col("of")
-    left = F.greatest(F.lit(0), F.col("head") - (F.col("of") - F.size("values")))
-    shared = shared.select("rep", "n", typical.alias("typical"), F.explode(F.slice("values", F.lit(1), left)).alias("v"))
-    return shared.select(F.col("v.value").alias("value"), "rep", "n", "typical")
+    alone = F.col("of") - F.size("values")
+    left = F.greatest(F.lit(0), F.col("head") - alone)
+    shared = shared.select("rep", "n", typical.alias("typical"), alone.alias("alone"), F.posexplode(F.slice("values", F.lit(1), left)).alias("place", "v"))
+    return shared.select(F.col("v.value").alias("value"), F.col("v.often").alias("often"), (F.col("alone") + F.col("place")).alias("at"), "rep", "n", "typical")
+
+
+def reach(percent: int, n: str, at: str, m: str, at_m: str) -> Column:
+    """Whether sets of n and m values whose first common value has at and at_m values before it can be linked."""
+    needed = F.ceil((F.col(n) + F.col(m)) * percent / (100.0 + percent) - 1e-9)
+    return F.least(F.col(n) - F.col(at), F.col(m) - F.col(at_m)) >= needed
 
 
 def close_in_size(percent: int, a: str = "n", b: str = "n2"):
@@ -170,10 +184,11 @@ def full_sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
 
 
 def compared(pairs: DataFrame, docs: DataFrame, words: int, near: int) -> DataFrame:
-    """pairs: a, b. Sizes of both full sets, of their intersection, and for pairs of at least `near` percent what b has or lacks against a.
+    """pairs: a, b. A written table: sizes of both full sets, of their intersection, and for pairs of at least `near` percent what b has or lacks against a.
 
     A value that b lacks stands as its complement.
     """
+    pairs = written(pairs)
     sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs, words)
     left = sets.select(F.col("doc_id").alias("a"), F.col("values").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("values").alias("y"))
@@ -181,7 +196,9 @@ def compared(pairs: DataFrame, docs: DataFrame, words: int, near: int) -> DataFr
     union = F.size("x") + F.size("y") - F.col("common")
     apart = F.concat(F.array_except("y", "x"), F.transform(F.array_except("x", "y"), lambda v: F.bitwise_not(v)))
     close = F.col("common") * 100 >= near * union
-    return both.select("a", "b", F.size("x").alias("n_a"), F.size("y").alias("n_b"), "common", F.when(close, apart).alias("apart"))
+    out = written(both.select("a", "b", F.size("x").alias("n_a"), F.size("y").alias("n_b"), "common", F.when(close, apart).alias("apart")))
+    freed(sets, pairs)
+    return out
 
 
 def linked(percent: int):
@@ -189,13 +206,16 @@ def linked(percent: int):
 
 
 def by_full_sets(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """classes: rep, n, component, far. Pairs of other components, one of them far from a hub, whose full sets share a value of their heads."""
+    """classes: rep, n, component, far. Pairs of other components, one of them far from a hub, whose full sets meet early enough in their heads."""
     sets = full_sets(classes.select(F.col("rep").alias("doc_id")), docs, words)
-    sets = sets.select(F.struct("doc_id", "of").alias("rep"), F.size("values").alias("n"), F.col("values").alias("sketch"))
-    entries = heads(sets, shared_of_sets(percent)).select("value", F.col("rep.doc_id").alias("rep")).distinct()
+    named = sets.select(F.struct("doc_id", "of").alias("rep"), F.size("values").alias("n"), F.col("values").alias("sketch"))
+    entries = heads(named, shared_of_sets(percent)).groupBy("value", F.col("rep.doc_id").alias("rep")).agg(F.min("at").alias("at"), F.max("n").alias("size"))
     entries = written(entries.join(classes, "rep"))
-    other = entries.select("value", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "component", "far")))
-    both = entries.join(other, "value").where((F.col("far") | F.col("far2")) & (F.col("component") < F.col("component2")) & close_in_size(percent))
+    freed(sets)
+    other = entries.select("value", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "component", "far", "at", "size")))
+    # rows that repeat a doc_id may have several sets; for them size and place are the most favourable ones
+    open_ = (F.col("far") | F.col("far2")) & (F.col("component") < F.col("component2")) & close_in_size(percent) & reach(percent, "size", "at", "size2", "at2")
+    both = entries.join(other, (entries["value"] == other["value"]) & open_)
     return both.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
 
 
@@ -203,24 +223,32 @@ def by_differences(seen: DataFrame, found: DataFrame, percent: int) -> DataFrame
     """Pairs of classes that are both near a hub, not both linked with it, and may be linked with each other.
 
     seen: a (hub), b, sizes, apart. With c = (100 - p) / (100 + p), sets x and y are linked if they differ in at most c (|x| + |y|) values.
-    They differ in |x~h| + |y~h| - 2 |common differences|, and x differs from h in more than c (|x| + |h|) if it isn't linked with it. So x and y share more
-    than (|y~h| - c (|y| - |h|)) / 2 differences, and at least (|x~h| - c (|x| + |h|)) / 2; their heads, rarest first, share one.
+    They differ in |x~h| + |y~h| - 2 |common differences|. With over(x) = |x~h| - c |x|, they share at least (over(x) + over(y)) / 2 differences from the hub, and
+    that is positive if one isn't linked with it. The least over(y) of the list, of open classes for a linked one, tells how many x shares with any, and so how long
+    its head, rarest first, must be. Where x and y first meet, enough differences must be left behind in both.
     """
     c = (100.0 - percent) / (100.0 + percent)
-    d = F.size("apart")
-    least = F.greatest(F.lit(1), F.ceil((d - c * (F.col("n_b") + F.col("n_a"))) / 2 - 1e-9))
-    other = F.greatest(F.lit(1), F.floor((d - c * (F.col("n_b") - F.col("n_a"))) / 2 + 1e-9))
-    rows = seen.where("apart is not null").select("a", "b", "apart", linked(percent).alias("linked"), (d - least + 1).alias("head_x"), (d - other + 1).alias("head_y"))
+    rows = seen.where("apart is not null").select("a", "b", "apart", linked(percent).alias("linked"), F.size("apart").alias("d"), (F.size("apart") - c * F.col("n_b")).alias("over"))
     # a hub all of whose near classes are linked with it leaves nothing open
-    open_ = rows.groupBy("a").agg(F.max(~F.col("linked")).alias("open")).where("open")
-    rows = rows.join(open_.select("a"), "a", "left_semi").withColumn("value", F.explode("apart")).drop("apart")
-    often = rows.groupBy("a", "value").agg(F.count(F.lit(1)).alias("often"))
-    rows = rows.join(often, ["a", "value"]).groupBy("a", "b").agg(F.first("linked").alias("linked"), F.first("head_x").alias("head_x"), F.first("head_y").alias("head_y"), F.sort_array(F.collect_list(F.struct("often", "value"))).alias("values"))
-    rows = written(rows.join(found, F.col("b") == F.col("id"), "left").withColumn("component", F.coalesce("component", "b")).drop("id"))
-    take = lambda head: F.explode(F.slice("values", F.lit(1), F.greatest(F.lit(0), F.col(head)).cast("int"))).alias("v")
-    x = rows.where(~F.col("linked")).select("a", "b", "component", take("head_x")).where("v.often > 1").select("a", F.col("b").alias("x"), F.col("component").alias("cx"), F.col("v.value").alias("value"))
-    y = rows.select("a", "b", "component", take("head_y")).where("v.often > 1").select("a", F.col("b").alias("y"), F.col("component").alias("cy"), F.col("v.value").alias("value"))
-    return x.join(y, ["a", "value"]).where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    hubs = rows.groupBy("a").agg(F.min(F.when(~F.col("linked"), F.col("over"))).alias("least_open"), F.min("over").alias("least")).where("least_open is not null")
+    rows = rows.join(hubs, "a")
+    single = rows.withColumn("value", F.explode("apart")).drop("apart")
+    often = single.groupBy("a", "value").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    ordered = F.sort_array(F.collect_list(F.struct("often", "value")))
+    same = single.join(often, ["a", "value"]).groupBy("a", "b").agg(*(F.first(x).alias(x) for x in ("linked", "d", "over", "least", "least_open")), ordered.alias("values"))
+    # a difference of one class only comes first in its order and meets no one
+    alone = F.col("d") - F.size("values")
+    head = F.col("d") - F.greatest(F.lit(1), F.ceil((F.col("over") + F.when(F.col("linked"), F.col("least_open")).otherwise(F.col("least"))) / 2 - 1e-9)) + 1
+    left = F.greatest(F.lit(0), head - alone).cast("int")
+    same = same.join(found, F.col("b") == F.col("id"), "left").withColumn("component", F.coalesce("component", "b"))
+    entries = same.select("a", "b", "component", "linked", "d", "over", alone.alias("alone"), F.posexplode(F.slice("values", F.lit(1), left)).alias("place", "v"))
+    entries = entries.select("a", "b", "component", "linked", "over", F.col("v.value").alias("value"), (F.col("d") - F.col("alone") - F.col("place")).alias("behind"))
+    entries = written(entries)
+    y = entries.select("a", "value", *(F.col(x).alias(f"{x}2") for x in ("b", "component", "linked", "over", "behind")))
+    needed = (F.col("over") + F.col("over2")) / 2 - 1e-9
+    open_ = ~F.col("linked") & (F.col("linked2") | (F.col("b") < F.col("b2"))) & (F.col("component") != F.col("component2")) & (F.least("behind", "behind2") >= needed)
+    both = entries.join(y, (entries["a"] == y["a"]) & (entries["value"] == y["value"]) & open_)
+    return both.select(F.least("b", "b2").alias("a"), F.greatest("b", "b2").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -255,30 +283,36 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataF
     rows = written(sketches(docs, words))
     of = rows.where("n > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = written(of)
-    entries = written(heads(classes, shared_of_sketches(percent)))
+    entries = written(heads(classes, shared_of_sketches(percent)).drop("at"))
     near = 2 * percent - 100  # at twice the allowed distance
-    hubs = entries.groupBy("value").agg(F.max(F.struct("typical", -F.col("rep"), "rep", "n")).alias("h")).select("value", F.col("h.rep").alias("hub"), F.col("h.n").alias("n2"))
-    pairs = entries.join(hubs, "value").where(F.col("hub") != F.col("rep")).where(close_in_size(near)).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    seen = written(compared(written(estimated(pairs, classes, near)), docs, words, near))
+    most = F.max(F.struct("typical", -F.col("rep"), "rep", "n")).alias("h")
+    hubs = entries.groupBy("value").agg(most, F.first("often").alias("often")).select("value", "often", F.col("h.rep").alias("hub"), F.col("h.n").alias("n2"))
+    # A value of many classes is dealt to several tasks: its classes by their hash, its hub to each of them.
+    parts = F.ceil(F.col("often") / SALT_ROWS).cast("int")
+    dealt = entries.withColumn("salt", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+    spread = written(hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("often"))
+    pairs = dealt.join(spread, ["value", "salt"]).where(F.col("hub") != F.col("rep")).where(close_in_size(near)).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    seen = compared(estimated(pairs, classes, near), docs, words, near)
     links = written(seen.where(linked(percent)).select("a", "b"))
-    found = components(links)
+    found = written(components(links))
 
     # Where each class of a list stands: with the hub, near it, or far.
     state = F.when(F.col("rep") == F.col("hub"), 0).when(linked(percent), 0).when(F.col("apart").isNotNull(), 1).otherwise(2)
     known = seen.select(F.col("a").alias("hub"), F.col("b").alias("rep"), "n_a", "n_b", "common", "apart")
-    placed = entries.drop("typical").join(hubs.select("value", "hub"), "value").join(known, ["hub", "rep"], "left").select("value", "rep", "n", state.alias("state"))
-    named = placed.where("state > 0").join(found, F.col("rep") == F.col("id"), "left").select("value", "rep", "n", "state", F.coalesce("component", "rep").alias("component"))
+    placed = dealt.join(spread.select("value", "salt", "hub"), ["value", "salt"]).join(known, ["hub", "rep"], "left").select("value", "rep", "n", state.alias("state"))
+    named = written(placed.where("state > 0").join(found, F.col("rep") == F.col("id"), "left").select("value", "rep", "n", "state", F.coalesce("component", "rep").alias("component")))
     mixed = named.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("state").alias("far"), F.count(F.lit(1)).alias("size")).where("low < high and far = 2")
-    named = written(named.join(mixed.select("value", "size"), "value"))
-    large = named.where(F.col("size") > LIST).groupBy("rep", "n", "component").agg((F.max("state") == 2).alias("far"))
-    named = named.where(F.col("size") <= LIST)
-    other = named.select("value", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("state").alias("state2"), F.col("component").alias("component2"))
-    open_ = (F.col("state") + F.col("state2") > 2) & (F.col("component") < F.col("component2"))
-    rest = named.join(other, (named["value"] == other["value"]) & open_ & close_in_size(percent))
-    rest = rest.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
-    rest = rest.unionByName(by_full_sets(large, docs, words, percent)).unionByName(by_differences(seen, found, percent)).distinct().join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
-    more = compared(written(estimated(rest, classes, percent)), docs, words, 101).where(linked(percent)).select("a", "b")
-    found = components(written(links.unionByName(more)))
+    large = named.join(mixed.where(F.col("size") > LIST).select("value"), "value", "left_semi").groupBy("rep", "n", "component").agg((F.max("state") == 2).alias("far"))
+    small = written(named.join(mixed.where(F.col("size") <= LIST).select("value"), "value", "left_semi"))
+    other = small.select("value", *(F.col(x).alias(f"{x}2") for x in ("rep", "n", "state", "component")))
+    open_ = (F.col("state") + F.col("state2") > 2) & (F.col("component") < F.col("component2")) & close_in_size(percent)
+    few = small.join(other, (small["value"] == other["value"]) & open_).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
+    done = seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = few.unionByName(by_full_sets(written(large), docs, words, percent)).unionByName(by_differences(seen, found, percent)).distinct().join(done, ["a", "b"], "left_anti")
+    more = compared(estimated(rest, classes, percent), docs, words, 101).where(linked(percent)).select("a", "b")
+    every = written(links.unionByName(more))
+    freed(entries, spread, seen, named, small, links)
+    found = components(every)
 
     top = classes.join(found, F.col("rep") == F.col("id"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n", "set_key").join(top, "set_key", "left")
