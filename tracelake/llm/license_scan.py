@@ -1,10 +1,10 @@
 """Exact set-similarity join of text blocks with licence templates.
 
-A block is a line of a text, or, across line ends, a run of as many words as the template has. It matches a template when it has at least
-CONTAINMENT of the template's distinct words. Runs are looked for in overlapping chunks, of which each run lies in one.
-Words are ordered by how many blocks have them, rarest first. A block that matches shares at least one word
-with the template's prefix, is long enough, and has enough words behind its first shared one; what is left after
-these filters is compared in full. So every matching block is found.
+A block is a run of consecutive words, also across lines, up to a quarter longer than the template. It matches a template when it has at least
+CONTAINMENT of the template's distinct words, wherever in the text it stands. A block's words are its text's, so the join first looks for texts:
+words are ordered by how many texts have them, rarest first. A text that holds a matching block has enough of the template's words (length filter);
+among the first of its own words and of the template's, as long as the rest allows, they share one (prefix filter); and at the first one
+they share, enough words are left behind in both (positional filter). Of what is left, every run is compared in full.
 """
 
 from __future__ import annotations
@@ -46,10 +46,9 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, UPPER, LOWER), NOT_WORDS), lambda w: w != "")
 
 
-def templates(spark) -> list[tuple[int, str, list[str]]]:
-    """Number, label and distinct words of each template."""
-    every = [(label, text) for label, texts_ in TEMPLATES.items() for text in texts_]
-    return [(k, label, sorted(set(text.split()))) for k, (label, text) in enumerate(every)]
+def templates() -> list[tuple[str, str, list[str]]]:
+    """Label, text and distinct words of each template."""
+    return [(label, text, sorted(set(text.split()))) for label, texts_ in TEMPLATES.items() for text in texts_]
 
 
 def needed(n: int) -> int:
@@ -57,95 +56,92 @@ def needed(n: int) -> int:
     return max(1, -int(-(n * CONTAINMENT) // 1))
 
 
-def block_frequency(blocks: DataFrame, vocabulary: DataFrame) -> dict[str, int]:
-    """Blocks that have each word of the templates; a word of no block has no entry."""
-    counts = blocks.select(F.explode("tokens").alias("token")).join(F.broadcast(vocabulary), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    return {r.token: r.n for r in counts.collect()}  # at most the templates' words
+def block_of(template: str) -> int:
+    """Words of a block, at most."""
+    n = len(template.split())
+    return n + n // 4
 
 
-def longest() -> int:
-    """Words of the longest template."""
-    return max(len(text.split()) for texts_ in TEMPLATES.values() for text in texts_)
+def vocabulary() -> list[str]:
+    return sorted({w for _, _, ws in templates() for w in ws})
 
 
-def chunks(texts_: DataFrame) -> DataFrame:
-    """texts_: text_key, text. text_key, run (words in order) and tokens (distinct words); any run of `longest()` words lies in one chunk."""
-    size = longest()
-    rows = texts_.where(F.contains("text", F.lit("\n"))).select("text_key", words(F.col("text")).alias("w")).where("size(w) > 0")
-    rows = rows.select("text_key", F.explode(F.expr(f"transform(sequence(0, size(w) - 1, {size}), i -> slice(w, i + 1, {2 * size}))")).alias("run"))
-    return rows.select("text_key", "run", F.array_distinct("run").alias("tokens"))
+#: Words that a text needs for the template that needs least.
+LEAST = min(needed(len(ws)) for _, _, ws in templates())
 
 
-def matches(blocks: DataFrame) -> DataFrame:
-    """blocks: text_key and tokens (distinct words of a block). Returns text_key, label, containment of every match."""
-    near = candidates(blocks)
-    return near.select("text_key", "label", (F.col("shared") / F.size("words")).alias("containment"))
+def candidates(texts_: DataFrame) -> DataFrame:
+    """texts_: row, w (all words in order), have (the templates' words among them). Each with every template of which it has enough words.
 
-
-def matches_across(chunks_: DataFrame) -> DataFrame:
-    """text_key, label, containment of each chunk in which a run as long as the template matches it."""
-    near = candidates(chunks_)
-    at = "transform(sequence(0, greatest(0, size(run) - length)), i -> size(array_intersect(words, slice(run, i + 1, length))))"
-    near = near.withColumn("shared", F.array_max(F.expr(at))).where("shared >= need")
-    return near.select("text_key", "label", (F.col("shared") / F.size("words")).alias("containment"))
-
-
-def candidates(blocks: DataFrame) -> DataFrame:
-    """The blocks, with all their columns, and each template of which they have enough words: words, length, need, shared.
-
-    The templates are a fixed list, so their prefixes are broadcast.
+    Only word counts of the templates' vocabulary come to the driver; the templates are a fixed list, so their prefixes are broadcast.
     """
-    spark, all_ = blocks.sparkSession, templates(blocks.sparkSession)
-    vocabulary = spark.createDataFrame([(w,) for w in sorted({w for _, _, ws in all_ for w in ws})], "token string")
-    often = block_frequency(blocks, vocabulary)
-    order = lambda w: (often.get(w, 0), w)
-    lengths = [len(text.split()) for texts_ in TEMPLATES.values() for text in texts_]
+    spark = texts_.sparkSession
+    counts = texts_.select(F.explode("have").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    often = {r.token: r.n for r in counts.collect()}  # at most the templates' words
+    order = sorted(vocabulary(), key=lambda w: (often.get(w, 0), w))
+    rank = {w: k for k, w in enumerate(order)}
     rows = []
-    for k, label, ws in all_:
-        ranked, need = sorted(ws, key=order), needed(len(ws))
-        rows += [(ranked[at], k, label, ranked, at, need, lengths[k]) for at in range(len(ws) - need + 1)]
-    prefixes = F.broadcast(spark.createDataFrame(rows, "token string, template int, label string, words array<string>, at int, need int, length int"))
-    prefix_words = F.array(*[F.lit(w) for w in sorted({r[0] for r in rows})])
-    near = blocks.where(F.size("tokens") >= min(r[5] for r in rows)).where(F.arrays_overlap("tokens", prefix_words))
-    near = near.withColumn("token", F.explode(F.array_intersect("tokens", prefix_words))).join(prefixes, "token")
-    long_enough = F.size("tokens") >= F.col("need")
-    # The pair is taken at its first shared word; the words before it are missing, so those behind it must suffice.
-    first = F.size(F.array_intersect(F.slice("words", F.lit(1), F.col("at")), "tokens")) == 0
-    reachable = F.size("words") - F.col("at") >= F.col("need")
-    near = near.where(long_enough & reachable & first)
-    return near.withColumn("shared", F.size(F.array_intersect("tokens", "words"))).where("shared >= need")
-
+    for k, (label, text, ws) in enumerate(templates()):
+        ranked, need = sorted(ws, key=rank.get), needed(len(ws))
+        rows += [(ranked[at], k, label, ranked, at, need, block_of(text)) for at in range(len(ws) - need + 1)]
+    prefixes = F.broadcast(spark.createDataFrame(rows, "token string, template int, label string, words array<string>, at int, need int, block int"))
+    own = F.array_intersect(F.lit(order), F.col("have"))  # in the global order
+    near = texts_.withColumn("have", own).where(F.size("have") >= LEAST)
+    near = near.select("*", F.posexplode(F.slice("have", F.lit(1), F.size("have") - LEAST + 1)).alias("place", "token")).join(prefixes, "token")
+    long_enough = F.size("have") >= F.col("need")
+    behind = F.least(F.size("have") - F.col("place"), F.size("words") - F.col("at")) >= F.col("need")
+    # a pair is taken where it first meets
+    first = F.size(F.array_intersect(F.slice("words", F.lit(1), F.col("at")), "have")) == 0
+    near = near.where(long_enough & behind & first)
+    return near.where(F.size(F.array_intersect("have", "words")) >= F.col("need")).select("row", "w", "template", "label", "words", "need", "block")
+
+
+def matches(texts_: DataFrame) -> DataFrame:
+    """row, template, label, at, containment: the text's best block for each template that one of its blocks matches, and the word with which it starts.
+
+    A block may start at a word of the template: one that starts before it has none more.
+    """
+    starts = "filter(sequence(0, size(w) - 1), i -> array_contains(words, w[i]))"
+    best = f"array_max(transform({starts}, i -> struct(size(array_intersect(words, slice(w, i + 1, block))) as shared, -i as earlier)))"
+    found = candidates(texts_).withColumn("best", F.expr(best)).where("best.shared >= need")
+    return found.select("row", "template", "label", (-F.col("best.earlier")).cast("long").alias("at"), (F.col("best.shared") / F.size("words")).alias("containment"))
 
-def scan(docs: DataFrame) -> DataFrame:
-    """A row for each document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, by_block.
 
-    n_base counts the places of all phrases, also across lines. labels adds those of the templates that lines, or runs across them, match; score is the largest
-    containment, 1 where a phrase stands, and 0 without any. Null and empty texts have no words and no labels. Repeated
-    rows each return, a null doc_id is carried along, other columns are ignored, an empty table gives no rows.
-    """
+def read(docs: DataFrame) -> DataFrame:
+    """row, doc_id, n_words, the places of each phrase, have, and w where a template may be in the text. A written table."""
     padded = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
     places = []
     for phrase in PHRASES:
         parts = phrase.split()
         at = f"filter(sequence(0, size(w) - {len(parts)}), i -> " + " and ".join(f"w[i + {k}] = '{p}'" for k, p in enumerate(parts)) + ")"
         places.append(F.when(F.contains("padded", F.lit(f" {phrase} ")), F.expr(at)).otherwise(F.expr("cast(array() as array<int>)")))
-    base = texts(docs).select("doc_id", "text", words(F.col("text")).alias("w")).withColumn("padded", padded)
-    base = base.select("doc_id", "text", F.size("w").cast("long").alias("n_words"), *[p.alias(f"p{k}") for k, p in enumerate(places)])
+    rows = texts(docs).select("doc_id", words(F.col("text")).alias("w")).withColumn("padded", padded).withColumn("have", F.array_intersect(F.lit(vocabulary()), F.col("w")))
+    return written(
+        rows.select(
+            "doc_id", F.monotonically_increasing_id().alias("row"), F.size("w").cast("long").alias("n_words"), *[p.alias(f"p{k}") for k, p in enumerate(places)],
+            "have", F.when(F.size("have") >= LEAST, F.col("w")).alias("w"),
+        )
+    )
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """A row for each document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, by_block.
+
+    n_base counts the places of all phrases, also across lines. labels adds those of the templates that a block of the text matches; score is the largest
+    containment, 1 where a phrase stands, and 0 without any. Null and empty texts have no words and no labels. Repeated
+    rows each return, a null doc_id is carried along, other columns are ignored, an empty table gives no rows.
+    """
+    base = read(docs)
     every = F.concat(*[F.col(f"p{k}") for k in range(len(PHRASES))])
-    found = F.array_sort(F.array_compact(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(v)) for k, v in enumerate(PHRASES.values())])))
-    base = written(base.select("doc_id", F.md5("text").alias("text_key"), "n_words", every.alias("places"), F.array_distinct(found).alias("base_labels")))
-
-    blocks = texts(docs).select(F.md5("text").alias("text_key"), F.explode(F.split("text", "\n")).alias("block"))
-    blocks = blocks.select("text_key", F.array_distinct(words(F.col("block"))).alias("tokens")).where("size(tokens) > 0")
-    across = matches_across(chunks(texts(docs).select(F.md5("text").alias("text_key"), "text")))
-    best = matches(blocks).unionByName(across).groupBy("text_key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"), F.count(F.lit(1)).alias("n_blocks"))
-    out = base.join(best, "text_key", "left")
+    own = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(v)) for k, v in enumerate(PHRASES.values())]))))
+    best = matches(base.select("row", "w", "have")).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    out = base.select("row", "doc_id", "n_words", every.alias("places"), own.alias("base_labels")).join(best, "row", "left")
     more = F.coalesce("more", F.expr("cast(array() as array<string>)"))
     score = F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0)))
     return out.select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").cast("long").alias("first_word"),
         F.array_max("places").cast("long").alias("last_word"), F.array_join("base_labels", ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union("base_labels", more)), ",").alias("labels"), score.alias("score"), (F.coalesce("n_blocks", F.lit(0)) > 0).alias("by_block"),
+        F.array_join(F.array_sort(F.array_union("base_labels", more)), ",").alias("labels"), score.alias("score"), F.col("best").isNotNull().alias("by_block"),
     )
 
 
