@@ -1,10 +1,12 @@
-"""I-Match fingerprints over several randomised subsets of a lexicon.
+"""I-Match fingerprints over randomised subsets of a lexicon.
 
-The lexicon holds the terms whose document frequency lies in a band: at least MIN_DOCS documents, and at most
-MAX_SHARE of all. A subset is a cell of the lexicon dealt by a hash of the term. For one subset, a document's terms in it
-are sorted and hashed; equal hashes mean equal term sets in the subset. A longer document is compared on finer cells: with
-2^level cells, at least as many as it has terms, the first CELLS of them are its subsets, so that a cell holds about one
-of its terms. Finer levels are kept too, so that documents of different lengths share levels.
+The lexicon holds the terms whose inverse document frequency lies in a band: terms of at least MIN_DOCS documents, and of at most
+MAX_SHARE of all. A document's terms in the lexicon are sorted and hashed; so are those in each of SERIES * LEVELS random subsets of the
+lexicon. A subset of level k keeps a share of 4^-k of the lexicon, by a hash of the term; a series is a sequence of such subsets, each
+within the one before. Every document is hashed on the whole lexicon and on all subsets, whatever its length: coarse subsets tell
+short documents apart, and fine ones still hold a term or two of a long one.
+
+Two fingerprints are alike in the share of subsets that hash alike, on the finest levels that together have EVIDENCE subsets with terms of either.
 """
 
 from __future__ import annotations
@@ -14,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import documents, texts, written
 
-CELLS = 32
-LEVELS = 20
+SERIES = 16
+LEVELS = 7
+EVIDENCE = 16
+#: The band: a term of one document only is out, and so is one of more than this share of all.
 MIN_DOCS = 2
 MAX_SHARE = 0.2
 #: Ids in a block; one task sorts a block at a time.
@@ -44,120 +48,128 @@ def lower_neighbour(ids: DataFrame, low: int, high: int) -> DataFrame:
     return inside.join(lower, "part", "left").select("id", F.coalesce("below", "top").alias("below"))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_id, next_text: the next document in descending doc_id, after the last one the first.
+def block_of(doc_id: Column) -> Column:
+    return F.floor(doc_id / BLOCK)
 
-    Texts move once, to the block of their ids. What crosses a block's end is the largest document of the next lower block,
-    which is copied to the block above; the largest of all goes to the lowest. Blocks hold at most BLOCK different ids.
-    """
-    block = F.floor(F.col("doc_id") / BLOCK)
-    tops = written(docs.where("doc_id is not null").groupBy(block.alias("id")).agg(F.max("doc_id").alias("top")))
-    edge = tops.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("top").alias("top")).first()
-    if edge["low"] is None:
-        return docs.select("doc_id", "text", F.lit(None).cast("long").alias("next_id"), F.lit(None).cast("string").alias("next_text"))
-    below = lower_neighbour(tops.select("id"), edge["low"], edge["high"])
+
+def ends(docs: DataFrame) -> DataFrame:
+    """block, doc_id: for each block, the largest document of the next lower one, or for the lowest block the largest of all."""
+    tops = written(docs.where("doc_id is not null").groupBy(block_of(F.col("doc_id")).alias("id")).agg(F.max("doc_id").alias("top")))
+    edge = tops.agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
+    below = lower_neighbour(tops.select("id"), edge["low"] or 0, edge["high"] or 0)
     copies = below.select(F.col("id").alias("block"), F.coalesce("below", F.lit(edge["high"])).alias("from"))
-    copies = written(copies.join(tops.select(F.col("id").alias("from"), "top"), "from").select("block", F.col("top").alias("doc_id")))
-    first = docs.join(copies, "doc_id").groupBy("block", "doc_id").agg(F.min("text").alias("text"))
-    rows = docs.where("doc_id is not null").select(block.alias("block"), F.lit(False).alias("copy"), "doc_id", "text")
-    rows = rows.unionByName(first.select("block", F.lit(True).alias("copy"), "doc_id", "text"))
-    down = Window.partitionBy("block").orderBy("copy", F.desc("doc_id"), "text")
-    out = rows.withColumn("next_id", F.lead("doc_id").over(down)).withColumn("next_text", F.lead("text").over(down)).where("not copy")
-    alone = docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("long").alias("next_id"), F.lit(None).cast("string").alias("next_text"))
-    return out.select("doc_id", "text", "next_id", "next_text").unionByName(alone)
+    return written(copies.join(tops.select(F.col("id").alias("from"), "top"), "from").select("block", F.col("top").alias("doc_id")))
 
 
-def document_frequency(docs: DataFrame) -> DataFrame:
-    """term, df over all documents."""
-    return docs.select(F.explode(term_hashes(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def in_blocks(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """rows: doc_id, h and others. Each in its block, with own = 1, and the last document of the next lower block before them, with own = 0.
 
+    Rows without a doc_id are dealt by h.
+    """
+    own = rows.withColumn("block", block_of(F.col("doc_id"))).withColumn("part", F.when(F.col("doc_id").isNull(), F.pmod("h", F.lit(BLOCK))).otherwise(0)).withColumn("own", F.lit(1))
+    copied = rows.join(copies, "doc_id").withColumn("part", F.lit(0).cast("long")).withColumn("own", F.lit(0))
+    return own.unionByName(copied)
 
-def let(value: Column, body) -> Column:
-    """body(value), with the value computed once; inside a lambda, an outer expression would be computed again for each element."""
-    return F.element_at(F.transform(F.array(value), body), 1)
 
+def before(column: str) -> Column:
+    """The column of the row before, going up from the lowest document of a block: that of the next one in descending doc_id."""
+    up = Window.partitionBy("block", "part").orderBy("own", "doc_id", "h")
+    return F.when(F.col("doc_id").isNotNull(), F.lag(column).over(up))
 
-def in_cells(terms: Column, cells: Column) -> Column:
-    return F.filter(terms, lambda t: F.pmod(t, cells) < CELLS)
 
+def with_next(docs: DataFrame) -> DataFrame:
+    """doc_id, text, next_id, next_text: the next document in descending doc_id, after the last one the first.
 
-def cells_of(level: Column) -> Column:
-    return F.pow(F.lit(2.0), level).cast("long")
+    Texts move once, to the block of their ids. What crosses a block's end is the largest document of the next lower block,
+    which is copied to the block above; the largest of all goes to the lowest. Blocks hold at most BLOCK different ids.
+    """
+    rows = in_blocks(docs.select("doc_id", "text", F.xxhash64("text").alias("h")), ends(docs))
+    out = rows.withColumn("next_id", before("doc_id")).withColumn("next_text", before("text")).where("own = 1")
+    return out.select("doc_id", "text", "next_id", "next_text")
 
 
-def sampled(terms: Column) -> Column:
-    """The level for so many terms, and the terms that any of the document's subsets can hold."""
+def document_frequency(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, h, text. term, df (rows that have it), and the ids of one of them: for a term of one document, that document."""
+    every = docs.select("doc_id", "h", F.explode(term_hashes(F.col("text"))).alias("term"))
+    return written(every.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("doc_id").alias("doc_id"), F.max("h").alias("h")))
 
-    def at(ts: Column) -> Column:
-        level = F.greatest(F.lit(5), F.ceil(F.log2(F.greatest(F.size(ts), F.lit(1)))).cast("int"))
-        pick = lambda x: F.struct(x["level"].alias("level"), in_cells(ts, x["cells"]).alias("terms"))
-        return let(F.struct(level.alias("level"), cells_of(level).alias("cells")), pick)
 
-    return let(terms, at)
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once; inside a lambda, an outer expression would be computed again for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def fingerprint(level: Column, terms: Column) -> Column:
-    """Tokens level.cell.hash for each subset that holds terms; terms are sorted, and their list is hashed."""
+def hashed(terms: str) -> Column:
+    """The print of the sorted terms in a column: one hash of all, and a 32-bit one for each subset, null where it is empty, the finest level first."""
+    series = []
+    for r in range(SERIES):
+        keep = f"filter(acc.rest, t -> shiftright(xxhash64(t, {r}), 2 * (k - 1)) & 3 = 0)"
+        digest = "case when size(x) > 0 then cast((xxhash64(x) & 4294967295) - 2147483648 as int) end"
+        step = f"element_at(transform(array({keep}), x -> named_struct('rest', x, 'out', array_append(acc.out, {digest}))), 1)"
+        series.append(f"aggregate(sequence(1, {LEVELS}), named_struct('rest', ts, 'out', cast(array() as array<int>)), (acc, k) -> {step}).out")
+    by_series = f"flatten(array({', '.join(series)}))"
+    finest = f"transform(sequence(0, {SERIES * LEVELS - 1}), i -> element_at(s, cast((i % {SERIES}) * {LEVELS} + {LEVELS} - i div {SERIES} as int)))"
+    body = f"element_at(transform(array({by_series}), s -> {finest}), 1)"
+    return F.expr(f"element_at(transform(array({terms}), ts -> named_struct('whole', xxhash64(ts), 'subsets', {body})), 1)")
 
-    def token(lv: Column, here: Column, cells: Column, cell: Column) -> Column:
-        digest = F.hex(F.xxhash64(F.filter(here, lambda t: F.pmod(t, cells) == cell)))
-        return F.concat_ws(".", lv.cast("string"), cell.cast("string"), F.lpad(digest, 16, "0"))
 
-    def tokens(lv: Column, cells: Column, here: Column) -> Column:
-        of = F.array_distinct(F.transform(here, lambda t: F.pmod(t, cells)))
-        return F.transform(of, lambda cell: token(lv, here, cells, cell))
+def likeness(a: Column, b: Column) -> Column:
+    """Share of equal hashes, with the whole list's, on the finest levels that have EVIDENCE subsets with terms of either; 1 where all terms agree."""
+    pairs = F.zip_with(a["subsets"], b["subsets"], lambda x, y: F.when(x.isNull() & y.isNull(), None).otherwise(x.eqNullSafe(y).cast("int")))
 
-    def at(lv: Column) -> Column:
-        return let(cells_of(lv), lambda cells: let(in_cells(terms, cells), lambda here: tokens(lv, cells, here)))
+    def step(acc: Column, part: Column) -> Column:
+        more = F.struct((acc["n"] + F.size(F.array_compact(part))).alias("n"), (acc["same"] + F.size(F.filter(part, lambda p: p == 1))).alias("same"))
+        return F.when(acc["n"] >= EVIDENCE, acc).otherwise(more)
 
-    return F.array_sort(F.flatten(F.transform(F.sequence(level, F.greatest(level, F.lit(LEVELS))), at)))
+    levels = let(pairs, lambda ps: F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: F.slice(ps, k * SERIES + 1, SERIES)))
+    share = F.aggregate(levels, F.struct(F.lit(0).alias("n"), F.lit(0).alias("same")), step, lambda acc: acc["same"] / (acc["n"] + 1.0))
+    return F.when(a["whole"] == b["whole"], 1.0).otherwise(share)
 
 
-def likeness(a: Column, b: Column, a_level: Column, b_level: Column) -> Column:
-    """Share of the subsets that hold terms of either document in which both hash alike, on the finer of their levels."""
-    prefix = F.concat(F.greatest(a_level, b_level).cast("string"), F.lit("."))
-    at = lambda x: F.filter(x, lambda t: F.startswith(t, prefix))
-    cells = lambda x: F.transform(at(x), lambda t: F.substring_index(t, ".", 2))
-    either = F.size(F.array_union(cells(a), cells(b)))
-    same = F.size(F.array_intersect(at(a), at(b)))
-    return F.when((a == b), 1.0).when(either == 0, 0.0).otherwise(same / either)
+def in_words(print_: Column) -> Column:
+    """The print in hexadecimal digits; a minus stands for an empty subset."""
+    digits = lambda x, n: F.substring(F.lpad(F.hex(x), 16, "0"), 17 - n, n)
+    subsets = F.transform(print_["subsets"], lambda x: F.when(x.isNull(), "-").otherwise(digits(x.cast("long"), 8)))
+    return F.concat_ws(" ", digits(print_["whole"], 16), F.array_join(subsets, " "))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The edited text is the contract's: the last half of the code points gives way to the start of the next document in descending doc_id.
-    A document none of whose terms is in the band is fingerprinted on all its terms. Null text is empty; texts without terms have empty fingerprints, which are alike.
-    Of rows that repeat a doc_id each comes before the next in the order of their texts; a single document, and a null doc_id,
-    have themselves, or nothing, as the next one (a null doc_id keeps its text, near_next is 0). Other columns are ignored; an empty table gives no rows.
+    The edited text is the contract's: the last half of the code points gives way to the start of the next document in descending doc_id. Words that
+    neither document has, but that the cut makes, are no terms of it.
+    A text none of whose terms is in the band is fingerprinted on all its terms. Null text is empty; texts without terms have fingerprints of nothing, which are alike.
+    Of rows that repeat a doc_id each comes before the next in the order of a hash of their texts; a single document has itself as the next one, and a null doc_id
+    has none (it keeps its text, near_next is 0). Other columns are ignored; an empty table gives no rows.
     """
-    docs = texts(docs)
+    docs = texts(docs).withColumn("h", F.xxhash64("text"))
+    df = document_frequency(docs)
+    most = max(MIN_DOCS, int(MAX_SHARE * docs.count()))
+    # Such terms are at most the average number of a document's terms, divided by MAX_SHARE, however many documents there are.
+    common = F.lit([r.term for r in df.where(F.col("df") > most).select("term").collect()]).cast("array<bigint>")
+    rare = df.where(F.col("df") < MIN_DOCS).groupBy("doc_id", "h").agg(F.collect_list("term").alias("rare"))  # at most a text's terms
+    rows = docs.withColumn("rare", F.lit(None).cast("array<bigint>")).unionByName(rare.withColumn("text", F.lit(None).cast("string")))
+    rows = in_blocks(rows, ends(docs))
+    same = Window.partitionBy("block", "part", "own", "doc_id", "h").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("out", F.first("rare", ignorenulls=True).over(same)).where("text is not null")
+
+    none = F.expr("cast(array() as array<bigint>)")
+    band = lambda terms, out: let(F.array_except(F.array_except(terms, common), out), lambda ts: F.array_sort(F.when(F.size(ts) > 0, ts).otherwise(terms)))
+    rows = rows.select("block", "part", "own", "doc_id", "h", "text", F.coalesce("out", none).alias("out"), term_hashes(F.col("text")).alias("terms"))
+    rows = rows.withColumn("lexicon", band(F.col("terms"), F.col("out"))).withColumn("print", hashed("lexicon"))
+    rows = rows.select("*", *(before(c).alias(f"next_{c}") for c in ("text", "terms", "out", "print"))).where("own = 1")
+
     half = F.floor(F.char_length("text") / 2).cast("int")
     kept = F.substring(F.col("text"), F.lit(1), F.char_length("text") - half)
     edited = F.when(F.col("next_text").isNull(), F.col("text")).otherwise(F.concat(kept, F.substring(F.col("next_text"), F.lit(1), half)))
-    rows = with_next(docs).select("doc_id", "next_id", "text", edited.alias("edited"))
-    rows = rows.select(
-        "doc_id", "next_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        sampled(term_hashes(F.col("text"))).alias("own"), sampled(term_hashes(F.col("edited"))).alias("other"), F.xxhash64("text").alias("row"),
-    )
-    rows = written(rows)
-    total = rows.count()
-    both = F.explode(F.array_union("own.terms", "other.terms")).alias("term")
-    common = document_frequency(docs).where((F.col("df") < MIN_DOCS) | (F.col("df") > F.greatest(F.lit(MIN_DOCS), F.lit(MAX_SHARE * total))))
-    # The terms outside the band that a document's subsets hold; a very common term is in few entries of this side.
-    outside = rows.select("doc_id", "row", both).join(common.select("term"), "term").groupBy("doc_id", "row").agg(F.collect_set("term").alias("outside"))
-    rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(-1))).join(outside.withColumn("id", F.coalesce("doc_id", F.lit(-1))).drop("doc_id"), ["id", "row"], "left")
-    none = F.coalesce("outside", F.expr("cast(array() as array<bigint>)"))
-    band = lambda x: F.when(F.size(F.array_except(x["terms"], none)) > 0, F.array_except(x["terms"], none)).otherwise(x["terms"])
-    rows = rows.select("doc_id", "next_id", "n_chars", "edited_sha256", F.col("own.level").alias("level"), F.col("other.level").alias("edited_level"), F.array_sort(band(F.col("own"))).alias("own"), F.array_sort(band(F.col("other"))).alias("other"))
-    rows = rows.select("doc_id", "next_id", "n_chars", "edited_sha256", "level", "edited_level", fingerprint(F.col("level"), F.col("own")).alias("print"), fingerprint(F.col("edited_level"), F.col("other")).alias("edited_print"))
-    rows = written(rows)
-    nexts = rows.groupBy(F.col("doc_id").alias("next_id")).agg(F.min(F.struct("print", "level")).alias("next"))
-    out = rows.join(nexts, "next_id", "left")
-    near_next = F.coalesce(likeness(F.col("print"), F.col("next.print"), F.col("level"), F.col("next.level")), F.lit(0.0))
-    return out.select(
-        "doc_id", "n_chars", "edited_sha256", F.array_join("print", " ").alias("fingerprint"), F.array_join("edited_print", " ").alias("edited_fingerprint"),
-        likeness(F.col("print"), F.col("edited_print"), F.col("level"), F.col("edited_level")).alias("near_edited"), near_next.alias("near_next"),
+    rows = rows.select("doc_id", "text", "print", "next_print", edited.alias("edited"), F.array_union("terms", F.coalesce("next_terms", none)).alias("known"), F.array_union("out", F.coalesce("next_out", none)).alias("out"))
+    rows = rows.withColumn("terms", F.array_intersect(term_hashes(F.col("edited")), F.col("known")))
+    rows = rows.withColumn("lexicon", band(F.col("terms"), F.col("out"))).withColumn("edited_print", hashed("lexicon"))
+    return rows.select(
+        "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        in_words(F.col("print")).alias("fingerprint"), in_words(F.col("edited_print")).alias("edited_fingerprint"),
+        likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
+        F.when(F.col("next_print").isNull(), 0.0).otherwise(likeness(F.col("print"), F.col("next_print"))).alias("near_next"),
     )
 
 
