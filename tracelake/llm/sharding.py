@@ -12,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CELL_ROWS, documents, ranked, written
+from .common import CELL_ROWS, documents, freed, ranked, texts, written
 
 SHARDS = 24
 ROUNDS = 12
+#: Parts that a group of equal texts is counted in before it is counted as a whole.
+CELLS = 64
 #: What documents want that may go anywhere: those without links, and those of groups that are whole in their shard and move as such.
 ALONE, TOGETHER = -1, -2
 
@@ -96,13 +98,17 @@ def propagate(state: DataFrame, shards: int, rounds: int, rows: int) -> DataFram
         votes = state.where("gid is not null").groupBy("gid", "shard").agg(F.count(F.lit(1)).alias("n"), F.first("linked").alias("linked"))
         most = F.greatest(F.lit(1), F.ceil(F.max("linked") / capacity)).cast("int")
         order = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("fewer"), F.xxhash64("gid", "shard").alias("h"), "shard")))
-        tops = votes.groupBy("gid").agg(F.slice(order, 1, most).alias("tops"), F.count(F.lit(1)).alias("spread"))
-        aims = tops.select("gid", "spread", F.col("tops.shard").alias("keep"), F.filter("tops", lambda t: -t["fewer"] < capacity)["shard"].alias("open"))
+        tops = votes.groupBy("gid").agg(F.slice(order, 1, most).alias("tops"), F.count(F.lit(1)).alias("spread"), F.first("linked").alias("linked"))
+        aims = tops.select("gid", "spread", "linked", F.col("tops.shard").alias("keep"), F.filter("tops", lambda t: -t["fewer"] < capacity)["shard"].alias("open"))
         aim = F.when(F.size("open") > 0, F.element_at("open", (F.pmod(F.xxhash64("doc_id"), F.size("open")) + 1).cast("int")))
         inside = F.when(F.col("spread") == 1, TOGETHER)
-        wants = F.when(F.col("gid").isNull(), ALONE).when(F.array_contains("keep", F.col("shard")), inside).otherwise(aim).cast("int")
-        asking = state.join(aims, "gid", "left").withColumn("wants", wants).select(*state.columns, "wants")
-        asking = written(asking)
+        wants = F.when(F.array_contains("keep", F.col("shard")), inside).otherwise(aim).cast("int")
+        # Documents without links take no part in the join, and a large group is dealt to several tasks.
+        parts = F.ceil(F.col("linked") / CELL_ROWS).cast("int")
+        grouped = state.where("gid is not null").withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_crc32"), parts).cast("int"))
+        told = grouped.join(aims.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("linked"), ["gid", "salt"]).withColumn("wants", wants)
+        alone = state.where("gid is null").withColumn("wants", F.lit(ALONE))
+        before, asking = state, written(told.select(*state.columns, "wants").unionByName(alone))
         found = asking.where("wants is not null").groupBy("shard", "wants").agg(F.count(F.lit(1)).alias("n")).collect()  # at most shards * (shards + 2) rows
         asked = {(r.shard, r.wants): r.n for r in found if r.wants >= 0}
         moves = granted(asked, {(r.shard, r.wants): r.n for r in found if r.wants < 0})
@@ -114,9 +120,35 @@ def propagate(state: DataFrame, shards: int, rounds: int, rows: int) -> DataFram
         moved = movers.join(table, fits, "left").withColumn("shard", F.coalesce("goes", "shard"))
         columns = state.columns
         state = written(moved.select(*columns).unionByName(asking.where("wants is null").select(*columns)))
+        freed(before, asking)
     return state
 
 
+def edges(state: DataFrame) -> DataFrame:
+    """state: gid (null without links) and shard. One row: the edges between documents of equal text, and those of them that run between shards.
+
+    A group's edges are counted from its numbers by shard; no pair is made.
+    """
+    by_shard = state.where("gid is not null").groupBy("gid", "shard").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    pairs = lambda n: n * (n - 1) / 2
+    groups = by_shard.groupBy("gid").agg(pairs(F.sum("n")).alias("edges"), F.sum(pairs(F.col("n"))).alias("inside"))
+    return groups.agg(F.coalesce(F.sum("edges"), F.lit(0.0)).alias("edges"), F.coalesce(F.sum(F.col("edges") - F.col("inside")), F.lit(0.0)).alias("cut"))
+
+
+def dealt(docs: DataFrame, shards: int) -> DataFrame:
+    """doc_id, size, text_crc32, gid, linked and shard of each document: gid and linked (rows of the text) are null without links; shards are dealt by rank."""
+    base = texts(docs).select("doc_id", F.expr("octet_length(text)").cast("long").alias("bytes"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"), F.unhex(F.md5("text")).alias("hash"))
+    cell = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(CELLS))
+    base = written(base.select("doc_id", (F.col("bytes") + 8).alias("size"), "text_crc32", "hash", cell.alias("cell")))
+    # a group of any share of the rows meets as CELLS counts
+    counts = base.groupBy("hash", "cell").agg(F.count(F.lit(1)).alias("n"))
+    groups = counts.groupBy("hash").agg(F.sum("n").alias("linked")).where("linked > 1")
+    by_cell = counts.join(groups, "hash").select("hash", "cell", "linked")
+    rows = ranked(base, [], [F.col("doc_id"), F.col("text_crc32")], F.xxhash64("doc_id", "text_crc32"), "place", base.count())
+    rows = rows.join(by_cell, ["hash", "cell"], "left").withColumn("gid", F.when(F.col("linked").isNotNull(), F.col("hash")))
+    return written(rows.select("doc_id", "size", "text_crc32", "gid", "linked", F.pmod("place", F.lit(shards)).cast("int").alias("shard")))
+
+
 def assign_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """A row for each document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
@@ -124,15 +156,9 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -
     as a shard can hold them; a text with more rows than that fills shard after shard. Null text is empty, empty texts are one group,
     repeated rows are documents of their own, a null doc_id is placed like any other. An empty table gives no rows.
     """
-    base = docs.select("doc_id", F.expr("octet_length(text)").cast("long").alias("bytes"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"), F.unhex(F.md5("text")).alias("gid"))
-    base = written(base.select("doc_id", (F.col("bytes") + 8).alias("size"), "text_crc32", "gid"))
-    rows = base.count()
-    groups = base.groupBy("gid").agg(F.count(F.lit(1)).alias("linked")).where("linked > 1")
-    dealt = ranked(base.withColumnRenamed("gid", "hash"), [], [F.col("doc_id"), F.col("text_crc32")], F.xxhash64("doc_id", "text_crc32"), "place", rows)
-    state = dealt.join(groups, dealt["hash"] == groups["gid"], "left").select(
-        "doc_id", "size", "text_crc32", "gid", "linked", F.pmod("place", F.lit(shards)).cast("int").alias("shard")
-    )
-    state = propagate(written(state), shards, rounds, rows)
+    state = dealt(docs, shards)
+    rows = state.count()
+    state = propagate(state, shards, rounds, rows)
     slots = ranked(state, ["shard"], [F.col("doc_id"), F.col("text_crc32")], F.xxhash64("doc_id", "text_crc32"), "slot", rows)
     return slots.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
