@@ -1,9 +1,10 @@
 """Harmonic packing of token sequences.
 
-Lengths fall into reciprocal-capacity classes: class k takes pieces of capacity / k ids, and its bins take exactly k of
-them, so that a full bin has no padding. A document is cut into pieces whose lengths are the classes' (k = 1, 2, 4, ...):
-as many whole sequences as it fills, then the powers of two that its rest adds up to. Every task fills bins of its own.
-What a task's last bin of a class holds at its end goes out as bins of 2^n pieces, whose lengths are powers of two too.
+Lengths fall into reciprocal-capacity classes: class k holds those above capacity / (k + 1) and up to capacity / k, and its bins take
+exactly k documents. What room such a bin has left goes to the start of the next document, which is cut there; the rest of that document has a class
+of its own length. So a full bin has no padding, and a document is cut about once for each bin. A document of more than a capacity
+first fills whole sequences. Every task fills bins of its own, one open bin a class. The documents in its open bins at its end
+are put end to end; the last of these sequences, which isn't full, is cut into lengths that are powers of two.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .ragged import Lists, gathered, sliced
 
 CAPACITY = 4096
 END = 2
+#: The last class takes all shorter documents.
+CLASSES = 64
 #: Sequences of a task have ids from its partition's number times this.
 TASK_IDS = 1 << 40
 
@@ -114,45 +117,99 @@ def opened(file: bytes) -> ChunkTokenizer:
     return _OPEN[key]
 
 
-def cuts(length: int, capacity: int = CAPACITY) -> list[int]:
-    """Lengths of a document's pieces: whole capacities, then falling powers of two."""
-    out = [capacity] * (length // capacity)
-    rest = length % capacity
-    while rest:
-        piece = 1 << (rest.bit_length() - 1)
-        out.append(piece)
-        rest -= piece
-    return out
+def class_of(length: int, capacity: int = CAPACITY) -> int:
+    """k for lengths above capacity / (k + 1) and up to capacity / k."""
+    return min(CLASSES, capacity // length)
+
+
+class Piece:
+    """A stretch of a document's ids: `data` are the document's ids in bytes, four to each."""
+
+    __slots__ = ("data", "doc_id", "doc_tokens", "length", "start")
+
+    def __init__(self, doc_id: int | None, start: int, length: int, doc_tokens: int, data: memoryview) -> None:
+        self.doc_id, self.start, self.length, self.doc_tokens, self.data = doc_id, start, length, doc_tokens, data
+
+    def cut(self, length: int) -> Piece:
+        """The first `length` ids; they leave this piece."""
+        first = Piece(self.doc_id, self.start, length, self.doc_tokens, self.data)
+        self.start, self.length = self.start + length, self.length - length
+        return first
+
+
+class Bin:
+    def __init__(self) -> None:
+        self.pieces: list[Piece] = []
+        self.used = 0
+
+    def add(self, piece: Piece) -> None:
+        self.pieces.append(piece)
+        self.used += piece.length
 
 
 class Bins:
-    """The open bins of one task, at most one for each class."""
+    """The open bins of one task: at most one for each class, and one that has its documents and is being filled up."""
 
     COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
     def __init__(self, partition: int, capacity: int = CAPACITY) -> None:
         self.capacity, self.next_id = capacity, partition * TASK_IDS
-        self.open: dict[int, list[tuple]] = {}
+        self.open: dict[int, Bin] = {}
+        self.filling: Bin | None = None
         self.out: list[tuple] = []
 
-    def put(self, length: int, piece: tuple) -> None:
-        of = self.open.setdefault(length, [])
-        of.append(piece)
-        if len(of) * length == self.capacity:
-            self._close(length, of)
-            self.open[length] = []
-
-    def _close(self, length: int, pieces: list[tuple]) -> None:
-        self.out += [(*piece, self.next_id, k * length) for k, piece in enumerate(pieces)]
+    def put(self, piece: Piece) -> None:
+        """A whole document, or what is left of it."""
+        while piece.length:
+            if self.filling:
+                self._fill(piece)
+            elif piece.length >= self.capacity:
+                whole = Bin()
+                whole.add(piece.cut(self.capacity))
+                self._close(whole)
+            else:
+                k = class_of(piece.length, self.capacity)
+                of = self.open.setdefault(k, Bin())
+                of.add(piece.cut(piece.length))
+                if len(of.pieces) == k:
+                    self.filling = self.open.pop(k)
+                    self._full()
+
+    def _fill(self, piece: Piece) -> None:
+        self.filling.add(piece.cut(min(piece.length, self.capacity - self.filling.used)))
+        self._full()
+
+    def _full(self) -> None:
+        if self.filling.used == self.capacity:
+            self._close(self.filling)
+            self.filling = None
+
+    def _close(self, full: Bin) -> None:
+        offset = 0
+        for p in full.pieces:
+            crc = zlib.crc32(p.data[4 * p.start : 4 * (p.start + p.length)])
+            self.out.append((p.doc_id, p.start, p.length, crc, p.doc_tokens, self.next_id, offset))
+            offset += p.length
         self.next_id += 1
 
     def finish(self) -> None:
-        for length, pieces in sorted(self.open.items()):
-            while pieces:
-                n = 1 << (len(pieces).bit_length() - 1)
-                self._close(length, pieces[:n])
-                pieces = pieces[n:]
+        """The documents of the open bins, end to end; of the last, not full sequence, each power of two that its length adds up to is one."""
+        rest = [p for k in sorted(self.open) for p in self.open[k].pieces]
         self.open = {}
+        for piece in rest:
+            while piece.length:
+                self.filling = self.filling or Bin()
+                self._fill(piece)
+        rest, self.filling = self.filling.pieces if self.filling else [], None
+        total = sum(p.length for p in rest)
+        while total:
+            part, size = Bin(), 1 << (total.bit_length() - 1)
+            while part.used < size:
+                part.add(rest[0].cut(min(rest[0].length, size - part.used)))
+                if not rest[0].length:
+                    rest = rest[1:]
+            self._close(part)
+            total -= size
 
     def take(self) -> pd.DataFrame:
         frame = pd.DataFrame(self.out, columns=list(self.COLUMNS))
@@ -184,10 +241,8 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end:
                 for doc_id, n in zip(rows["doc_id"].tolist(), counts.tolist(), strict=True):
                     ids = np.append(flat[at : at + n], np.uint32(end)).astype("<u4")
                     at += n
-                    doc_id, start, view = None if doc_id != doc_id else int(doc_id), 0, memoryview(ids.tobytes())
-                    for length in cuts(n + 1, capacity):
-                        bins.put(length, (doc_id, start, length, zlib.crc32(view[4 * start : 4 * (start + length)]), n + 1))
-                        start += length
+                    doc_id = None if doc_id != doc_id else int(doc_id)
+                    bins.put(Piece(doc_id, 0, n + 1, n + 1, memoryview(ids.tobytes())))
                 if bins.out:
                     yield bins.take()
         bins.finish()
