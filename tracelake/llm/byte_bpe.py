@@ -2,14 +2,16 @@
 
 The distinct words of a slice are dealt into buckets by their length in bytes, each a padded matrix with a row for
 each word. Every round, each row merges its leftmost pair of minimum rank; pairs are looked up in an open-addressed hash table
-held in arrays. Rows without a pair left are taken out, and the matrix loses a column each round.
+held in arrays. Rows without a pair left are taken out, and the matrix loses a column each round. Where rows are wide, moving all columns
+behind a merge would cost more than the merge: tokens then keep their columns, neighbours are linked, minima are kept for blocks of
+columns, and the columns are compacted at the end.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+import math
 
 import numpy as np
 import pandas as pd
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import documents, texts
 from .ragged import Lists, gathered, sliced
 
-#: Longer words are merged one by one, in the same order, through a heap: a matrix as wide would cost the square of its width.
-WIDEST = 128
+#: Columns up to which a round moves them; both ways merge the same pairs in the same order.
+WIDE = 128
 CELLS = 1 << 19
 NONE = np.int32(2**31 - 1)
 
@@ -112,31 +114,43 @@ class ByteBPE:
             r[n[left], at[left] - 1] = self.pairs.look(t[n[left], at[left] - 1], t[n[left], at[left]])
             r[n[right], at[right]] = self.pairs.look(t[n[right], at[right]], t[n[right], at[right] + 1])
 
-    def _long(self, word: bytes) -> np.ndarray:
-        """The same merges for one long word: the pair of minimum rank, the leftmost first."""
-        t = self.first[np.frombuffer(word, np.uint8)].tolist()
-        after, before = [*range(1, len(t)), -1], list(range(-1, len(t) - 1))
-        table = self.pairs.look(np.array(t[:-1]), np.array(t[1:])).tolist()
-        heap = [(r, i, t[i], t[i + 1]) for i, r in enumerate(table) if r != NONE]
-        heapq.heapify(heap)
-        ends = [i + 1 for i in range(len(t))]  # where the token at i ends; 0: gone
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if not ends[i] or j < 0 or t[i] != a or t[j] != b:
-                continue
-            t[i], ends[i], ends[j], after[i] = r, ends[j], 0, after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0:
-                    rank = self._rank(word[x : ends[y]])
-                    if rank is not None:
-                        heapq.heappush(heap, (rank, x, t[x], t[y]))
-        return np.array([x for x, e in zip(t, ends, strict=True) if e], np.int32)
-
-    def _rank(self, token: bytes) -> int | None:
-        return self.ranks.get(token)
+    def _wide(self, t: np.ndarray, out: list, rows: np.ndarray) -> None:
+        """The same for wide rows: a merge touches three pairs, and a round costs about the root of the width."""
+        width = t.shape[1]
+        block = max(8, math.isqrt(width))
+        blocks = -(-width // block)
+        r = np.full((len(rows), blocks * block), NONE)
+        r[:, : width - 1] = self.pairs.look(t[:, :-1], t[:, 1:])
+        least = r.reshape(len(rows), blocks, block).min(axis=2)
+        # after[k] and before[k]: columns of the neighbours of the token at column k; column `width` ends a row
+        t = np.hstack([t, np.full((len(rows), 1), -1, np.int32)])
+        after = np.tile(np.arange(1, width + 2), (len(rows), 1))
+        before = np.tile(np.arange(-1, width), (len(rows), 1))
+        live = np.arange(len(rows))
+        while len(live):
+            where = least[live].argmin(axis=1)
+            best = least[live, where]
+            done = best == NONE
+            if done.any():
+                for k in live[done].tolist():
+                    out[rows[k]] = t[k][t[k] >= 0]
+                live, where, best = live[~done], where[~done], best[~done]
+                if not len(live):
+                    return
+            at = where * block + r.reshape(-1, blocks, block)[live, where].argmin(axis=1)
+            gone = after[live, at]
+            behind = after[live, gone]
+            t[live, at], t[live, gone] = best, -1
+            r[live, gone] = NONE
+            after[live, at] = behind
+            before[live, np.minimum(behind, width - 1)] = np.where(behind < width, at, before[live, np.minimum(behind, width - 1)])
+            r[live, at] = self.pairs.look(t[live, at], t[live, np.minimum(behind, width)])
+            front = before[live, at]
+            has = front >= 0
+            r[live[has], front[has]] = self.pairs.look(t[live[has], front[has]], t[live[has], at[has]])
+            for columns in (at, gone, np.maximum(front, 0)):
+                b = columns // block
+                least[live, b] = r.reshape(-1, blocks, block)[live, b].min(axis=1)
 
     def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
         """Tokens of each word by itself."""
@@ -146,16 +160,12 @@ class ByteBPE:
         for b in np.unique(bucket):
             rows = np.nonzero(bucket == b)[0]
             width = int(sizes[rows].max())
-            if width > WIDEST:
-                for k in rows.tolist():
-                    out[k] = self._long(words[k])
-                continue
             for part in np.array_split(rows, -(-len(rows) * width // CELLS)):
                 flat = self.first[np.frombuffer(b"".join([words[k] for k in part.tolist()]), np.uint8)]
                 inside = np.arange(width)[None, :] < sizes[part][:, None]
                 t = np.full((len(part), width), -1, np.int32)
                 t[inside] = flat
-                self._matrix(t, out, part)
+                (self._matrix if width <= WIDE else self._wide)(t, out, part)
         return out
 
     def encode(self, text: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
