@@ -1,23 +1,32 @@
 """Exact deduplication on a log-structured merge index of text digests.
 
-Memtables: each task sorts its rows by digest and flushes them as runs, Parquet files that carry
-a Bloom filter and minimum and maximum of the digest. Compaction merges all runs by digest into one
-level, in which an entry keeps the row to stay (and the smallest identifier on ties) and the number of its rows.
-Rows whose entry has more than one row are hits: their texts are compared byte by byte with the text
-of the row that stays, and what differs despite an equal digest forms groups of its own by its text.
+Memtables: each task of the first pass merges its rows by digest. A generation's memtables flush into a run of level 0, entries sorted by digest
+in parts of its range, and each part gets a Bloom filter. An entry has the row that stays (of the longest texts the
+smallest identifier) and the number of its rows. Where a newer run has grown to half of the older one it is compacted into it: its entries are probed
+against the older run's filters; those that a filter excludes are new and move as they are, and only the others are merged by digest.
+The last compaction leaves one run, the index. Digests with more than one row are hits: their texts are compared byte by byte,
+and where texts differ despite an equal digest, they form groups by the text itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, shared_dir, texts, written
+from .common import SPACES, freed, shared_dir, texts, written
+
+#: Runs of level 0 that the memtables are dealt to.
+GENERATIONS = 4
+#: Entries of a part of a run, on average; a part has one filter.
+PART_ROWS = 50_000
+#: Bits of a filter for an entry, and those that an entry sets.
+FILTER_BITS, FILTER_HASHES = 10, 4
+#: Bits of the filter of hits that goes to every task, and so 16 MB at most. With more hits it lets more other texts through to the comparison.
+HIT_BITS = 27
 
-#: Rows of a memtable, and so of a run, at most.
-MEMTABLE_ROWS = 1_000_000
+ENTRY = "part long, digest binary, shorter long, doc_id long, n long"
 
 
 def normalised(text: Column) -> Column:
@@ -25,33 +34,117 @@ def normalised(text: Column) -> Column:
     return F.translate(text, SPACES, "")
 
 
-def flush(docs: DataFrame) -> DataFrame:
-    """Level 0: a digest entry for each row, in sorted runs with filters."""
-    norm = normalised(F.col("text"))
-    entries = texts(docs).select(
-        "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.unhex(F.sha2(norm, 256)).alias("digest")
-    )
-    return written(
-        entries.sortWithinPartitions("digest", "doc_id"),
-        **{"parquet.bloom.filter.enabled#digest": "true", "maxRecordsPerFile": str(MEMTABLE_ROWS)},
-    )
+def digest_of(norm: Column) -> Column:
+    return F.unhex(F.sha2(norm, 256))
 
 
-def compact(runs: DataFrame) -> DataFrame:
-    """Level 1: an entry for each digest with the row that stays and the number of rows.
+def logged(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars, digest and memtable (the task that read it) of each row; a written table."""
+    rows = texts(docs).select("doc_id", F.char_length("text").cast("long").alias("n_chars"), digest_of(normalised(F.col("text"))).alias("digest"))
+    return written(rows.withColumn("memtable", F.spark_partition_id()))
 
-    Partial merges run on each task's runs before the shuffle, so a digest of any share of the
-    rows moves as one entry a task.
-    """
-    best = F.min(F.struct((-F.col("n_chars")).alias("shorter"), "doc_id")).alias("best")
-    merged = runs.groupBy("digest").agg(best, F.count(F.lit(1)).alias("group_size"))
-    out = merged.select("digest", F.col("best.doc_id").alias("keep_id"), "group_size")
-    return written(out.sortWithinPartitions("digest"), **{"parquet.bloom.filter.enabled#digest": "true"})
+
+def part_of(parts: int) -> Column:
+    """Parts are equal stretches of the digests' range."""
+    first = F.conv(F.substring(F.hex("digest"), 1, 8), 16, 10).cast("long")
+    return F.floor(first * parts / 2**32).cast("long")
+
+
+def merged(entries: DataFrame) -> DataFrame:
+    best = F.min(F.struct("shorter", "doc_id")).alias("best")
+    return entries.groupBy("part", "digest").agg(best, F.sum("n").alias("n")).select("part", "digest", F.col("best.shorter").alias("shorter"), F.col("best.doc_id").alias("doc_id"), "n")
+
+
+def flushed(memtables: DataFrame) -> DataFrame:
+    """A run of sorted entries."""
+    return written(merged(memtables).sortWithinPartitions("part", "digest"))
+
+
+def _positions(digests: list[bytes], bits: int) -> np.ndarray:
+    """A row for each of the filter's hashes: words of the digest itself, which is a hash already."""
+    words = np.frombuffer(b"".join(d[4 : 4 + 4 * FILTER_HASHES].ljust(4 * FILTER_HASHES, b"\0") for d in digests), ">u4").reshape(-1, FILTER_HASHES)
+    return (words % np.uint32(bits)).T
+
+
+def filters(run: DataFrame) -> DataFrame:
+    """part, bits: the Bloom filter of each part."""
+
+    def build(group: pd.DataFrame) -> pd.DataFrame:
+        size = 8 * max(8, len(group) * FILTER_BITS // 8)
+        bits = np.zeros(size, bool)
+        for at in _positions(group["digest"].tolist(), size):
+            bits[at] = True
+        return pd.DataFrame({"part": group["part"].iloc[:1], "bits": [np.packbits(bits).tobytes()]})
+
+    return written(run.select("part", "digest").groupBy("part").applyInPandas(build, "part long, bits binary"))
 
 
-def probe(index: DataFrame, digests: Iterable[bytes]) -> DataFrame:
-    """Entries of a stated set of digests; the filters of the runs prune what is read."""
-    return index.where(F.col("digest").isin([bytearray(x) for x in digests]))
+def probed(entries: DataFrame, by: DataFrame) -> DataFrame:
+    """entries with `maybe`: whether the filters let them through. False is certain."""
+
+    def test(group: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
+        maybe = np.zeros(len(group), bool)
+        if len(group) and len(of):
+            bits = np.unpackbits(np.frombuffer(of["bits"].iloc[0], np.uint8)).astype(bool)
+            maybe = bits[_positions(group["digest"].tolist(), len(bits))].all(axis=0)
+        return group.assign(maybe=maybe)
+
+    return entries.groupBy("part").cogroup(by.groupBy("part")).applyInPandas(test, ENTRY + ", maybe boolean")
+
+
+def compacted(older: DataFrame, newer: DataFrame) -> DataFrame:
+    """One run of both."""
+    sieve = filters(older)
+    sorted_out = written(probed(newer, sieve))
+    fresh, again = sorted_out.where("not maybe").drop("maybe"), sorted_out.where("maybe").drop("maybe")
+    out = written(merged(older.unionByName(again)).unionByName(fresh).sortWithinPartitions("part", "digest"))
+    freed(sieve, sorted_out, older, newer)
+    return out
+
+
+def indexed(log: DataFrame) -> DataFrame:
+    """The index of a log: part, digest, shorter (minus the characters of the row that stays), doc_id (that row's), n (rows)."""
+    rows = log.count()
+    entry = log.select("memtable", part_of(max(1, rows // PART_ROWS)).alias("part"), "digest", (-F.col("n_chars")).alias("shorter"), "doc_id", F.lit(1).cast("long").alias("n"))
+    runs: list[tuple[DataFrame, int]] = []
+    for g in range(GENERATIONS):
+        run = flushed(entry.where(F.pmod("memtable", F.lit(GENERATIONS)) == g).drop("memtable"))
+        runs.append((run, run.count()))
+        while len(runs) > 1 and (2 * runs[-1][1] >= runs[-2][1] or g == GENERATIONS - 1):
+            (newer, _), (older, _) = runs.pop(), runs.pop()
+            run = compacted(older, newer)
+            runs.append((run, run.count()))
+    return runs[0][0]
+
+
+def found(index: DataFrame, entries: DataFrame) -> DataFrame:
+    """The index's entries for the digests of `entries` (part, digest and others as in a run); filters keep what is new from the join."""
+    sieve = filters(index)
+    maybe = probed(entries, sieve).where("maybe")
+    return index.join(maybe.select("part", "digest").distinct(), ["part", "digest"], "left_semi")
+
+
+def hit_filter(hits: DataFrame) -> np.ndarray:
+    """A bit for each first HIT_BITS bits of a digest."""
+    at = F.shiftright(F.conv(F.substring(F.hex("digest"), 1, 8), 16, 10).cast("long"), 32 - HIT_BITS) + 1
+    rows = hits.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros((1 << HIT_BITS) // 8, np.uint8)
+    for r in rows.toLocalIterator():  # at most 2^HIT_BITS / 32768 rows of 4 KB
+        out[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
+
+
+def suspects(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """doc_id, n_chars, digest, norm of the rows whose digest may be a hit."""
+    shared = docs.sparkSession.sparkContext.broadcast(hit_filter(hits))
+
+    @F.pandas_udf("boolean")
+    def may_be_hit(digest: pd.Series) -> pd.Series:
+        at = np.frombuffer(b"".join(d[:4].ljust(4, b"\0") for d in digest), ">u4").astype(np.int64) >> (32 - HIT_BITS)
+        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    norm = texts(docs).select("doc_id", F.char_length("text").cast("long").alias("n_chars"), normalised(F.col("text")).alias("norm"))
+    return norm.withColumn("digest", digest_of(F.col("norm"))).where(may_be_hit("digest"))
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -63,32 +156,24 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     repeat the doc_id that stays, each is marked as kept. A null doc_id sorts first and is kept only as such.
     An empty table gives an empty result; other columns are ignored.
     """
-    runs = flush(docs)
-    index = compact(runs)
-    marked = runs.join(index, "digest")
-    # A row repeats in another partition only by its digest, so the join is dealt by it; large groups are split there.
-    hits = index.where("group_size > 1")
-    source = texts(docs).select("doc_id", normalised(F.col("text")).alias("norm"), F.char_length("text").cast("long").alias("n_chars"))
-    source = source.withColumn("digest", F.unhex(F.sha2("norm", 256)))
-    suspects = source.join(hits, "digest")
-    stays = suspects.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("norm").alias("kept_norm"))
-    differs = suspects.join(stays, "digest").where(F.col("norm") != F.col("kept_norm"))
-    odd = written(differs.select("digest", "doc_id", "n_chars", "norm"))
-    plain = marked.select("doc_id", "keep_id", "group_size", F.lower(F.hex("digest")).alias("text_sha256"))
-    if odd.isEmpty():
-        return _with_kept(plain)
-    return _with_kept(_regrouped(runs, index, odd))
-
-
-def _regrouped(runs: DataFrame, index: DataFrame, odd: DataFrame) -> DataFrame:
-    """Groups where some texts differ from the one that stays although their digests agree."""
-    best = F.min(F.struct((-F.col("n_chars")).alias("shorter"), "doc_id"))
-    apart = odd.groupBy("digest", "norm").agg(best.alias("best"), F.count(F.lit(1)).alias("size"))
-    apart = odd.join(apart, ["digest", "norm"]).select("doc_id", "digest", F.col("best.doc_id").alias("keep_id"), F.col("size").alias("group_size"))
-    less = odd.groupBy("digest").agg(F.count(F.lit(1)).alias("less"))
-    rest = runs.join(odd.select("digest", "doc_id").distinct(), ["digest", "doc_id"], "left_anti").join(index, "digest").join(less, "digest", "left")
-    rest = rest.select("doc_id", "digest", "keep_id", (F.col("group_size") - F.coalesce("less", F.lit(0))).alias("group_size"))
-    return rest.unionByName(apart).select("doc_id", "keep_id", "group_size", F.lower(F.hex("digest")).alias("text_sha256"))
+    log = logged(docs)
+    index = indexed(log)
+    # A digest of any share of the rows is looked up once for each memtable, and its rows find it there.
+    told = log.select("memtable", "digest").distinct().join(index.select("digest", F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size")), "digest")
+    plain = log.join(told, ["memtable", "digest"])
+    maybe = suspects(docs, index.where("n > 1"))
+    # The least and the greatest text of a digest are equal if all are; each task hands on two texts of a digest at most.
+    compared = maybe.groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
+    mixed = written(compared.where("low <> high").select("digest"))
+    if mixed.isEmpty():
+        return _with_kept(plain.select("doc_id", "keep_id", "group_size", F.lower(F.hex("digest")).alias("text_sha256")))
+    # Groups of a mixed digest are those of its texts.
+    odd = written(maybe.join(mixed, "digest"))
+    best = F.min(F.struct((-F.col("n_chars")).alias("shorter"), "doc_id")).alias("best")
+    groups = odd.groupBy("norm").agg(best, F.count(F.lit(1)).alias("group_size"))
+    apart = odd.join(groups, "norm").select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", F.lower(F.hex("digest")).alias("text_sha256"))
+    rest = plain.join(mixed, "digest", "left_anti").select("doc_id", "keep_id", "group_size", F.lower(F.hex("digest")).alias("text_sha256"))
+    return _with_kept(rest.unionByName(apart))
 
 
 def _with_kept(groups: DataFrame) -> DataFrame:
@@ -98,9 +183,15 @@ def _with_kept(groups: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, with all their columns; one row of those that repeat it."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    stays = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
-    return stays.withColumn("_text", normalised(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    kept = exact_groups(docs).where("kept").groupBy(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).agg(F.count(F.lit(1)).alias("_n"))
+    kept = written(kept)
+    sha = F.lower(F.hex(digest_of(normalised(F.coalesce(docs["text"], F.lit(""))))))
+    stays = lambda of: docs.join(of, docs["doc_id"].eqNullSafe(of["_kept_id"]) & (sha == of["_kept_sha"]), "left_semi")
+    repeated = kept.where("_n > 1")
+    if repeated.isEmpty():
+        return stays(kept)
+    once = stays(repeated).withColumn("_text", normalised(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return stays(kept.where("_n = 1")).unionByName(once)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
