@@ -1,10 +1,14 @@
 """Main text by wrappers inferred for each host.
 
-A page is a stream of text blocks, each named by the path of its open elements. Repeats in a stream fold into groups
-with a plus. The streams of a host are aligned a few at a time, round after round, until one is left: blocks on which streams
-differ become optional. What results is the host's wrapper, a union-free regular expression over text slots. How the texts of
-a slot vary over the host's pages tells its template from its content: the root of the content is the element of the page's own
-article where there is one, and else the wrapper's element with the most varying text.
+A page is a stream of tokens: start and end tags of elements, and texts. Well-formed as it is, it is kept as a tree, in which equal neighbours fold into
+repeated groups. The streams of a host are aligned a few at a time, round after round, until one expression is left, the host's wrapper.
+A mismatch of tags is resolved as a repeat, where the surplus tokens repeat those before them, and else as an optional; a mismatch of
+texts makes a text slot. Texts are matched over all pages of a host at once, by counting: a text that stands on nearly all different pages that have
+its place is a constant of the wrapper, all others fill a slot.
+
+What the wrapper says decides on every page: its content root is the element that holds the text of its slots, and a page's main text is what fills
+the slots under that root. Names of elements and classes are hints: an element called article or main is the root if it holds half of the slots' text, and
+elements called menu, advert, comments and the like don't count. No hint switches off an element around the root.
 """
 
 from __future__ import annotations
@@ -18,25 +22,32 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches, written
+from .common import freed, short_batches, written
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "video", "audio", "canvas", "head", "select", "button"}
+#: Elements whose content is no text of the page: scripts, styles, form controls, and what stands in for embedded objects.
+RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "object", "video", "audio", "canvas", "head", "select", "button"}
+#: Elements that are menus, footers, sidebars or forms by their names.
 DROPPED = {"nav", "footer", "aside", "form", "dialog", "menu", "fieldset"}
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img picture source br input".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img picture source br input math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover semantics".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Words of class, id and role that name what is not the article.
+#: Words of class, id and role that name what is not the article, and words that may go with them in one name.
 NOT_TEXT = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert warning sidebar side menu "
     "nav navbar navigation breadcrumb breadcrumbs comment comments reply replies discussion disqus share sharing social related recommended newsletter subscribe "
     "subscription popup modal overlay footer header masthead topbar login signup search pagination pager widget toolbar skip".split()
 )
+WITH_THEM = frozenset("area bar block bottom box button buttons container content global inner item items left link links list main outer page panel right section site slot text thread top unit widget wrap wrapper".split())
 ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-hidden|hidden)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 #: Different pages of a host on which a text must stand before it counts as the template's.
 LEAST_PAGES = 5
 FAN_IN = 16
+#: How sure it is that an element holds no article: not at all, by its class, by its name.
+ON, HINTED, OFF = 0, 1, 2
+#: Elements within one another that an expression tells apart.
+DEEP = 40
 
 
 def host_of(url: str | None) -> str:
@@ -44,28 +55,35 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-def _marks(attributes: str) -> tuple[str, bool]:
-    """What names the element in a path, and whether it holds no article text."""
+def _hinted(name: str) -> bool:
+    """Whether a class, id or role names what is not the article: words for that, and nothing but words that go with them."""
+    words = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w]
+    return any(w in NOT_TEXT for w in words) and all(w in NOT_TEXT or w in WITH_THEM for w in words)
+
+
+def _marks(attributes: str) -> tuple[str, int]:
+    """What names the element in a path, and what its attributes say of it."""
     if not attributes.strip():
-        return "", False
-    names, off = [], False
+        return "", ON
+    names, off = [], ON
     for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
+        name, value = name.lower(), value.strip("\"'")
         if name in ("hidden", "aria-hidden"):
-            off |= name == "hidden" or value == "true"
+            off = OFF if name == "hidden" or value.lower() == "true" else off
             continue
-        names += value.split() if name == "class" else []
-        off |= any(w in NOT_TEXT for w in re.split(r"[^a-z]+", value))
-        if (name == "role" and value == "main") or (name == "id" and value in ("main", "content", "main-content", "article")):
+        names += [w.lower() for w in value.split() if not re.search("[0-9]", w)] if name == "class" else []
+        off = max(off, HINTED if any(map(_hinted, value.split())) else ON)
+        if (name == "role" and value.lower() == "main") or (name == "id" and value.lower() in ("main", "content", "main-content", "article")):
             names.insert(0, "main")
-    return "".join(f".{re.sub(r'[0-9]+', '', w)}" for w in names[:2]), off
+    return "".join(f".{w}" for w in names[:2]), off
 
 
-def blocks(page: str) -> list[tuple[str, bool, str]]:
-    """Path, whether it may be article text, and text of each block of a page, in order."""
-    out: list[tuple[str, bool, str]] = []
-    stack: list[tuple[str, str, bool]] = [("", "", False)]  # name, path, off
+def tokens(page: str) -> list[tuple]:
+    """The page's stream: ("<", label, off) and (">",) of block elements, and ("#", text)."""
+    out: list[tuple] = []
+    stack: list[tuple[str, int]] = [("", ON)]  # name, off
     parts: list[str] = []
+    articles = 0
     at, n = 0, len(page)
 
     def flush() -> None:
@@ -73,7 +91,13 @@ def blocks(page: str) -> list[tuple[str, bool, str]]:
             text = " ".join(entities.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((stack[-1][1], not stack[-1][2], text))
+                out.append(("#", text))
+
+    def pop(to: int) -> None:
+        nonlocal articles
+        while len(stack) > to:
+            articles -= stack.pop()[0] == "article"
+            out.append((">",))
 
     for token in iter(lambda: TOKEN.search(page, at), None):
         if token.start() > at:
@@ -102,65 +126,125 @@ def blocks(page: str) -> list[tuple[str, bool, str]]:
         if token[1]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == name:
-                    del stack[k:]
+                    pop(k)
                     break
             continue
         if name in VOID or name in ("html", "body"):
             continue
         while len(stack) > 1 and (stack[-1][0] == "p" or stack[-1][0] in CLOSED_BY_ITSELF.get(name, ()) or (re.fullmatch("h[1-6]", stack[-1][0]) and re.fullmatch("h[1-6]", name))):
-            stack.pop()
+            pop(len(stack) - 1)
         label, off = _marks(token[3])
-        up = stack[-1]
-        off |= up[2] or name in DROPPED or (name == "header" and "/article" not in up[1])
-        stack.append((name, f"{up[1]}/{name}{label}", off))
+        if name in DROPPED or (name == "header" and not articles):
+            off = OFF
+        articles += name == "article"
+        stack.append((name, max(off, stack[-1][1])))
+        out.append(("<", name + label, stack[-1][1]))
     if at < n:
         parts.append(page[at:])
     flush()
+    pop(1)
     return out
 
 
-def stream(paths: list[str]) -> list:
-    """The page's expression: items [path or list of items, repeated, optional]. Adjacent repeats of up to four blocks fold into one."""
-    items: list = [[p, False, False] for p in paths]
+def blocks(stream: list[tuple]) -> list[tuple[str, int, str]]:
+    """Path, off and text of each block, in order."""
+    out, stack = [], [("", ON)]
+    for token in stream:
+        if token[0] == "<":
+            stack.append((f"{stack[-1][0]}/{token[1]}", token[2]))
+        elif token[0] == ">":
+            stack.pop()
+        else:
+            out.append((*stack[-1], token[1]))
+    return out
+
+
+# An expression is a list of items [label, body, repeated, optional]. The label is an element's, "#" of a text, or "()" of a group of items.
+
+
+def expression(stream: list[tuple]) -> list:
+    """The page's own expression: elements that hold text, with adjacent repeats folded. What lies deeper than DEEP elements stands beside its elements' path."""
+    levels: list[list] = [[]]
+    labels: list[str] = []
+    for token in stream:
+        if token[0] == "<":
+            labels.append(token[1])
+            if len(labels) <= DEEP:
+                levels.append([])
+        elif token[0] == ">":
+            label = labels.pop()
+            if len(labels) < DEEP:
+                body = levels.pop()
+                if body:
+                    levels[-1].append([label, folded(body), False, False])
+        else:
+            text = ["#", None, False, False]
+            levels[-1].append(["/".join(labels[DEEP:]), [text], False, False] if len(labels) > DEEP else text)
+    return folded(levels[0])
+
+
+def _keys(items: list) -> list[str]:
+    return ["(" + " ".join(_keys(x[1])) + ")" if x[0] == "()" else x[0] for x in items]
+
+
+def _joined(a: list, b: list) -> list:
+    """Two lists of items with equal keys."""
+    return [[x[0], aligned(x[1], y[1]) if x[1] is not None else None, x[2] or y[2], x[3] or y[3]] for x, y in zip(a, b, strict=True)]
+
+
+def folded(items: list) -> list:
+    """Adjacent repeats of up to four items become one repeated item or group."""
     for size in (1, 2, 3, 4):
         out: list = []
         for item in items:
             out.append(item)
-            while len(out) >= 2 * size and _keys(out[-size:]) == _keys(out[-2 * size : -size]):
-                body = _joined(out[-2 * size : -size], out[-size:])
-                del out[-2 * size :]
-                if size == 1:
-                    body[0][1] = True
-                    out += body
-                else:
-                    out.append([body, True, False])
-            if size > 1 and len(out) > size and isinstance(out[-1 - size][0], list) and _keys(out[-1 - size][0]) == _keys(out[-size:]):
-                out[-1 - size][0] = _joined(out[-1 - size][0], out[-size:])
-                del out[-size:]
+            _repeat(out, size)
         items = out
     return items
 
 
-def _keys(items: list) -> list[str]:
-    return [item[0] if isinstance(item[0], str) else json.dumps(_keys(item[0])) for item in items]
-
-
-def _joined(a: list, b: list) -> list:
-    """Two lists of items with equal keys."""
-    return [[_joined(x[0], y[0]) if isinstance(x[0], list) else x[0], x[1] or y[1], x[2] or y[2]] for x, y in zip(a, b, strict=True)]
+def _repeat(out: list, size: int) -> bool:
+    """Whether the last `size` items repeat what is before them; then they go into it."""
+    last = out[-size:]
+    if len(last) < size:
+        return False
+    if size > 1 and len(out) > size and out[-1 - size][0] == "()" and _keys(out[-1 - size][1]) == _keys(last):
+        out[-1 - size][1] = _joined(out[-1 - size][1], last)
+        del out[-size:]
+        return True
+    if len(out) >= 2 * size and _keys(out[-2 * size : -size]) == _keys(last):
+        body = _joined(out[-2 * size : -size], last)
+        del out[-2 * size :]
+        out += [[*body[0][:2], True, body[0][3]]] if size == 1 else [["()", body, True, False]]
+        return True
+    return False
 
 
 def aligned(a: list, b: list) -> list:
-    """The expression that takes what either takes: mismatches become optional items."""
+    """The expression that takes what either takes. Surplus items that repeat those before them make these a repeated group; others become optional."""
     out: list = []
     for what, i, j, k, m in SequenceMatcher(None, _keys(a), _keys(b), autojunk=False).get_opcodes():
         if what == "equal":
             out += _joined(a[i:j], b[k:m])
-        else:
-            out += [[x[0], x[1], True] for x in (*a[i:j], *b[k:m])]
+            continue
+        for part in (a[i:j], b[k:m]):
+            size = next((n for n in (1, 2, 3, 4) if len(part) % n == 0 and _repeats(out, part, n)), 0)
+            for at in range(0, len(part), size or len(part) or 1):
+                out += part[at : at + size] if size else [[x[0], x[1], x[2], True] for x in part]
+                if size:
+                    _repeat(out, size)
     return out
 
 
+def _repeats(out: list, part: list, size: int) -> bool:
+    """Whether all of `part` is copies of the last items of `out`, or of the group they are."""
+    if not part:
+        return False
+    before = out[-1][1] if out and out[-1][0] == "()" and size > 1 else out[-size:]
+    keys = _keys(before)
+    return len(keys) == size and all(_keys(part[at : at + size]) == keys for at in range(0, len(part), size))
+
+
 def _text_hash(text: str) -> int:
     import xxhash
 
@@ -168,18 +252,18 @@ def _text_hash(text: str) -> int:
 
 
 def observed(pages: DataFrame) -> DataFrame:
-    """host, expression and slots (path, hash and length of each block that may be text) of every page."""
+    """host, expression and slots (path, off, hash and length of each block that may be text) of every page."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for url, page in zip(batch["url"], batch["html"], strict=True):
-                found = blocks(page or "")
-                slots = [{"path": p, "hash": _text_hash(t), "chars": len(t)} for p, may, t in found if may]
-                rows.append((host_of(url), json.dumps(stream([p for p, _, _ in found])), slots))
+                stream = tokens(page or "")
+                slots = [{"path": p, "off": off, "hash": _text_hash(t), "chars": len(t)} for p, off, t in blocks(stream) if off < OFF]
+                rows.append((host_of(url), json.dumps(expression(stream)), slots))
             yield pd.DataFrame(rows, columns=["host", "expression", "slots"])
 
-    return pages.mapInPandas(run, "host string, expression string, slots array<struct<path:string,hash:bigint,chars:int>>")
+    return pages.mapInPandas(run, "host string, expression string, slots array<struct<path:string,off:int,hash:bigint,chars:int>>")
 
 
 def wrappers(seen: DataFrame) -> DataFrame:
@@ -202,86 +286,127 @@ def wrappers(seen: DataFrame) -> DataFrame:
         parts = F.when(F.col("n") <= FAN_IN, 0).otherwise(F.pmod(F.xxhash64("expression"), F.ceil(F.col("n") / FAN_IN)))
         sizes = now.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
         dealt = now.join(sizes, "host").withColumn("part", parts)
-        now = written(dealt.groupBy("host", "part").applyInPandas(fold, schema).groupBy("host", "expression").agg(F.sum("pages").alias("pages")))
+        before, now = now, written(dealt.groupBy("host", "part").applyInPandas(fold, schema).groupBy("host", "expression").agg(F.sum("pages").alias("pages")))
+        freed(before)
+
 
+HEADING = re.compile(r"h[1-3]($|\.)")
+NAMED = re.compile(r"(article|main)($|\.)|[^.]+\.main($|\.)")
 
-def slots_of(expression: list) -> list[str]:
-    return [p for item in expression for p in ([item[0]] if isinstance(item[0], str) else slots_of(item[0]))]
+
+def places(items: list, path: str = "") -> set[str]:
+    """Paths of the text slots of an expression."""
+    out = set()
+    for label, body, *_ in items:
+        out |= {path} if label == "#" else places(body, path if label == "()" else f"{path}/{label}")
+    return out
+
+
+def weights(items: list, chars: dict[str, int]) -> dict[str, int]:
+    """Characters in the slots of each element of an expression, by path."""
+    out: dict[str, int] = {}
+    for place in places(items):
+        up = place if place in chars else ""
+        while up:
+            out[up] = out.get(up, 0) + chars[place]
+            up = up.rpartition("/")[0]
+    return out
+
+
+def root_of(expression_: list, chars: dict[str, int]) -> str:
+    """The path of the content root of a wrapper, from the characters that fill its slots."""
+    weight = weights(expression_, chars)
+    total = chars.get("", 0) + sum(w for p, w in weight.items() if p.count("/") == 1)
+    label = lambda p: p.rpartition("/")[2]
+    named = [p for p, w in weight.items() if NAMED.match(label(p)) and w and 2 * w >= total]
+    if named:
+        most = max(weight[p] for p in named)
+        # of nested ones the innermost that holds nearly as much
+        return max((p for p in named if 10 * weight[p] >= 9 * most), key=lambda p: (label(p).startswith("article"), p.count("/"), weight[p], p))
+    root = ""
+    while True:
+        below = {p: w for p, w in weight.items() if p.rpartition("/")[0] == root and w}
+        best = max(below, key=lambda p: (below[p], p), default=None)
+        whole = chars.get(root, 0) + sum(below.values())
+        inner = best is not None and any(p.startswith(best + "/") and w for p, w in weight.items())
+        heading = any(HEADING.match(label(p)) and w and p.startswith(root + "/") and p != best and not p.startswith(f"{best}/") for p, w in weight.items())
+        if not inner or heading or 10 * below[best] < 9 * whole:
+            return root
+        root = best
 
 
 def content(seen: DataFrame, found: DataFrame) -> DataFrame:
-    """host, expression, root, template (slots and texts that recur) of each wrapper.
+    """host, root, hints and template of each wrapper: whether its hints are to be followed, and the texts that are constants of their places.
 
-    Equal pages of a host count once. A text is the template's if it stands in its slot on nearly all different pages that have the slot.
+    Equal pages of a host count once. A text is a constant if it stands in its place on nearly all different pages that have the place. Only texts of
+    LEAST_PAGES pages come together by place; all others are summed up before.
     """
     pages = seen.select("host", F.xxhash64("slots").alias("page"), F.array_distinct("slots").alias("slots")).dropDuplicates(["host", "page"])
-    texts_ = pages.select("host", F.explode("slots").alias("s")).select("host", "s.*").groupBy("host", "path", "hash").agg(F.count(F.lit(1)).alias("n"), F.first("chars").alias("chars"))
-    having = pages.select("host", F.explode(F.array_distinct("slots.path")).alias("path")).groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"))
-    fixed = (F.col("n") >= LEAST_PAGES) & (F.col("n") * 10 >= F.col("pages") * 9)
-    texts_ = texts_.join(having, ["host", "path"]).withColumn("fixed", fixed)
-    varying = F.sum(F.when(~F.col("fixed"), F.col("chars")).otherwise(0)).alias("chars")
-    slots = texts_.groupBy("host", "path").agg(varying, F.collect_list(F.when(F.col("fixed"), F.col("hash"))).alias("fixed"))
-    rows = slots.select("host", F.struct("path", "chars", "fixed").alias("slot")).groupBy("host").agg(F.collect_list("slot").alias("slots"))
+    single = pages.select("host", "page", F.explode("slots").alias("s")).select("host", "page", "s.*")
+    by_page = single.groupBy("host", "page", "path").agg(F.max("off").alias("off"), F.sum("chars").alias("chars"))
+    places = by_page.groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"), F.min("off").alias("off"), F.sum("chars").alias("chars"))
+    often = single.groupBy("host", "path", "hash").agg(F.count(F.lit(1)).alias("n"), F.first("chars").alias("size")).where(F.col("n") >= LEAST_PAGES)
+    fixed = often.join(places.select("host", "path", "pages"), ["host", "path"]).where("n * 10 >= pages * 9")
+    fixed = fixed.groupBy("host", "path").agg(F.collect_list("hash").alias("fixed"), F.sum(F.col("n") * F.col("size")).alias("less"))  # at most a page's texts
+    slots = places.join(fixed, ["host", "path"], "left").select("host", F.struct("path", "off", (F.col("chars") - F.coalesce("less", F.lit(0))).alias("chars"), "fixed").alias("slot"))
+    rows = slots.groupBy("host").agg(F.collect_list("slot").alias("slots"))  # at most the places of the wrapper
 
     def choose(batches):
         for batch in batches:
             out = []
-            for host, expression, slots in zip(batch["host"], batch["expression"], batch["slots"], strict=True):
-                of = {s["path"]: s for s in (slots if slots is not None else ())}
-                varying = {p: of[p]["chars"] for p in slots_of(json.loads(expression)) if p in of and of[p]["chars"]}
-                weight: dict[str, int] = {}
-                for path, chars in varying.items():
-                    ups = path.split("/")
-                    for k in range(2, len(ups) + 1):
-                        up = "/".join(ups[:k])
-                        weight[up] = weight.get(up, 0) + int(chars)
-                total = sum(varying.values())
-                # the deepest element that holds nearly all of the varying text
-                root = max((p for p, w in weight.items() if w >= 0.9 * total), key=lambda p: (p.count("/"), weight[p], p), default="")
-                out.append((host, expression, root.rpartition("/")[0] if root in varying else root, sorted(_named(p, h) for p, s in of.items() for h in s["fixed"])))
-            yield pd.DataFrame(out, columns=["host", "expression", "root", "template"])
-
-    return found.join(rows, "host", "left").mapInPandas(choose, "host string, expression string, root string, template array<string>")
-
+            for host, expression_, slots in zip(batch["host"], batch["expression"], batch["slots"], strict=True):
+                slots = list(slots) if slots is not None else []
+                hints = any(s["off"] == ON and s["chars"] > 0 for s in slots)
+                chars = {s["path"]: int(s["chars"]) for s in slots if s["chars"] > 0 and (s["off"] == ON or not hints)}
+                template = sorted(_named(s["path"], h) for s in slots if s["fixed"] is not None for h in s["fixed"])
+                out.append((host, root_of(json.loads(expression_), chars), hints, template))
+            yield pd.DataFrame(out, columns=["host", "root", "hints", "template"])
 
-ARTICLE = re.compile(r"/(?:article(?:\.[^/]*)?|main(?:\.[^/]*)?|[a-z]+[^/]*\.main)(?=/|$)")
+    return found.join(rows, "host", "left").mapInPandas(choose, "host string, root string, hints boolean, template array<string>")
 
 
 def _named(path: str, text_hash: int) -> str:
     return f"{path} {text_hash}"
 
 
-def main_text(page: str, root: str, template: frozenset) -> str:
-    """Blocks of the page's articles, else of its main element, else of the wrapper's root without the template's texts."""
-    found = [(p, t) for p, may, t in blocks(page) if may]
-    for name in ("/article", "/main"):
-        own = [t for p, t in found if (m := ARTICLE.search(p)) and (m[0].startswith(name) or (name == "/main" and m[0]))]
-        if own:
-            return "\n\n".join(own)
-    rest = [(p, t) for p, t in found if _named(p, _text_hash(t)) not in template] if template else found
-    inside = [t for p, t in rest if p == root or p.startswith(root + "/")] if root else []
-    return "\n\n".join(inside or [t for _, t in rest or found])
+def _tags(path: str) -> str:
+    return re.sub(r"\.[^/]*", "", path)
+
+
+def main_text(page: str, root: str, hints: bool, template: frozenset) -> str:
+    """What fills the slots under the root. A page that has no such element is asked for one of the same tags, and else for all that may be text."""
+    found = [(p, t) for p, off, t in blocks(tokens(page)) if off == ON or (off == HINTED and not hints)]
+    inside = [(p, t) for p, t in found if not root or p == root or p.startswith(root + "/")]
+    if not inside and root:
+        tags = _tags(root)
+        inside = [(p, t) for p, t in found if (q := _tags(p)) == tags or q.startswith(tags + "/")]
+    inside = inside or found
+    own = [t for p, t in inside if _named(p, _text_hash(t)) not in template] if template else []
+    return "\n\n".join(own or [t for _, t in inside])
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """A row for each page: page_id, url, text, n_chars.
 
-    Null and empty pages have empty texts, and so has a page whose text is all menus, notices and the like. A null or strange url belongs to the
+    Null and empty pages have empty texts, and so has a page whose text is all menus, notices and the like. The content of the elements in RAW is no text.
+    A text that the host repeats at its place on nearly all different pages is left out, unless the page has no other. A null or strange url belongs to the
     host without a name. Repeated rows each return, a null page_id is carried along, other columns are ignored, an empty table gives no rows.
     """
     pages = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     seen = written(observed(pages))
-    found = written(content(seen, wrappers(seen)).select("host", "root", "template"))
+    found = written(content(seen, wrappers(seen)))
+    freed(seen)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST.pattern, 1))
 
     def run(batches):
         for batch in batches:
-            texts_ = [main_text(page, root or "", frozenset(template if template is not None else ())) for page, root, template in zip(batch["html"], batch["root"], batch["template"], strict=True)]
+            wrapped = zip(batch["html"], batch["root"], batch["hints"], batch["template"], strict=True)
+            texts_ = [main_text(page, root or "", bool(hints), frozenset(template if template is not None else ())) for page, root, hints, template in wrapped]
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts_, "n_chars": [len(t) for t in texts_]})
 
     kind = dict(pages.dtypes)["page_id"]
     joined = pages.withColumn("host", host).join(found, "host", "left")
-    return joined.select("page_id", "url", "html", "root", "template").mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "root", "hints", "template").mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
