@@ -39,6 +39,21 @@ def license_places(text, phrases):
     return w, sorted(out), ",".join(sorted(labels))
 
 
+def license_labels(text, phrases, templates, share):
+    """Labels, score and whether a block matched, over all runs of words up to a quarter longer than a template."""
+    w, places, base = license_places(text, phrases)
+    labels, best = set(filter(None, base.split(","))), 0.0
+    for label, texts in templates.items():
+        for template in texts:
+            want, n = set(template.split()), len(template.split())
+            runs = [set(w[i : i + n + n // 4]) for i in range(len(w))]
+            most = max((len(want & r) for r in runs), default=0)
+            if most >= share * len(want):
+                labels.add(label)
+                best = max(best, most / len(want))
+    return ",".join(sorted(labels)), round(1.0 if places else best, 9), best > 0
+
+
 def shingles(text, n=5):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", text.translate(LOWER)) if x]
     if not w:

@@ -91,7 +91,8 @@ def test_empty_tables_and_nulls_elsewhere(spark, empty, unnamed):
     assert toxicity.toxicity(empty, labels).collect() == []
     assert len(toxicity.toxicity(unnamed, labels).collect()) == 2
     assert sharding.assign_shards(empty).collect() == []
-    assert len(sharding.assign_shards(unnamed.select("doc_id", "text").na.fill("")).collect()) == 2
+    placed = {r.doc_id: r for r in sharding.assign_shards(unnamed).collect()}
+    assert (placed[3].size, placed[3].text_crc32) == (8, 0) and placed[None].size == 8 + len("a b c d e f")
     pack = lambda d: packing.packed(d, public_tokenizers.path("word_bpe_49k.json"))
     assert pack(empty).collect() == []
     assert {r.doc_id for r in pack(unnamed).collect()} == {3, None}
@@ -133,18 +134,18 @@ def test_licenses(odd, small):
         assert sorted(got, key=str) == sorted(want, key=str)
 
 
-def test_every_matching_block_is_found(spark):
-    lines = []
-    for k, label, words in license_scan.templates(spark):
-        need = license_scan.needed(len(words))
-        lines += [(f"{k}-in", " ".join(words[:need]), label), (f"{k}-out", " ".join(words[: need - 1]), label)]
-    blocks = spark.createDataFrame([(i, sorted(set(t.split()))) for i, t, _ in lines], "text_key string, tokens array<string>")
-    got = {(r.text_key, r.label) for r in license_scan.matches(blocks).collect()}
-    want = set()
-    for i, t, _ in lines:
-        have = set(t.split())
-        want |= {(i, label) for _, label, words in license_scan.templates(spark) if len(have & set(words)) >= license_scan.needed(len(words))}
-    assert got == want
+def test_every_matching_block_is_found(spark, odd, small):
+    texts = [t for _, t in rows_of(odd)] + [t for _, t in rows_of(small)]
+    for _, text, ws in license_scan.templates():
+        w, need = text.split(), license_scan.needed(len(ws))
+        distinct = list(dict.fromkeys(w))
+        for n in (need - 1, need):
+            texts.append("x y " + "\n".join(distinct[:n]) + " z")
+            texts.append(" ".join(f"{a} b{k}" if k % 3 == 0 else a for k, a in enumerate(distinct[:n])))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, round(r.score, 9), r.by_block) for r in license_scan.scan(df).collect()}
+    want = {i: brute.license_labels(t, license_scan.PHRASES, license_scan.TEMPLATES, license_scan.CONTAINMENT) for i, t in enumerate(texts)}
+    assert got == want and sum(by for *_, by in want.values()) > 10
 
 
 def test_imatch(odd, small):
@@ -282,11 +283,15 @@ def test_byte_bpe_equals_the_library(odd, small):
     assert {r.doc_id: bytes(r.bytes).decode() for r in byte_bpe.decoded(encoded, path, pattern).collect()} == texts
 
 
-def test_long_words_merge_as_in_the_matrix():
+def test_wide_rows_merge_as_narrow_ones(monkeypatch):
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
         coder = byte_bpe.ByteBPE(file.read(), public_tokenizers.PATTERN)
-    for word in (b"a" * 100, b"the" * 30, "é日本".encode() * 12, bytes(range(256))[:120]):
-        assert coder._long(word).tolist() == coder.encode_words([word])[0].tolist()
+    rng = random.Random(3)
+    words = [b"a" * 100, b"the" * 30, "é日本".encode() * 12, bytes(range(256))[:120], b"a", b"ab", b"abc"]
+    words += ["".join(rng.choice(["the", "ing", "a", "xq", "é", "tion"]) for _ in range(k)).encode() for k in range(1, 90)]
+    narrow = [x.tolist() for x in coder.encode_words(words)]
+    monkeypatch.setattr(byte_bpe, "WIDE", 0)
+    assert [x.tolist() for x in coder.encode_words(words)] == narrow
 
 
 def test_exact_dedup(odd, small):
@@ -299,18 +304,32 @@ def test_exact_dedup(odd, small):
         assert sorted(map(tuple, exact_dedup.exact_groups(df).collect())) == want
 
 
-def test_equal_digests_of_different_texts_stay_apart(spark):
-    index = spark.createDataFrame([(bytearray(b"d"), 1, 3)], "digest binary, keep_id long, group_size long")
-    runs = spark.createDataFrame([(1, 9, bytearray(b"d")), (2, 5, bytearray(b"d")), (3, 4, bytearray(b"d"))], "doc_id long, n_chars long, digest binary")
-    other = spark.createDataFrame([(bytearray(b"d"), 3, 4, "else")], "digest binary, doc_id long, n_chars long, norm string")
-    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup._regrouped(runs, index, other).collect()}
-    assert got == {1: (1, 2), 2: (1, 2), 3: (3, 1)}
+def test_equal_digests_of_different_texts_stay_apart(spark, odd, monkeypatch):
+    from pyspark.sql import functions as F
 
+    monkeypatch.setattr(exact_dedup, "digest_of", lambda norm: F.unhex(F.md5(F.substring(norm, 1, 1))))
+    strip = str.maketrans("", "", " \t\n\x0b\x0c\r")
+    groups = {}
+    for i, t in rows_of(odd):
+        groups.setdefault(t.translate(strip), []).append((-len(t), i))
+    want = sorted((i, min(g)[1], len(g)) for g in groups.values() for _, i in g)
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_groups(odd).collect()) == want
+
+
+def test_filters_let_all_known_digests_through_and_hardly_any_other(spark, small):
+    log = exact_dedup.logged(small)
+    index = exact_dedup.indexed(log)
+    assert index.count() == log.select("digest").distinct().count() and index.agg({"n": "sum"}).first()[0] == log.count()
+    other = spark.range(5000).selectExpr("unhex(sha2(cast(id as string), 256)) as digest")
+    from pyspark.sql import functions as F
 
-def test_the_index_answers_stated_digests(small):
-    index = exact_dedup.compact(exact_dedup.flush(small))
-    some = index.first()
-    assert exact_dedup.probe(index, [bytes(some.digest), b"none"]).collect() == [some]
+    parts = max(1, log.count() // exact_dedup.PART_ROWS)
+    shaped = lambda d: d.select(exact_dedup.part_of(parts).alias("part"), "digest", F.lit(0).cast("long").alias("shorter"), F.lit(0).cast("long").alias("doc_id"), F.lit(1).cast("long").alias("n"))
+    sieve = exact_dedup.filters(index)
+    assert exact_dedup.probed(shaped(log), sieve).where("not maybe").count() == 0
+    assert exact_dedup.probed(shaped(other), sieve).where("maybe").count() < 250
+    assert exact_dedup.found(index, shaped(other)).count() == 0
+    assert exact_dedup.found(index, shaped(log)).count() == index.count()
 
 
 PAGES = [
@@ -336,10 +355,15 @@ def test_wrappers_tell_templates_from_content(spark):
 
 
 def test_expressions_fold_repeats_and_align():
-    assert html_text.stream(["h", "p", "p", "p"]) == [["h", False, False], ["p", True, False]]
-    assert html_text.stream(["h", "p", "h", "p", "p"])[0][1]
-    whole = html_text.aligned(html_text.stream(["n", "h", "p"]), html_text.stream(["h", "a", "p", "p"]))
-    assert [x[0] for x in whole] == ["n", "h", "a", "p"] and [x[2] for x in whole] == [True, False, True, False]
+    of = lambda page: html_text.expression(html_text.tokens(page))
+    label = lambda items: [(x[0], x[2], x[3]) for x in items]
+    assert label(of("<h1>a</h1><p>b</p><p>c</p><p>d</p>")) == [("h1", False, False), ("p", True, False)]
+    assert label(of("<h2>a</h2><p>b</p><h2>c</h2><p>d</p>")) == [("()", True, False)]
+    # surplus tokens that repeat those before them make a repeat, others an optional
+    assert label(html_text.aligned(of("<h1>a</h1><p>b</p>"), of("<h1>a</h1><p>b</p><p>c</p>"))) == [("h1", False, False), ("p", True, False)]
+    assert label(html_text.aligned(of("<nav>n</nav><h1>a</h1>"), of("<h1>a</h1><div>d</div>"))) == [("nav", False, True), ("h1", False, False), ("div", False, True)]
+    group = html_text.aligned(of("<h2>a</h2><p>b</p>"), of("<h2>a</h2><p>b</p><h2>c</h2><p>d</p>"))
+    assert label(group) in ([("()", True, False)], [("h2", False, True), ("p", False, True), ("()", True, True)])
 
 
 @pytest.fixture(scope="module")
