@@ -5,9 +5,11 @@ weight that falls with the stretch it covers. Nyström landmarks make the kernel
 on which a linear machine is trained. Without the norm the kernel is a dot product over subsequences, so the landmarks
 and the machine fold into one weight for each three characters, and a word costs a lookup for each of its subsequences.
 
-Texts are cut into sentences, and a sentence is as toxic as its worst word; the machine is trained on words of labelled sentences, in rounds that
-add the clean words it fails on. Inserted characters, separators and repeats are trained on and tolerated; letters that stand alone are
-read together as a word.
+A text is cut into sentences, which have its label, and a sentence is a bag of words, as toxic as its worst one. Which words make a toxic sentence toxic is
+not labelled, so the machine learns from bags: it starts from words whose runs of characters many toxic and hardly any clean documents have; once it is trained, it names the
+words of toxic sentences itself, those it puts on the toxic side and that no clean sentence has, and is trained on these, until they stay the same. In
+each turn the clean words it fails on are added. Inserted characters, separators and repeats are trained on and tolerated; letters that stand alone are
+read together as a word. A sentence ends at a full stop, question or exclamation mark that follows a word and precedes white space, in training as in scoring.
 """
 
 from __future__ import annotations
@@ -33,8 +35,11 @@ DECAY = 0.6
 LONGEST = 24  # characters of a word that are compared; longer ones are compared in overlapping windows
 LOW = -2.0  # margin of a word without characters
 LANDMARKS = 128
+#: Bounds of training, beside those of the sample: toxic words (the most frequent first), clean words to begin with and added in a round,
+#: turns of naming toxic words, rounds of adding clean ones, and contexts that are remembered of a run of characters.
+TOXIC_WORDS, CLEAN_WORDS, MORE_WORDS, TURNS, ROUNDS, CONTEXTS = 400, 1500, 1000, 3, 4, 64
 ALPHABET = 40
-SENTENCE = re.compile(r"[.!?\n]+")
+SENTENCE = re.compile(r"(?<=\w\w)[.!?]+(?=\s)")
 #: Characters that separate letters within a word, and that are read as letters.
 MARKS = re.compile(r"[\W_]+")
 
@@ -203,8 +208,7 @@ def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
 def train(rows: list[tuple[str, int]], seed: int = 7) -> Model:
     """rows: text and label of the training documents, whose sentences have the document's label.
 
-    Which words make a sentence toxic is not labelled. They are those with runs of characters that many toxic and hardly any clean documents
-    of the sample have.
+    What is kept of them is bounded by the sample's size and the constants above; without toxic words to begin with, no text is toxic.
     """
     rng = np.random.default_rng(seed)
     one: dict[str, str] = {}
@@ -233,10 +237,10 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Model:
             words = chunks_of(s)
             for k, w in enumerate(words):
                 for g in grams(w):
-                    if g in beside and len(beside[g]) < 64:
+                    if g in beside and len(beside[g]) < CONTEXTS:
                         beside[g].add((*words[max(0, k - 1) : k], *words[k + 1 : k + 2]))
     excess = lambda g: in_toxic[g] - 20 * in_clean[g] * n_toxic / n_clean
-    telling = {g: excess(g) for g, contexts in beside.items() if excess(g) > 2 and len(contexts) > 0.6 * min(64, in_toxic[g])}
+    telling = {g: excess(g) for g, contexts in beside.items() if excess(g) > 2 and len(contexts) > 0.6 * min(CONTEXTS, in_toxic[g])}
     # In each toxic document, the words with its most telling gram; each is a positive example.
     positive: dict[str, int] = {}
     for words, label in bags:
@@ -245,13 +249,12 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Model:
         for w, v in value.items():
             if v and v >= 0.3 * top:
                 positive[w] = positive.get(w, 0) + 1
-    yes = sorted(positive, key=lambda w: (-positive[w], w))[:400]
+    yes = sorted(positive, key=lambda w: (-positive[w], w))[:TOXIC_WORDS]
     if not yes:
         return Model(np.zeros(ALPHABET**3, np.float32), -1.0, np.r_[-4.0, np.zeros(5)])
     no = sorted(w for w in clean if not any(g in telling for g in grams(w)))
     rng.shuffle(no)
-    pool, no = no, no[:1500]
-    words = yes + [disguised(w, rng) for w in yes for _ in range(2)]
+    pool, no = no, no[:CLEAN_WORDS]
     marks = yes[: LANDMARKS // 2]
     marks = marks + no[: LANDMARKS - len(marks)]
     base = vectors(marks)
@@ -259,19 +262,33 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Model:
     value, vector = np.linalg.eigh(gram + 1e-6 * np.eye(len(gram)))
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-6))) @ vector.T
     fold = lambda ws: np.vstack([vectors(ws[k : k + 100]) @ base.T for k in range(0, len(ws), 100)]) @ root
-    x_yes = fold(words)
     x_no = fold(no)
-    for _ in range(4):
-        x, y = np.vstack([x_yes, x_no]), np.r_[np.ones(len(x_yes)), -np.ones(len(x_no))]
-        cost = np.r_[np.full(len(yes), 4.0), np.full(len(words) - len(yes), 1.0), np.full(len(no), 2.0)]
-        w, bias = machine(x, y, cost)
-        model = Model((base.T @ (root @ w)).astype(np.float32), bias, np.zeros(6))
-        margins = model.words(pool)
-        worst = [pool[k] for k in np.argsort(-margins)[:1000] if margins[k] > -0.8]
-        more = sorted(set(worst) - set(no))
-        if not more:
+    only_toxic = [[w for w in words if w not in clean] for words, label in bags if label]
+    candidates = sorted({w for words in only_toxic for w in words})
+    for _ in range(TURNS):
+        words = yes + [disguised(w, rng) for w in yes for _ in range(2)]
+        x_yes = fold(words)
+        for _ in range(ROUNDS):
+            x, y = np.vstack([x_yes, x_no]), np.r_[np.ones(len(x_yes)), -np.ones(len(x_no))]
+            cost = np.r_[np.full(len(yes), 4.0), np.full(len(words) - len(yes), 1.0), np.full(len(no), 2.0)]
+            w, bias = machine(x, y, cost)
+            model = Model((base.T @ (root @ w)).astype(np.float32), bias, np.zeros(6))
+            margins = model.words(pool)
+            worst = [pool[k] for k in np.argsort(-margins)[:MORE_WORDS] if margins[k] > -0.8]
+            more = sorted(set(worst) - set(no))
+            if not more:
+                break
+            no, x_no = no + more, np.vstack([x_no, fold(more)])
+        margin = dict(zip(candidates, model.words(candidates).tolist(), strict=True))
+        named: dict[str, int] = {}
+        for own in only_toxic:
+            for word in own:
+                if margin[word] >= 0:
+                    named[word] = named.get(word, 0) + 1
+        again = sorted(named, key=lambda w: (-named[w], w))[:TOXIC_WORDS]
+        if not again or set(again) == set(yes):
             break
-        no, x_no = no + more, np.vstack([x_no, fold(more)])
+        yes = again
     known: dict[str, float] = {}
     parts = [summaries(pd.DataFrame({"text": [text for text, _ in rows[k : k + 200]]}), model, known) for k in range(0, len(rows), 200)]
     model.of_text = fitted(np.vstack(parts), np.array([label for _, label in rows], float))
@@ -370,6 +387,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """A row for each document: doc_id, held_out, score, predicted.
 
+    The machine learns from a sample of the labelled documents, at most TRAIN_DOCS of each label and of at most TRAIN_CHARS characters, and scores whole texts of any length.
     Null, empty and wordless texts score low. Only the text is scored. Labels of ids that repeat count as toxic where one of them is;
     null labels and labels without a document are ignored, and without labels of both kinds all texts score alike. Repeated rows each
     return, a null doc_id is scored and is not held out; other columns are ignored; an empty table gives no rows.
