@@ -1 +1 @@
-
+"""Column functions over names, paths, routes and identifiers."""

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.contract import table
-from tracelake.operators.search import tokens
-from tracelake.operators.traverse import _screens, flows
+from tracelake.contract import TYPE_PRIOR, table, valued
+from tracelake.functions.text import tokens
+from tracelake.operators.traverse import _every_screen, flows
 from tracelake.plans.projection import GRAPH_SQL, edges, evidence, nodes
 
 # Kinds of objects a catalogue may hold, and states of a dictionary entry.
@@ -89,24 +89,35 @@ def ranked_by_overlap(documents: DataFrame, wanted: list[str], keep: int = 4) ->
     return documents.select("doc", n.alias("shared")).where("shared > 0").orderBy(F.desc("shared"), "doc").limit(keep)
 
 
-def suggestions(concepts: DataFrame, names: DataFrame, least: float = 0.5, keep: int = 5) -> DataFrame:
-    """concepts: concept, label; names: node, name. Nodes by the share of the label's terms in their names; pairs come from an index of terms, never from all pairs."""
-    a = concepts.select("concept", tokens(F.col("label")).alias("t")).select("concept", F.size("t").alias("of"), F.explode("t").alias("term"))
-    b = names.select("node", F.explode(tokens(F.col("name"))).alias("term"))
-    hits = a.join(b, "term").groupBy("concept", "node").agg((F.count(F.lit(1)) / F.first("of")).alias("share"))
-    score = F.round(F.when(F.col("share") >= 1, 0.84 + 0.0 * F.col("share")).otherwise(0.42 * F.col("share") + 0.21), 6)
-    good = hits.where(F.col("share") >= least).select("concept", "node", score.alias("score"))
-    rank = F.row_number().over(Window.partitionBy("concept").orderBy(F.desc("score"), "node"))
-    return good.withColumn("rank", rank).where(F.col("rank") <= keep)
-
-
-def file_seeds(located: DataFrame, path: str, line: int, near: int = 5) -> DataFrame:
-    """located: node, path, line. Nodes with evidence in the file (else in files with its last two segments), ten times as much within `near` lines."""
-    tail = "/" + "/".join(path.split("/")[-2:])
-    tier = F.when(F.col("path") == path, 0).when(F.endswith(F.concat(F.lit("/"), "path"), F.lit(tail)), 1)
+def suggestions(concepts: DataFrame, names: DataFrame, keep: int = 5) -> DataFrame:
+    """concepts: concept, label, aliases, status; names: node, name. For each node the approved concepts that share a term with its name, best first.
+
+    A label or alias that stands in the name scores 0.84 and 0.05 for each of its terms up to three, 0.99 at most; others 0.42 and up to 0.37 by the share of
+    the concept's terms, 0.79 at most. Pairs come from an index of terms, and each node keeps its best as they are found, never all pairs of a frequent term:
+    what a concept scores for a node depends on the node's terms, so nodes of the same folded name are scored once.
+    """
+    approved = concepts.where("lower(status) = 'approved'").select("concept", "label", F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>"))).alias("every"))
+    approved = approved.withColumn("t", F.array_distinct(tokens(F.array_join("every", " "))))
+    a = approved.select("concept", "label", F.transform("every", lambda x: F.lower(F.trim(x))).alias("every"), F.size("t").alias("of"), F.explode("t").alias("term"))
+    folded = names.select("node", F.lower("name").alias("context"))
+    b = folded.select("context").distinct().select("context", F.explode(F.array_distinct(tokens(F.col("context")))).alias("term"))
+    hits = a.join(b, "term").groupBy("concept", "label", "context").agg(F.count(F.lit(1)).alias("shared"), F.first("of").alias("of"), F.first("every").alias("every"))
+    stands = F.get(F.filter("every", lambda x: (x != "") & F.contains(F.col("context"), x)), 0)
+    n = F.least(F.size(F.array_distinct(tokens(stands))), F.lit(3))
+    score = F.when(stands.isNotNull(), F.least(F.lit(0.99), 0.84 + n * 0.05)).otherwise(F.least(F.lit(0.79), 0.42 + F.col("shared") / F.col("of") * 0.37))
+    rank = F.row_number().over(Window.partitionBy("context").orderBy(F.desc("score"), F.lower("label"), "concept"))
+    best = hits.select("concept", "label", "context", F.round(score, 2).alias("score")).withColumn("rank", rank).where(F.col("rank") <= keep)
+    return folded.join(best, "context").select("node", "concept", "score", "rank")
+
+
+def file_seeds(located: DataFrame, path: str, line: int, last: int | None = None) -> DataFrame:
+    """located: node, node_type, path, line. Nodes in the file (else in files that end in its last three segments) by their type's prior, ten times as much between the lines."""
+    plain = path.replace("\\", "/").removeprefix("./").removeprefix("/")
+    tail = "/".join(plain.split("/")[-3:])
+    tier = F.when(F.col("path") == plain, 0).when(F.endswith("path", F.lit(tail)), 1)
     rows = located.withColumn("tier", tier).where("tier is not null")
     best = rows.agg(F.min("tier").alias("best"))
-    weight = F.when(F.abs(F.col("line") - line) <= near, 10.0).otherwise(1.0)
+    weight = F.when(F.col("line").between(line, last or line), 10.0).otherwise(1.0) * valued(F.col("node_type"), TYPE_PRIOR, 1.0)
     return rows.join(F.broadcast(best), F.col("tier") == F.col("best")).groupBy("node").agg(F.max(weight).alias("score"))
 
 
@@ -123,12 +134,12 @@ def _entries(s, d):
 
 
 def _refs(s, d):
-    o = table(s, d, "orders").where("o_orderkey < 3000")
+    o = table(s, d, "orders")
     return o.select(F.col("o_orderkey").alias("ref"), (F.col("o_custkey") % 5).alias("owner"), F.concat(F.lit("n"), (F.col("o_orderkey") % 40).cast("string")).alias("name"))
 
 
 def _topics(s, d):
-    c = table(s, d, "customer").where("c_custkey < 150")
+    c = table(s, d, "customer")
     return c.select((F.col("c_custkey") % 12).alias("topic"), F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string")).alias("producer"), F.concat(F.lit("handle"), (F.col("c_custkey") % 30).cast("string")).alias("consumer"))
 
 
@@ -137,13 +148,13 @@ QUERIES = {
     "catalogue_rejects": lambda s, d: rejected_records(_objects(s, d)).select("database", "line", "reason"),
     "catalogue_profile_map": lambda s, d: mapped(table(s, d, "part"), {"table_code": "p_partkey", "schema": "p_type", "name": "p_name"}, {"database": "DB1"}, {"schema": ("lower", "trim"), "name": ("upper",)}),
     "dictionary_load": lambda s, d: dictionary(_entries(s, d)),
-    "alias_links": lambda s, d: alias_links(table(s, d, "part").where("p_partkey < 30").select(F.col("p_partkey").alias("concept"), F.upper("p_name").alias("alias")), nodes(s, d).where("node_type = 'TABLE'").select(F.col("stable_id").alias("node"), "name")).groupBy("concept").agg(F.count(F.lit(1)).alias("links"), F.min("node").alias("first_node")),
+    "alias_links": lambda s, d: alias_links(table(s, d, "part").select(F.col("p_partkey").alias("concept"), F.upper("p_name").alias("alias")), nodes(s, d).where("node_type = 'TABLE'").select(F.col("stable_id").alias("node"), "name")).groupBy("concept").agg(F.count(F.lit(1)).alias("links"), F.min("node").alias("first_node")),
     "message_edges": lambda s, d: message_edges(_topics(s, d), nodes(s, d).where("node_type in ('APPLICATION', 'METHOD')").select("name", F.col("stable_id").alias("node"))),
     "reference_routing": lambda s, d: routed(_refs(s, d), s.range(0, 40, 4).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"), F.concat(F.lit("n"), (F.col("id") + 1).cast("string")).alias("target")), s.range(36).select((F.col("id") % 3).alias("owner"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"))),
-    "flow_skeleton_steps": lambda s, d: skeletons(flows(_screens(s, d, 10), edges(s, d), nodes(s, d)), nodes(s, d).select(F.col("stable_id").alias("node"), F.coalesce("system_key", "node_type").alias("system"))),
+    "flow_skeleton_steps": lambda s, d: skeletons(flows(_every_screen(s, d), edges(s, d), nodes(s, d)), nodes(s, d).select(F.col("stable_id").alias("node"), F.coalesce("system_key", "node_type").alias("system"))),
     "docs_by_overlap": lambda s, d: ranked_by_overlap(table(s, d, "benchmark").select(F.col("item_id").alias("doc"), F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.concat(F.lit("t"), ((F.col("item_id") * 7 + k * k) % 50).cast("string"))).alias("nodes")), ["t1", "t4", "t8", "t9", "t21"]),
-    "semantic_suggestions": lambda s, d: suggestions(table(s, d, "part").where("p_partkey < 20").select(F.col("p_partkey").alias("concept"), F.col("p_name").alias("label")), nodes(s, d).where("node_type = 'TABLE'").select(F.col("stable_id").alias("node"), "name")),
-    "file_seeds": lambda s, d: file_seeds(evidence(s, d).select(F.col("edge_id").alias("node"), F.col("source_path").alias("path"), F.col("start_line").alias("line")), "src/shipments/1996-03.sql", 2, 1),
+    "semantic_suggestions": lambda s, d: suggestions(table(s, d, "nation").select(F.col("n_nationkey").alias("concept"), F.concat(F.lit("small "), F.lower("n_name")).alias("label"), F.array(F.concat_ws(" ", F.lit("widget"), F.col("n_nationkey").cast("string")), F.lit("")).alias("aliases"), F.when(F.col("n_nationkey") % 7 == 0, "draft").otherwise("approved").alias("status")), nodes(s, d).where("node_type = 'TABLE'").select(F.col("stable_id").alias("node"), "name")),
+    "file_seeds": lambda s, d: file_seeds(evidence(s, d).join(edges(s, d).select("edge_id", F.col("source").alias("stable_id")), "edge_id").join(nodes(s, d).select("stable_id", "node_type"), "stable_id").select(F.col("stable_id").alias("node"), "node_type", F.col("source_path").alias("path"), F.col("start_line").alias("line")), "./shipments/1996-03.sql", 2, 3),
 }
 
 ORACLES = {
@@ -151,11 +162,16 @@ ORACLES = {
     "catalogue_rejects": "select p_brand as database, p_partkey as line, 'kind' as reason from part where p_size % 9 = 0",
     "catalogue_profile_map": "select p_partkey::varchar as table_code, trim(lower(p_type)) as schema, upper(p_name) as name, 'DB1' as database from part",
     "dictionary_load": "select 'c' || (doc_id % 37) as id, lang as locale, md5(text) as label, [source, lang] as aliases, 'approved' as state from documents where doc_id % 10 <> 0 and doc_id % 11 <> 0 qualify row_number() over (partition by doc_id % 37, lang order by doc_id desc) = 1",
-    "alias_links": "with k as (select p_partkey as concept, lower(replace(p_name, ' ', '')) as key from part where p_partkey < 30), n as (select 'table:' || p_partkey as node, lower(replace(p_name, ' ', '')) as key from part), r as (select concept, node from k join n using (key) qualify row_number() over (partition by concept order by node) <= 50) select concept, count(*) as links, min(node) as first_node from r group by 1",
-    "message_edges": GRAPH_SQL + ", f as (select c_custkey % 12 as topic, 'NATION_' || c_nationkey as producer, 'handle' || (c_custkey % 30) as consumer from customer where c_custkey < 150), e as (select distinct topic, 'PUBLISHES' as edge_type, producer as name from f union select distinct topic, 'CONSUMED_BY', consumer from f), k as (select name, count(distinct stable_id) as n, min(stable_id) as node from nodes where node_type in ('APPLICATION', 'METHOD') group by 1) select topic, edge_type, name, case when n is null then 'missing' when n > 1 then 'ambiguous' else 'linked' end as status, case when n = 1 then node end as node from e left join k using (name)",
-    "reference_routing": "with r as (select o_orderkey as ref, o_custkey % 5 as owner, o_orderkey % 40 as k from orders where o_orderkey < 3000), v as (select ref, owner, k % 4 = 0 as syn, case when k % 4 = 0 then k + 1 else k end as k from r) select ref, 'n' || k as name, case when k < 36 and k % 3 = owner then case when syn then 'synonym' else 'own' end when k < 36 then 'other' else 'absent' end as route, case when k >= 36 then 0.5 when k % 3 = owner then 1.0 else 0.8 end::double as confidence from v",
-    "flow_skeleton_steps": GRAPH_SQL + ", s as (select stable_id as start, system_key from nodes where node_type = 'SCREEN' and split_part(stable_id, ':', 2)::bigint < 10 and stable_id in (select a.source from edges a join edges m on m.source = a.target join edges t on t.source = m.target)), p as (select start, system_key as system, 0 as first from s union all select start, k, f from s, (values ('API_OPERATION', 1), ('METHOD', 2)) t(k, f)), b as (select distinct s.start, n.database_key from s join nodes n on false) select start, system, (row_number() over (partition by start order by first, system))::int as step from (select * from p union all select start, 'TABLE', 3 from s)",
+    "alias_links": "with k as (select p_partkey as concept, lower(replace(p_name, ' ', '')) as key from part), n as (select 'table:' || p_partkey as node, lower(replace(p_name, ' ', '')) as key from part), r as (select concept, node from k join n using (key) qualify row_number() over (partition by concept order by node) <= 50) select concept, count(*) as links, min(node) as first_node from r group by 1",
+    "message_edges": GRAPH_SQL + ", f as (select c_custkey % 12 as topic, 'NATION_' || c_nationkey as producer, 'handle' || (c_custkey % 30) as consumer from customer), e as (select distinct topic, 'PUBLISHES' as edge_type, producer as name from f union select distinct topic, 'CONSUMED_BY', consumer from f), k as (select name, count(distinct stable_id) as n, min(stable_id) as node from nodes where node_type in ('APPLICATION', 'METHOD') group by 1) select topic, edge_type, name, case when n is null then 'missing' when n > 1 then 'ambiguous' else 'linked' end as status, case when n = 1 then node end as node from e left join k using (name)",
+    "reference_routing": "with r as (select o_orderkey as ref, o_custkey % 5 as owner, o_orderkey % 40 as k from orders), v as (select ref, owner, k % 4 = 0 as syn, case when k % 4 = 0 then k + 1 else k end as k from r) select ref, 'n' || k as name, case when k < 36 and k % 3 = owner then case when syn then 'synonym' else 'own' end when k < 36 then 'other' else 'absent' end as route, case when k >= 36 then 0.5 when k % 3 = owner then 1.0 else 0.8 end::double as confidence from v",
+    "flow_skeleton_steps": GRAPH_SQL + ", s as (select stable_id as start, system_key from nodes where node_type = 'SCREEN' and stable_id in (select a.source from edges a join edges m on m.source = a.target join edges t on t.source = m.target)), p as (select start, system_key as system, 0 as first from s union all select start, k, f from s, (values ('API_OPERATION', 1), ('METHOD', 2)) t(k, f)), b as (select distinct s.start, n.database_key from s join nodes n on false) select start, system, (row_number() over (partition by start order by first, system))::int as step from (select * from p union all select start, 'TABLE', 3 from s)",
     "docs_by_overlap": "select item_id as doc, len(list_intersect(list_distinct(list_transform([0, 1, 2, 3, 4, 5], lambda k: 't' || ((item_id * 7 + k * k) % 50))), ['t1', 't4', 't8', 't9', 't21']))::int as shared from benchmark where shared > 0 order by shared desc, doc limit 4",
-    "semantic_suggestions": "with a as (select p_partkey as concept, unnest(string_split(p_name, ' ')) as term from part where p_partkey < 20), b as (select 'table:' || p_partkey as node, unnest(string_split(p_name, ' ')) as term from part), h as (select concept, node, count(*) / 2 as share from a join b using (term) group by all), g as (select concept, node, round(case when share >= 1 then 0.84 else 0.42 * share + 0.21 end, 6)::double as score from h where share >= 0.5) select *, (row_number() over (partition by concept order by score desc, node))::int as rank from g qualify rank <= 5",
-    "file_seeds": GRAPH_SQL + "select edge_id as node, max(case when abs(start_line - 2) <= 1 then 10.0 else 1.0 end)::double as score from evidence where source_path = 'shipments/1996-03.sql' group by 1",
+    "semantic_suggestions": """with c as (select n_nationkey as concept, 'small ' || lower(n_name) as label, 'widget ' || n_nationkey as alias from nation where n_nationkey % 7 <> 0),
+      t as (select concept, label, alias, list_distinct(list_filter(regexp_split_to_array(label || ' ' || alias, '[^a-z0-9]+'), lambda x: length(x) >= 2)) as terms from c),
+      n as (select 'table:' || p_partkey as node, lower(p_name) as context, list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda x: length(x) >= 2)) as own from part),
+      h as (select node, concept, label, case when contains(context, label) then label when contains(context, alias) then alias end as stands, len(list_intersect(terms, own)) as shared, len(terms) as all_terms from t join n on len(list_intersect(terms, own)) > 0),
+      s as (select node, concept, label, round(case when stands is not null then least(0.99, 0.84 + least(len(list_filter(regexp_split_to_array(stands, '[^a-z0-9]+'), lambda x: length(x) >= 2)), 3) * 0.05) else least(0.79, 0.42 + shared / all_terms * 0.37) end, 2)::double as score from h)
+      select node, concept, score, (row_number() over (partition by node order by score desc, label, concept))::int as rank from s qualify rank <= 5""",
+    "file_seeds": GRAPH_SQL + "select e.source as node, max(case when start_line between 2 and 3 then 10.0 else 1.0 end)::double as score from evidence v join edges e using (edge_id) where source_path = 'shipments/1996-03.sql' group by 1",
 }

@@ -27,14 +27,15 @@ def suffixes(route: Column) -> Column:
 
 
 def longest_suffix(calls: DataFrame, operations: DataFrame) -> DataFrame:
-    """calls: call_id, route; operations: operation_id, route. The operations whose whole route is the longest suffix of the call's.
+    """calls: call_id, route; operations: operation_id, route. All operations whose whole route is the longest suffix of the call's, each with their number.
 
-    A call explodes into its suffixes, so the theta condition becomes an equi join; ties of operations go to the smallest id.
+    A call explodes into its suffixes, so the theta condition becomes an equi join. One operation is a match, several are an ambiguity that the caller sees.
     """
     tails = calls.select("call_id", F.posexplode(suffixes(F.col("route"))).alias("skipped", "tail"))
-    ops = operations.select(F.array_join(F.filter(F.split("route", "/"), lambda p: p != ""), "/").alias("tail"), "operation_id")
-    ops = ops.groupBy("tail").agg(F.min("operation_id").alias("operation_id"))
-    return tails.join(ops, "tail").groupBy("call_id").agg(F.min(F.struct("skipped", "operation_id")).alias("m")).select("call_id", F.col("m.operation_id").alias("operation_id"), F.col("m.skipped").alias("skipped"))
+    ops = operations.select(F.array_join(F.filter(F.split("route", "/"), lambda p: p != ""), "/").alias("tail"), "operation_id").distinct()
+    often = ops.groupBy("tail").agg(F.count(F.lit(1)).alias("matches"))
+    best = tails.join(often, "tail").groupBy("call_id").agg(F.min(F.struct("skipped", "tail", "matches")).alias("m")).select("call_id", "m.*")
+    return best.join(ops, "tail").select("call_id", "operation_id", "skipped", "matches")
 
 
 def preferred_names(ids: DataFrame, names: DataFrame, locale: str, fallback: str = "en") -> DataFrame:
@@ -64,14 +65,33 @@ def span_owner(comments: DataFrame, spans: DataFrame, near: int = 2, width: int
     return comments.join(best, "comment_id", "left").select("comment_id", F.coalesce("b.owner_id", F.concat(F.lit("file:"), "path")).alias("owner_id"), F.coalesce(F.col("b.tier"), F.lit(2)).alias("tier"))
 
 
-def candidates(references: DataFrame, targets: DataFrame, keep: int = 10) -> DataFrame:
-    """references and targets: id, name, database, schema. Targets of the same upper name, scored 0.65, 0.2 for the database, 0.1 for the schema; the best `keep`."""
-    r = references.select(F.col("id").alias("reference_id"), F.upper("name").alias("leaf"), F.col("database").alias("rd"), F.col("schema").alias("rs"))
-    t = targets.select(F.col("id").alias("candidate_id"), F.upper("name").alias("leaf"), F.col("database").alias("td"), F.col("schema").alias("ts"))
-    score = F.round(F.lit(0.65) + F.when(F.col("rd") == F.col("td"), 0.2).otherwise(0.0) + F.when(F.col("rs") == F.col("ts"), 0.1).otherwise(0.0), 2)
-    scored = r.join(t, "leaf").select("reference_id", "candidate_id", score.alias("score"))
-    rank = F.row_number().over(Window.partitionBy("reference_id").orderBy(F.desc("score"), "candidate_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= keep).withColumn("status", F.when(F.col("score") >= 0.85, "eligible").otherwise("observe"))
+def candidates(references: DataFrame, targets: DataFrame, keep: int = 10, minimum: float = 0.85) -> DataFrame:
+    """references and targets: id, name, qualified, database, schema. The best `keep` targets of the same upper name for each reference.
+
+    The name scores 0.65, the database 0.2, the schema 0.1, and a target whose qualified name ends in the reference's 0.05, 1 at most. From `minimum`
+    on a candidate is eligible. What scores alike is one class: of each class of targets only the `keep` smallest ids can be taken, and equal references are scored once.
+    """
+    parts = ["leaf", "database", "schema", "qualified"]
+    upper = [F.upper("name").alias("leaf"), *(F.upper(F.coalesce(c, F.lit(""))).alias(c) for c in parts[1:])]
+    r = references.select(F.col("id").alias("reference_id"), *upper)
+    t = targets.select(F.col("id").alias("candidate_id"), *upper)
+    few = _least(t, parts, keep)
+    named = few.select("leaf", *(F.col(c).alias(f"t_{c}") for c in parts[1:]), "candidate_id")
+    pairs = r.select(*parts).distinct().join(named, "leaf")
+    same = lambda c, by: F.when((F.col(c) != "") & (F.col(c) == F.col(f"t_{c}")), by).otherwise(0.0)
+    tail = F.when(F.endswith("t_qualified", "qualified"), 0.05).otherwise(0.0)
+    scored = pairs.withColumn("score", F.round(F.least(F.lit(1.0), F.lit(0.65) + same("database", 0.2) + same("schema", 0.1) + tail), 2))
+    rank = F.row_number().over(Window.partitionBy(*parts).orderBy(F.desc("score"), "candidate_id"))
+    best = scored.withColumn("rank", rank).where(F.col("rank") <= keep).select(*parts, "candidate_id", "score", "rank")
+    return r.join(best, parts).select("reference_id", "candidate_id", "score", "rank", F.when(F.col("score") >= minimum, "eligible").otherwise("observe").alias("status"))
+
+
+def _least(rows: DataFrame, keys: list[str], keep: int) -> DataFrame:
+    """The rows of the `keep` smallest candidate ids of each class; cells of a class are cut first, so that no task ranks a large class as a whole."""
+    for part in (F.pmod(F.xxhash64("candidate_id"), F.lit(64)), F.lit(0)):
+        order = F.row_number().over(Window.partitionBy(*keys, "_cell").orderBy("candidate_id"))
+        rows = rows.withColumn("_cell", part).withColumn("_k", order).where(F.col("_k") <= keep).drop("_cell", "_k")
+    return rows
 
 
 def dangling(edges_: DataFrame, nodes_: DataFrame) -> DataFrame:
@@ -87,7 +107,7 @@ def _names(s, d):
 
 def _parts(s, d, fold=False):
     name = F.upper("p_name") if fold else F.col("p_name")
-    return table(s, d, "part").select(F.col("p_partkey").alias("id"), name.alias("name"), F.col("p_brand").alias("database"), F.col("p_type").alias("schema"))
+    return table(s, d, "part").select(F.col("p_partkey").alias("id"), name.alias("name"), F.col("p_brand").alias("database"), F.col("p_type").alias("schema"), F.concat_ws(".", F.col("p_type") if fold else F.lit(None).cast("string"), "p_name").alias("qualified"))
 
 
 def _calls(s, d):
@@ -95,7 +115,7 @@ def _calls(s, d):
 
 
 def _operations(s, d):
-    c = table(s, d, "customer").where("c_custkey < 40")
+    c = table(s, d, "customer")
     long = c.select(F.concat(F.lit("op:"), F.col("c_custkey").cast("string")).alias("operation_id"), F.concat(F.lit("/o/"), F.col("c_custkey").cast("string")).alias("route"))
     short = c.select(F.concat(F.lit("tail:"), F.col("c_custkey").cast("string")).alias("operation_id"), F.concat(F.lit("/"), F.col("c_custkey").cast("string")).alias("route"))
     return long.unionByName(short)
@@ -116,7 +136,7 @@ QUERIES = {
     "mapping_precedence_union_anti": lambda s, d: with_precedence(_names(s, d).where("locale = 'fr'").select("target_id", "locale", "value"), _names(s, d).where("locale = 'en'").select("target_id", "locale", "value"), "target_id"),
     "concepts_without_links": lambda s, d: table(s, d, "benchmark").join(table(s, d, "labels").where("toxic = 0").select(F.col("doc_id").alias("item_id")), "item_id", "left_anti").select("item_id"),
     "comment_owner_interval_join": lambda s, d: span_owner(*_comments(s, d)),
-    "resolution_candidates_top10": lambda s, d: candidates(_parts(s, d).where("id < 60"), _parts(s, d)),
+    "resolution_candidates_top10": lambda s, d: candidates(_parts(s, d), _parts(s, d, True)),
     "dangling_endpoints": lambda s, d: dangling(edges(s, d), nodes(s, d).where("not (node_type = 'TABLE' and stable_id like '%7')")),
     "orphan_evidence": lambda s, d: evidence(s, d).join(edges(s, d).where("edge_type <> 'DELETES'").select("edge_id"), "edge_id", "left_anti").groupBy("source_path").agg(F.count(F.lit(1)).alias("n")),
     "first_evidence_per_edge": lambda s, d: evidence(s, d).groupBy("edge_id").agg(F.min(F.struct("start_line", "source_path", "confidence")).alias("m")).select("edge_id", "m.*"),
@@ -130,8 +150,9 @@ _PARTS = "parts as (select p_partkey as id, p_name as name, p_brand as database,
 ORACLES = {
     "unique_match_join": f"with {_PARTS}, k as (select database || '.' || schema || '.' || name as key, id from parts), r as (select key, count(distinct id) as n, min(id) as m from k where id % 3 <> 0 group by 1) select k.id as ref_id, case when n is null then 'missing' when n = 1 then 'unique' else 'ambiguous' end as status, case when n = 1 then m end as match_id from k left join r using (key)",
     "longest_suffix_join": """with calls as (select o_orderkey as call_id, 'api/v1/' || lower(o_orderstatus) || '/' || (o_orderkey % 50) as route from orders),
-      ops as (select 'op:' || c_custkey as operation_id, 'o/' || c_custkey as route from customer where c_custkey < 40 union all select 'tail:' || c_custkey, c_custkey::varchar from customer where c_custkey < 40)
-      select call_id, operation_id, (4 - len(string_split(o.route, '/')))::int as skipped from calls c join ops o on c.route = o.route or c.route like '%/' || o.route qualify row_number() over (partition by call_id order by length(o.route) desc, operation_id) = 1""",
+      ops as (select 'op:' || c_custkey as operation_id, 'o/' || c_custkey as route from customer union all select 'tail:' || c_custkey, c_custkey::varchar from customer),
+      m as (select call_id, operation_id, o.route from calls c join ops o on c.route = o.route or c.route like '%/' || o.route qualify rank() over (partition by call_id order by length(o.route) desc) = 1)
+      select call_id, operation_id, (4 - len(string_split(route, '/')))::int as skipped, count(*) over (partition by call_id) as matches from m""",
     "localized_name_fallback": f"with {_NAMES}, a as (select target_id, min(value) as v from names where locale = 'de' group by 1), b as (select target_id, min(value) as v from names where locale = 'en' group by 1) select t.target_id, coalesce(a.v, b.v) as value, case when a.v is not null then 'de' when b.v is not null then 'en' end as locale from (select 'table:' || p_partkey as target_id from part) t left join a using (target_id) left join b using (target_id)",
     "mapping_precedence_union_anti": f"with {_NAMES} select target_id, locale, value from names where locale = 'fr' union all select target_id, locale, value from names where locale = 'en' and target_id not in (select target_id from names where locale = 'fr')",
     "concepts_without_links": "select item_id from benchmark where item_id not in (select doc_id from labels where toxic = 0)",
@@ -140,7 +161,7 @@ ORACLES = {
       h as (select comment_id, owner_id, case when line between a and b then 0 else 1 end as tier, case when line between a and b then b - a else a - line end as size from c join s using (path) where line between a and b or a - line between 1 and 2),
       w as (select * from h qualify row_number() over (partition by comment_id order by tier, size, owner_id) = 1)
       select comment_id, coalesce(owner_id, 'file:' || path) as owner_id, coalesce(tier, 2) as tier from c left join w using (comment_id)""",
-    "resolution_candidates_top10": f"with {_PARTS}, x as (select r.id as reference_id, t.id as candidate_id, round(0.65 + case when r.database = t.database then 0.2 else 0 end + case when r.schema = t.schema then 0.1 else 0 end, 2)::double as score from parts r join parts t on upper(r.name) = upper(t.name) where r.id < 60), y as (select *, row_number() over (partition by reference_id order by score desc, candidate_id)::int as rank from x) select *, case when score >= 0.85 then 'eligible' else 'observe' end as status from y where rank <= 10",
+    "resolution_candidates_top10": f"with {_PARTS}, x as (select r.id as reference_id, t.id as candidate_id, round(least(1.0, 0.65 + case when r.database = t.database then 0.2 else 0 end + case when r.schema = t.schema then 0.1 else 0 end + case when suffix(upper(t.schema || '.' || t.name), upper(r.name)) then 0.05 else 0 end), 2)::double as score from parts r join parts t on upper(r.name) = upper(t.name)), y as (select *, row_number() over (partition by reference_id order by score desc, candidate_id)::int as rank from x) select *, case when score >= 0.85 then 'eligible' else 'observe' end as status from y where rank <= 10",
     "dangling_endpoints": GRAPH_SQL + "select target as id, count(*) as n from edges where target like 'table:%7' group by 1",
     "orphan_evidence": GRAPH_SQL + "select source_path, count(*) as n from evidence where edge_id not in (select edge_id from edges where edge_type <> 'DELETES') group by 1",
     "first_evidence_per_edge": GRAPH_SQL + "select edge_id, start_line, source_path, confidence from evidence qualify row_number() over (partition by edge_id order by start_line, source_path, confidence) = 1",

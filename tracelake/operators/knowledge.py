@@ -67,9 +67,16 @@ def by_policy(rows: DataFrame, key: list[str], line: str, policy: str) -> DataFr
 
 
 def issue_owners(issues_: DataFrame, located: DataFrame) -> DataFrame:
-    """issues: issue_id, node, path; located: node, path. An issue belongs to its own node and to all nodes with evidence in its file."""
-    own = issues_.where("node is not null").select("issue_id", "node")
-    return own.unionByName(issues_.select("issue_id", "path").join(located, "path").select("issue_id", "node")).distinct()
+    """issues: issue_id, node, path; located: node, path. How many nodes an issue belongs to: its own, and all with evidence in its file.
+
+    The members of a file are one table, and issues point to the file; no pair of an issue and a node of a busy file is made.
+    """
+    members = located.select("path", "node").distinct()
+    sizes = members.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    inside = issues_.join(members, ["path", "node"], "left_semi").select("issue_id").withColumn("inside", F.lit(True))
+    out = issues_.select("issue_id", "node", "path").join(sizes, "path", "left").join(inside, "issue_id", "left")
+    own = F.when(F.col("node").isNotNull() & F.col("inside").isNull(), 1).otherwise(0)
+    return out.select("issue_id", (F.coalesce("n", F.lit(0)) + own).alias("owners")).where("owners > 0")
 
 
 def _versions(s, d):
@@ -104,7 +111,7 @@ QUERIES = {
     "evidence_cursor_page": lambda s, d: page(edges(s, d).select("edge_id", "edge_type"), "edge_id", "8", 25),
     "duplicate_policy_last_wins": lambda s, d: by_policy(table(s, d, "part").select("p_brand", "p_type", "p_partkey", "p_name"), ["p_brand", "p_type"], "p_partkey", "last-wins"),
     "duplicate_policy_error": lambda s, d: by_policy(table(s, d, "part").select("p_brand", "p_type", "p_partkey", "p_name"), ["p_brand", "p_type"], "p_partkey", "error"),
-    "issue_attribution": lambda s, d: issue_owners(table(s, d, "events").where("event_id < 40").select(F.col("event_id").alias("issue_id"), F.concat(F.lit("screen:"), F.col("user_id").cast("string")).alias("node"), F.concat(F.lit("shipments/1996-0"), (F.col("event_id") % 9 + 1).cast("string"), F.lit(".sql")).alias("path")), evidence(s, d).select(F.col("edge_id").alias("node"), F.col("source_path").alias("path"))).groupBy("issue_id").agg(F.count(F.lit(1)).alias("owners")),
+    "issue_attribution": lambda s, d: issue_owners(table(s, d, "events").select(F.col("event_id").alias("issue_id"), F.concat(F.lit("screen:"), F.col("user_id").cast("string")).alias("node"), F.concat(F.lit("shipments/1996-0"), (F.col("event_id") % 9 + 1).cast("string"), F.lit(".sql")).alias("path")), evidence(s, d).select(F.col("edge_id").alias("node"), F.col("source_path").alias("path"))),
 }
 
 _STATUS = "v as (select user_id as rule, event_id as version, ['draft', 'approved', 'needs_review', 'retired', 'approved'][event_id % 5 + 1] as status from events)"
@@ -120,5 +127,5 @@ ORACLES = {
     "evidence_cursor_page": GRAPH_SQL + "select edge_id, edge_type from edges where edge_id > '8' order by edge_id limit 26",
     "duplicate_policy_last_wins": "select p_brand, p_type, p_partkey, p_name from part qualify row_number() over (partition by p_brand, p_type order by p_partkey desc) = 1",
     "duplicate_policy_error": "select p_brand, p_type, count(distinct p_name) as n from part group by 1, 2 having count(distinct p_name) > 1",
-    "issue_attribution": GRAPH_SQL + ", i as (select event_id as issue_id, 'screen:' || user_id as node, 'shipments/1996-0' || (event_id % 9 + 1) || '.sql' as path from events where event_id < 40), o as (select issue_id, node from i union select issue_id, edge_id from i join evidence on path = source_path) select issue_id, count(*) as owners from o group by 1",
+    "issue_attribution": GRAPH_SQL + ", i as (select event_id as issue_id, 'screen:' || user_id as node, 'shipments/1996-0' || (event_id % 9 + 1) || '.sql' as path from events), o as (select issue_id, node from i union select issue_id, edge_id from i join evidence on path = source_path) select issue_id, count(*) as owners from o group by 1",
 }

@@ -94,18 +94,10 @@ def spread_labels(seeds: DataFrame, links: DataFrame, rounds: int = 20) -> DataF
     return known
 
 
-def _screens(s, d, n=20):
-    return nodes(s, d).where("node_type = 'SCREEN'").where(F.substring_index("stable_id", ":", -1).cast("long") < n).select(F.col("stable_id").alias("start"))
-
-
 def _every_screen(s, d):
     return nodes(s, d).where("node_type = 'SCREEN'").select(F.col("stable_id").alias("start"))
 
 
-def _serving(s, d):
-    return edges(s, d)
-
-
 def _table(s, d, k=5):
     return nodes(s, d).where("node_type = 'TABLE'").where(F.col("stable_id") == f"table:{k}").select(F.col("stable_id").alias("start"))
 
@@ -127,29 +119,27 @@ def _labels(s, d):
 QUERIES = {
     "screen_impact": lambda s, d: impact(_table(s, d), edges(s, d), nodes(s, d)),
     "impact_by_system": lambda s, d: impact(_table(s, d), edges(s, d), nodes(s, d)).groupBy("system_key", "node_type").agg(F.count(F.lit(1)).alias("n")),
-    "impact_api_trace": lambda s, d: walk(nodes(s, d).where("node_type = 'API_OPERATION'").where(F.substring_index("stable_id", ":", -1).cast("long") < 50).select(F.col("stable_id").alias("start")), adjacency(edges(s, d), nodes(s, d)), F.col("to_type").isin(*DATA_TARGETS), 8).select("start", "node", "depth", "confidence"),
-    "flows_materialized": lambda s, d: flows(_screens(s, d), _serving(s, d), nodes(s, d)).select("start", "target", "confidence", "depth", "target_no").select("start", "target", "depth"),
-    "flow_steps": lambda s, d: flows(_every_screen(s, d), _serving(s, d), nodes(s, d)).select("start", "target", F.posexplode("path").alias("step", "node")).groupBy("start", "step").agg(F.count_distinct("node").alias("nodes")),
-    "touched_data": lambda s, d: touched(_screens(s, d), edges(s, d), nodes(s, d)),
-    "business_reach": lambda s, d: walk(_screens(s, d), adjacency(edges(s, d), nodes(s, d), lambda k, t: is_data_edge(k) | follows(k, t)), F.col("to_type").isin(*DATA_TARGETS), 8).groupBy("start", "depth").agg(F.count(F.lit(1)).alias("n")),
+    "impact_api_trace": lambda s, d: walk(nodes(s, d).where("node_type = 'API_OPERATION'").select(F.col("stable_id").alias("start")), adjacency(edges(s, d), nodes(s, d)), F.col("to_type").isin(*DATA_TARGETS), 8).select("start", "node", "depth", "confidence"),
+    "flows_materialized": lambda s, d: flows(_every_screen(s, d), edges(s, d), nodes(s, d)).select("start", "target", "confidence", "depth", "target_no").select("start", "target", "depth"),
+    "flow_steps": lambda s, d: flows(_every_screen(s, d), edges(s, d), nodes(s, d)).select("start", "target", F.posexplode("path").alias("step", "node")).groupBy("start", "step").agg(F.count_distinct("node").alias("nodes")),
+    "touched_data": lambda s, d: touched(_every_screen(s, d), edges(s, d), nodes(s, d)),
+    "business_reach": lambda s, d: walk(_every_screen(s, d), adjacency(edges(s, d), nodes(s, d), lambda k, t: is_data_edge(k) | follows(k, t)), F.col("to_type").isin(*DATA_TARGETS), 8).groupBy("start", "depth").agg(F.count(F.lit(1)).alias("n")),
     "induced_subgraph": lambda s, d: induced(edges(s, d), nodes(s, d).where("node_type in ('SYSTEM', 'APPLICATION', 'SCREEN')").select(F.col("stable_id").alias("id"))).select("edge_id", "source", "target"),
     "cycle_walk": lambda s, d: walk(_ring_nodes(s, d).where("stable_id in ('m1', 'm2')").select(F.col("stable_id").alias("start")), adjacency(_ring(s, d), _ring_nodes(s, d)), F.lit(False), 64).select("start", "node", "depth"),
     "label_propagation": _labels,
-    "node_flow_index": lambda s, d: flows(_every_screen(s, d), _serving(s, d), nodes(s, d)).select("start", F.explode("path").alias("node")).distinct().groupBy("node").agg(F.count(F.lit(1)).alias("flows"), F.min("start").alias("first_flow")),
-    "pass_through_connected": lambda s, d: touched(_screens(s, d, 10), edges(s, d), nodes(s, d)).select("start", "target").distinct(),
+    "node_flow_index": lambda s, d: flows(_every_screen(s, d), edges(s, d), nodes(s, d)).select("start", F.explode("path").alias("node")).distinct().groupBy("node").agg(F.count(F.lit(1)).alias("flows"), F.min("start").alias("first_flow")),
 }
 
-_REACH = ", screens as (select stable_id as start from nodes where node_type = 'SCREEN' and split_part(stable_id, ':', 2)::bigint < {n}), hops as (select start, a.target as api, m.target as method, t.target as target, t.edge_type, least(a.confidence, m.confidence, t.confidence) as confidence from screens join edges a on a.source = start and a.edge_type = 'CALLS_API' join edges m on m.source = a.target join edges t on t.source = m.target) "
+_REACH = ", screens as (select stable_id as start from nodes where node_type = 'SCREEN'), hops as (select start, a.target as api, m.target as method, t.target as target, t.edge_type, least(a.confidence, m.confidence, t.confidence) as confidence from screens join edges a on a.source = start and a.edge_type = 'CALLS_API' join edges m on m.source = a.target join edges t on t.source = m.target) "
 _UP = ", up as (select source as method, target from edges where target = 'table:5'), api as (select distinct e.source as api, e.target as method from edges e where e.edge_type = 'HANDLED_BY' and e.target in (select method from up)), scr as (select distinct source as node from edges where edge_type = 'CALLS_API' and target in (select api from api)), hit as (select distinct method as node, 1 as depth from up union all select distinct api, 2 from api union all select node, 3 from scr) "
 ORACLES = {
     "screen_impact": GRAPH_SQL + _UP + "select 'table:5' as start, node, node_type, system_key, depth::int as depth from hit join nodes on node = stable_id",
     "impact_by_system": GRAPH_SQL + _UP + "select system_key, node_type, count(*) as n from hit join nodes on node = stable_id group by all",
-    "impact_api_trace": GRAPH_SQL + ", h as (select source as start, target as method from edges where edge_type = 'HANDLED_BY' and split_part(source, ':', 2)::bigint < 50), t as (select start, e.target as node, e.confidence, row_number() over (partition by start, e.target order by e.edge_type, method) as r0, method, e.edge_type, e.edge_id from h join edges e on e.source = method), ranked as (select start, node, confidence, row_number() over (partition by start, node order by method, edge_type, edge_id) as r from t) select start, method as node, 1 as depth, 1.0::double as confidence from h union all select start, node, 2, confidence from ranked where r = 1",
-    "flows_materialized": GRAPH_SQL + _REACH.format(n=20) + "select distinct start, target, 3::int as depth from hops",
-    "touched_data": GRAPH_SQL + _REACH.format(n=20) + "select distinct start, target, edge_type, 3 as steps from hops",
-    "business_reach": GRAPH_SQL + _REACH.format(n=20) + "select start, 1 as depth, count(distinct target) as n from screens join edges on source = start and edge_type = 'CALLS_API' group by 1 union all select start, 2, count(distinct method) from (select start, m.target as method from screens join edges a on a.source = start and a.edge_type = 'CALLS_API' join edges m on m.source = a.target) group by 1 union all select start, 3, count(distinct target) from hops group by 1",
+    "impact_api_trace": GRAPH_SQL + ", h as (select source as start, target as method from edges where edge_type = 'HANDLED_BY'), t as (select start, e.target as node, e.confidence, row_number() over (partition by start, e.target order by e.edge_type, method) as r0, method, e.edge_type, e.edge_id from h join edges e on e.source = method), ranked as (select start, node, confidence, row_number() over (partition by start, node order by method, edge_type, edge_id) as r from t) select start, method as node, 1 as depth, 1.0::double as confidence from h union all select start, node, 2, confidence from ranked where r = 1",
+    "flows_materialized": GRAPH_SQL + _REACH + "select distinct start, target, 3::int as depth from hops",
+    "touched_data": GRAPH_SQL + _REACH + "select distinct start, target, edge_type, 3 as steps from hops",
+    "business_reach": GRAPH_SQL + _REACH + "select start, 1 as depth, count(distinct target) as n from screens join edges on source = start and edge_type = 'CALLS_API' group by 1 union all select start, 2, count(distinct method) from (select start, m.target as method from screens join edges a on a.source = start and a.edge_type = 'CALLS_API' join edges m on m.source = a.target) group by 1 union all select start, 3, count(distinct target) from hops group by 1",
     "induced_subgraph": GRAPH_SQL + "select edge_id, source, target from edges where layer = 'STRUCTURAL'",
     "cycle_walk": "with recursive w as (select s as start, s as node, 0 as depth from (values (1), (2)) v(s) union all select start, (node * 7 + 3) % 200, depth + 1 from w where depth < 64), f as (select start, node, min(depth) as depth from w group by all) select 'm' || start as start, 'm' || node as node, depth::int as depth from f where depth > 0",
     "label_propagation": GRAPH_SQL + "select 'system:' || r_regionkey as node, r_name as label, 0 as distance from region union all select 'application:' || n_nationkey, r_name, 1 from nation join region on n_regionkey = r_regionkey union all select 'screen:' || c_custkey, r_name, 2 from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey union all select 'api-operation:' || o_orderkey, r_name, 3 from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey",
-    "pass_through_connected": GRAPH_SQL + _REACH.format(n=10) + "select distinct start, target from hops",
 }
