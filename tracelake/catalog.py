@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tracelake.operators import aggregates, catalogue, derive, diff, joins, knowledge, listing, merge, search, traverse
+from tracelake.operators import aggregates, catalogue, derive, diff, joins, knowledge, linking, listing, merge, paths, search, traverse
 from tracelake.sources import readers
 from tracelake.streaming import usage
 
-MODULES: tuple = (listing, aggregates, joins, traverse, merge, diff, search, derive, knowledge, catalogue, readers, usage)
+MODULES: tuple = (listing, aggregates, joins, linking, traverse, paths, merge, diff, search, derive, knowledge, catalogue, readers, usage)
 FLAGSHIP = "screen_impact"
 
 

@@ -29,7 +29,7 @@ def sql_part(part: Column) -> Column:
 def sql_parts(value: Column) -> Column:
     """The parts between dots that stand outside quotes; null for an empty part or an open quote."""
     marked = F.concat(F.lit("."), F.trim(value))
-    parts = F.transform(F.regexp_extract_all(marked, F.lit(r'\.((?:"(?:[^"]|"")*"|[^."])*)'), F.lit(1)), F.trim)
+    parts = F.transform(F.regexp_extract_all(marked, F.lit(r'\.((?:"(?:[^"]|"")*"|[^."])*)'), F.lit(1)), lambda p: F.trim(p))
     whole = F.concat(F.lit("."), F.array_join(parts, "."))
     sound = F.forall(parts, lambda p: p.rlike(r'^("([^"]|"")*"|[^"]+)$')) & (F.replace(whole, F.lit(" "), F.lit("")) == F.replace(marked, F.lit(" "), F.lit("")))
     return F.when(sound, F.transform(parts, sql_part))

@@ -26,22 +26,22 @@ def adjacency(edges_: DataFrame, nodes_: DataFrame, keep: Callable[[Column, Colu
 
 
 def walk(starts: DataFrame, moves: DataFrame, stop: Column, depth: int, expand: Column | None = None) -> DataFrame:
-    """starts: start. Every node that each start reaches, with depth, rank, edge_type, parent, path (nodes) and confidence (the least on the way).
+    """starts: start. Every node that each start reaches, with depth, rank, edge_type, parent, path (nodes), way (edge ids) and confidence (the least on the way).
 
     A node that `stop` marks (over to_type and edge_type) is reached but not left. First discoveries follow parent rank, edge type, node and edge id.
     """
-    columns = ["start", "node", "depth", "rank", "edge_type", "parent", "path", "confidence", "stopped"]
+    columns = ["start", "node", "depth", "rank", "edge_type", "parent", "path", "way", "confidence", "stopped"]
     none = F.lit(None).cast("string")
-    front = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.lit(1).cast("long").alias("rank"), none.alias("edge_type"), none.alias("parent"), F.array("start").alias("path"), F.lit(1.0).alias("confidence"), F.lit(False).alias("stopped"))
+    front = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.lit(1).cast("long").alias("rank"), none.alias("edge_type"), none.alias("parent"), F.array("start").alias("path"), F.array().cast("array<string>").alias("way"), F.lit(1.0).alias("confidence"), F.lit(False).alias("stopped"))
     front = seen = written(front)
     moves = written(moves)
     for hop in range(1, depth + 1):
-        step = front.where(~F.col("stopped")).select("start", F.col("node").alias("at"), F.col("rank").alias("from_rank"), "path", F.col("confidence").alias("so_far"))
+        step = front.where(~F.col("stopped")).select("start", F.col("node").alias("at"), F.col("rank").alias("from_rank"), "path", "way", F.col("confidence").alias("so_far"))
         found = step.join(moves, "at").join(seen.select("start", F.col("node").alias("to")), ["start", "to"], "left_anti")
-        first = F.min(F.struct("from_rank", "edge_type", "to", "edge_id", "at", F.concat("path", F.array("to")).alias("path"), F.least("so_far", "confidence").alias("confidence"), stop.alias("stopped")))
+        first = F.min(F.struct("from_rank", "edge_type", "to", "edge_id", "at", F.concat("path", F.array("to")).alias("path"), F.concat("way", F.array("edge_id")).alias("way"), F.least("so_far", "confidence").alias("confidence"), stop.alias("stopped")))
         found = found.groupBy("start", "to").agg(first.alias("f"))
         order = Window.partitionBy("start").orderBy("f.from_rank", "f.edge_type", "f.to", "f.edge_id")
-        front = found.select("start", F.col("to").alias("node"), F.lit(hop).alias("depth"), F.row_number().over(order).cast("long").alias("rank"), F.col("f.edge_type").alias("edge_type"), F.col("f.at").alias("parent"), F.col("f.path").alias("path"), F.col("f.confidence").alias("confidence"), F.col("f.stopped").alias("stopped"))
+        front = found.select("start", F.col("to").alias("node"), F.lit(hop).alias("depth"), F.row_number().over(order).cast("long").alias("rank"), F.col("f.edge_type").alias("edge_type"), F.col("f.at").alias("parent"), F.col("f.path").alias("path"), F.col("f.way").alias("way"), F.col("f.confidence").alias("confidence"), F.col("f.stopped").alias("stopped"))
         front = written(front.select(*columns))
         if front.isEmpty():
             break
