@@ -18,16 +18,31 @@ def changes(base: DataFrame, head: DataFrame, key: list[str], value: str) -> Dat
     return both.withColumn("status", status).where("status is not null").select(*key, "status")
 
 
+def digest(lines: DataFrame, owner: str) -> DataFrame:
+    """lines: owner and line. One fingerprint for each owner's set of lines.
+
+    It is a digest of how many different lines there are and of the sum of their digests' first 60 bits. Sums are combined before the
+    shuffle, so an owner of any number of lines never has them in one row; two sets agree if their numbers and sums do.
+    """
+    value = F.conv(F.substring(F.sha2("line", 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    sums = lines.select(owner, "line").distinct().groupBy(owner).agg(F.count(F.lit(1)).alias("n"), F.sum(value).cast("string").alias("sum"))
+    return sums.select(owner, F.substring(F.sha2(F.concat_ws(":", F.col("n").cast("string"), "sum"), 256), 1, 20).alias("fingerprint"))
+
+
 def fingerprints(edges_: DataFrame) -> DataFrame:
-    """node and the digest of its sorted outgoing edges."""
-    line = F.concat_ws("|", "edge_type", "target", "operation")
-    return edges_.groupBy(F.col("source").alias("node")).agg(F.substring(F.sha2(F.array_join(F.sort_array(F.collect_set(line)), "\n"), 256), 1, 20).alias("fingerprint"))
+    """node and the digest of its outgoing edges."""
+    return digest(edges_.select(F.col("source").alias("node"), F.concat_ws("|", "edge_type", "target", "operation").alias("line")), "node")
 
 
 def combined(members: DataFrame, prints: DataFrame) -> DataFrame:
     """members: owner, node. One digest over each owner's nodes; a node without a fingerprint counts as MISSING."""
     lines = members.join(prints, "node", "left").select("owner", F.concat_ws("=", "node", F.coalesce("fingerprint", F.lit("MISSING"))).alias("line"))
-    return lines.groupBy("owner").agg(F.substring(F.sha2(F.array_join(F.sort_array(F.collect_set("line")), "\n"), 256), 1, 20).alias("fingerprint"))
+    return digest(lines, "owner")
+
+
+def affected(rules: DataFrame, changed: DataFrame) -> DataFrame:
+    """rules: item_id, nodes; changed: node. The rules that name a changed node."""
+    return rules.select("item_id", F.explode("nodes").alias("node")).join(changed.select("node").distinct(), "node", "left_semi").select("item_id").distinct()
 
 
 def stale(recorded: DataFrame, current: DataFrame) -> DataFrame:
@@ -65,17 +80,18 @@ QUERIES = {
     "graph_diff_modified": lambda s, d: changes(fingerprints(_base(s, d)), fingerprints(_head(s, d)), ["node"], "fingerprint").groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first_node")),
     "stale_files": lambda s, d: stale(_files(s, d), _files(s, d, True)),
     "plan_compare": lambda s, d: planned(nodes(s, d).where("node_type = 'TABLE'").select(F.lower("name").alias("item")), nodes(s, d).where("node_type in ('TABLE', 'APPLICATION') and database_key is distinct from 'Brand#1'").select(F.lower("name").alias("item"))),
-    "affected_rules": lambda s, d: table(s, d, "benchmark").select("item_id", F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.concat(F.lit("table:"), ((F.col("item_id") * 5 + k) % 60).cast("string"))).alias("nodes")).join(edges(s, d).where("edge_type = 'READS' and target like 'table:_'").agg(F.collect_set("target").alias("changed")), F.arrays_overlap("nodes", "changed")).select("item_id"),
+    "affected_rules": lambda s, d: affected(table(s, d, "benchmark").select("item_id", F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.concat(F.lit("table:"), ((F.col("item_id") * 5 + k) % 600).cast("string"))).alias("nodes")), edges(s, d).where("edge_type = 'READS'").select(F.col("target").alias("node"))),
 }
 
 _BASE = ", base as (select * from edges where edge_type <> 'CALLS_API' or target not like '%3'), head as (select edge_id, source, target, edge_type, layer, operation, case when target like 'table:%1' then 0.5 else confidence end::double as confidence from edges where edge_type <> 'DELETES' or target not like '%9') "
-_PRINT = "select source as node, substr(sha256(string_agg(distinct concat_ws('|', edge_type, target, operation), chr(10) order by concat_ws('|', edge_type, target, operation))), 1, 20) as fingerprint from {} group by 1"
+_DIGEST = "substr(sha256(count(*) || ':' || sum(('0x' || substr(sha256(line), 1, 15))::bigint)), 1, 20)"
+_PRINT = "select node, " + _DIGEST + " as fingerprint from (select distinct source as node, concat_ws('|', edge_type, target, operation) as line from {}) group by 1"
 ORACLES = {
     "graph_diff_edges": GRAPH_SQL + _BASE + "select edge_id, case when b.edge_id is null then 'added' when h.edge_id is null then 'removed' else 'changed' end as status from base b full join head h using (edge_id) where b.edge_id is null or h.edge_id is null or b.confidence <> h.confidence",
     "fingerprints": GRAPH_SQL + _PRINT.format("edges"),
-    "combined_fingerprints": GRAPH_SQL + f", p as ({_PRINT.format('edges')}), l as (select distinct e.source as owner, target || '=' || coalesce(fingerprint, 'MISSING') as line from edges e left join p on target = node where edge_type = 'CALLS_API') select owner, substr(sha256(string_agg(line, chr(10) order by line)), 1, 20) as fingerprint from l group by 1",
+    "combined_fingerprints": GRAPH_SQL + f", p as ({_PRINT.format('edges')}), l as (select distinct e.source as owner, target || '=' || coalesce(fingerprint, 'MISSING') as line from edges e left join p on target = node where edge_type = 'CALLS_API') select owner, {_DIGEST} as fingerprint from l group by 1",
     "graph_diff_modified": GRAPH_SQL + _BASE + f", b as ({_PRINT.format('base')}), h as ({_PRINT.format('head')}), x as (select node, case when b.fingerprint is null then 'added' when h.fingerprint is null then 'removed' when b.fingerprint <> h.fingerprint then 'changed' end as status from b full join h using (node)) select status, count(*) as n, min(node) as first_node from x where status is not null group by 1",
     "stale_files": "with a as (select 'page/' || page_id as path, sha256(html) as x from pages where page_id % 13 <> 0), b as (select 'page/' || page_id as path, sha256(case when page_id % 7 = 0 then html || '<!-- new -->' else html end) as x from pages where page_id % 11 <> 0) select path, case when a.x is null then 'added' when b.x is null then 'deleted' else 'changed' end as status from a full join b using (path) where a.x is distinct from b.x",
     "plan_compare": GRAPH_SQL + "select item, case when p is null then 'unplanned' when a is null then 'untouched' else 'planned' end as status from (select distinct lower(name) as item, 1 as p from nodes where node_type = 'TABLE') full join (select distinct lower(name) as item, 1 as a from nodes where node_type in ('TABLE', 'APPLICATION') and database_key is distinct from 'Brand#1') using (item)",
-    "affected_rules": GRAPH_SQL + "select item_id from benchmark where exists (select 1 from edges where edge_type = 'READS' and target like 'table:_' and target in ('table:' || ((item_id * 5) % 60), 'table:' || ((item_id * 5 + 1) % 60), 'table:' || ((item_id * 5 + 2) % 60)))",
+    "affected_rules": GRAPH_SQL + ", c as (select distinct target from edges where edge_type = 'READS'), r as (select item_id, 'table:' || ((item_id * 5 + k) % 600) as node from benchmark, (values (0), (1), (2)) v(k)) select distinct item_id from r where node in (select target from c)",
 }

@@ -106,20 +106,20 @@ with recursive shipments as (
     'shipments/' || strftime(l_shipdate, '%Y-%m') || '.sql' as source_path, l_linenumber as start_line,
     'method:' || l_orderkey || ':' || l_suppkey as source, 'table:' || l_partkey as target
   from lineitem),
-nodes as (
+nodes as materialized (
   select 'system:' || r_regionkey as stable_id, 'SYSTEM' as node_type, r_name as name, r_name as qualified_name, 'system:' || r_regionkey as system_key, null::varchar as database_key from region
   union all select 'application:' || n_nationkey, 'APPLICATION', n_name, n_name, 'system:' || n_regionkey, null from nation
   union all select 'screen:' || c_custkey, 'SCREEN', c_name, n_name || '.' || c_name, 'system:' || n_regionkey, null from customer join nation on c_nationkey = n_nationkey
   union all select 'api-operation:' || o_orderkey, 'API_OPERATION', r, r, null, null from (select o_orderkey, case o_orderpriority when '1-URGENT' then 'POST' when '2-HIGH' then 'PUT' when '5-LOW' then 'DELETE' else 'GET' end || ' /orders/' || lower(o_orderstatus) || '/' || o_orderkey as r from orders)
   union all select distinct 'method:' || l_orderkey || ':' || l_suppkey, 'METHOD', 'handle' || l_suppkey, l_orderkey || '.' || l_suppkey, null, null from lineitem
   union all select 'table:' || p_partkey, 'TABLE', p_name, p_brand || '.' || p_type || '.' || p_name, null, p_brand from part),
-raw_edges as (
+raw_edges as materialized (
   select 'system:' || n_regionkey as source, 'application:' || n_nationkey as target, 'CONTAINS' as edge_type, 'STRUCTURAL' as layer, '' as operation, 1.0::double as confidence from nation
   union all select 'application:' || c_nationkey, 'screen:' || c_custkey, 'CONTAINS', 'STRUCTURAL', '', 1.0 from customer
   union all select 'screen:' || o_custkey, 'api-operation:' || o_orderkey, 'CALLS_API', 'DATA_FLOW', '', 1.0 from orders
   union all select distinct 'api-operation:' || l_orderkey, source, 'HANDLED_BY', 'TECHNICAL', '', 1.0 from shipments
   union all select source, target, access, 'TECHNICAL', operation, min(confidence) from shipments group by source, target, access, operation),
-edges as (select sha256(concat_ws('|', source, edge_type, target, operation, layer)) as edge_id, * from raw_edges),
+edges as materialized (select sha256(concat_ws('|', source, edge_type, target, operation, layer)) as edge_id, * from raw_edges),
 evidence as (select sha256(concat_ws('|', source, access, target, operation, 'TECHNICAL')) as edge_id, source_path, start_line, confidence from shipments),
 issues as (
   select event_id as issue_id, upper(event_type) as issue_type, case event_type when 'error' then 'ERROR' when 'purchase' then 'WARNING' else 'INFO' end as severity,
