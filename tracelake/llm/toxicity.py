@@ -7,8 +7,8 @@ and the machine fold into one weight for each three characters, and a word costs
 
 A text is cut into sentences, which have its label, and a sentence is a bag of words, as toxic as its worst one. Which words make a toxic sentence toxic is
 not labelled, so the machine learns from bags: it starts from words whose runs of characters many toxic and hardly any clean documents have; once it is trained, it names the
-words of toxic sentences itself, those it puts on the toxic side and that no clean sentence has, and is trained on these, until they stay the same. In
-each turn the clean words it fails on are added. Inserted characters, separators and repeats are trained on and tolerated; letters that stand alone are
+words of toxic sentences itself, of those that no clean sentence has: the ones it held and still puts on the toxic side, and others beyond the margin. On these it is
+trained again, until they stay the same. In each turn the clean words it fails on are added. Inserted characters, separators and repeats are trained on and tolerated; letters that stand alone are
 read together as a word. A sentence ends at a full stop, question or exclamation mark that follows a word and precedes white space, in training as in scoring.
 """
 
@@ -280,10 +280,11 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Model:
                 break
             no, x_no = no + more, np.vstack([x_no, fold(more)])
         margin = dict(zip(candidates, model.words(candidates).tolist(), strict=True))
-        named: dict[str, int] = {}
+        # a word stays on its side of the plane, and a new one is taken from outside the margin
+        named, held = {}, set(yes)
         for own in only_toxic:
             for word in own:
-                if margin[word] >= 0:
+                if margin[word] >= (0.0 if word in held else 1.0):
                     named[word] = named.get(word, 0) + 1
         again = sorted(named, key=lambda w: (-named[w], w))[:TOXIC_WORDS]
         if not again or set(again) == set(yes):
