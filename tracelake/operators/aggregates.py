@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.contract import WRITE_EDGES, table
+from tracelake.operators.ranks import first_of
 from tracelake.plans.projection import GRAPH_SQL, edges, evidence, issues, nodes
 
 
@@ -37,12 +38,12 @@ def quality(nodes_: DataFrame, edges_: DataFrame, issues_: DataFrame) -> DataFra
 def bounded(issues_: DataFrame, most: int) -> DataFrame:
     """The first most - 1 issues of each path and type, and a row that counts the rest.
 
-    Ranks come from one window over path and type; what is cut is only counted.
+    What is cut is only counted.
     """
-    rank = F.row_number().over(Window.partitionBy("source_path", "issue_type").orderBy("issue_id"))
-    ranked = issues_.select("source_path", "issue_type", "issue_id").withColumn("rank", rank)
-    kept = ranked.where(F.col("rank") < most).select("source_path", "issue_type", "issue_id", F.lit(0).cast("long").alias("omitted"))
-    rest = ranked.where(F.col("rank") >= most).groupBy("source_path", "issue_type").agg(F.lit(None).cast("long").alias("issue_id"), F.count(F.lit(1)).alias("omitted"))
+    keys = ["source_path", "issue_type"]
+    rows = issues_.select(*keys, "issue_id")
+    kept = first_of(rows, keys, "issue_id", ["issue_id"], most - 1).select(*keys, "issue_id", F.lit(0).cast("long").alias("omitted"))
+    rest = rows.groupBy(*keys).agg((F.count(F.lit(1)) - (most - 1)).alias("omitted")).where("omitted > 0").select(*keys, F.lit(None).cast("long").alias("issue_id"), "omitted")
     return kept.unionByName(rest)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.contract import TYPE_PRIOR, table, valued
 from tracelake.functions.text import tokens
+from tracelake.operators.ranks import first_of
 from tracelake.operators.traverse import _every_screen, flows
 from tracelake.plans.projection import GRAPH_SQL, edges, evidence, nodes
 
@@ -53,8 +54,7 @@ def alias_links(concepts: DataFrame, names: DataFrame, cap: int = 50) -> DataFra
     """concepts: concept, alias; names: node, name. Nodes whose compact name is the alias's; at most `cap` of an alias, the smallest ids."""
     compact = lambda c: F.lower(F.regexp_replace(c, r"[^A-Za-z0-9]", ""))
     joined = concepts.select("concept", compact(F.col("alias")).alias("key")).distinct().join(names.select("node", compact(F.col("name")).alias("key")), "key")
-    rank = F.row_number().over(Window.partitionBy("concept", "key").orderBy("node"))
-    return joined.withColumn("k", rank).where(F.col("k") <= cap).select("concept", "node")
+    return first_of(joined, ["concept", "key"], "node", ["node"], cap).select("concept", "node")
 
 
 def message_edges(flows_: DataFrame, endpoints: DataFrame) -> DataFrame:
@@ -105,8 +105,8 @@ def suggestions(concepts: DataFrame, names: DataFrame, keep: int = 5) -> DataFra
     stands = F.get(F.filter("every", lambda x: (x != "") & F.contains(F.col("context"), x)), 0)
     n = F.least(F.size(F.array_distinct(tokens(stands))), F.lit(3))
     score = F.when(stands.isNotNull(), F.least(F.lit(0.99), 0.84 + n * 0.05)).otherwise(F.least(F.lit(0.79), 0.42 + F.col("shared") / F.col("of") * 0.37))
-    rank = F.row_number().over(Window.partitionBy("context").orderBy(F.desc("score"), F.lower("label"), "concept"))
-    best = hits.select("concept", "label", "context", F.round(score, 2).alias("score")).withColumn("rank", rank).where(F.col("rank") <= keep)
+    scored = hits.select("concept", "label", "context", F.round(score, 2).alias("score"))
+    best = first_of(scored, ["context"], "concept", [F.desc("score"), F.lower("label"), "concept"], keep, "rank")
     return folded.join(best, "context").select("node", "concept", "score", "rank")
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.contract import table
+from tracelake.operators.ranks import first_of
 from tracelake.plans.projection import GRAPH_SQL, edges, evidence, nodes
 
 
@@ -75,25 +76,16 @@ def candidates(references: DataFrame, targets: DataFrame, keep: int = 10, minimu
     upper = [F.upper("name").alias("leaf"), *(F.upper(F.coalesce(c, F.lit(""))).alias(c) for c in parts[1:])]
     r = references.select(F.col("id").alias("reference_id"), *upper)
     t = targets.select(F.col("id").alias("candidate_id"), *upper)
-    few = _least(t, parts, keep)
+    few = first_of(t, parts, "candidate_id", ["candidate_id"], keep)
     named = few.select("leaf", *(F.col(c).alias(f"t_{c}") for c in parts[1:]), "candidate_id")
     pairs = r.select(*parts).distinct().join(named, "leaf")
     same = lambda c, by: F.when((F.col(c) != "") & (F.col(c) == F.col(f"t_{c}")), by).otherwise(0.0)
     tail = F.when(F.endswith("t_qualified", "qualified"), 0.05).otherwise(0.0)
     scored = pairs.withColumn("score", F.round(F.least(F.lit(1.0), F.lit(0.65) + same("database", 0.2) + same("schema", 0.1) + tail), 2))
-    rank = F.row_number().over(Window.partitionBy(*parts).orderBy(F.desc("score"), "candidate_id"))
-    best = scored.withColumn("rank", rank).where(F.col("rank") <= keep).select(*parts, "candidate_id", "score", "rank")
+    best = first_of(scored, parts, "candidate_id", [F.desc("score"), "candidate_id"], keep, "rank").select(*parts, "candidate_id", "score", "rank")
     return r.join(best, parts).select("reference_id", "candidate_id", "score", "rank", F.when(F.col("score") >= minimum, "eligible").otherwise("observe").alias("status"))
 
 
-def _least(rows: DataFrame, keys: list[str], keep: int) -> DataFrame:
-    """The rows of the `keep` smallest candidate ids of each class; cells of a class are cut first, so that no task ranks a large class as a whole."""
-    for part in (F.pmod(F.xxhash64("candidate_id"), F.lit(64)), F.lit(0)):
-        order = F.row_number().over(Window.partitionBy(*keys, "_cell").orderBy("candidate_id"))
-        rows = rows.withColumn("_cell", part).withColumn("_k", order).where(F.col("_k") <= keep).drop("_cell", "_k")
-    return rows
-
-
 def dangling(edges_: DataFrame, nodes_: DataFrame) -> DataFrame:
     """Ends of edges without a node, and how many edges name them."""
     ends = edges_.select(F.col("source").alias("id")).unionByName(edges_.select(F.col("target").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n"))

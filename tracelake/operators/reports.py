@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracelake.contract import DATA_TARGETS, WRITE_EDGES, table
 from tracelake.functions.names import shortened, small_id
 from tracelake.functions.text import fold_ascii, tokens
+from tracelake.operators.ranks import first_of
 from tracelake.plans.projection import GRAPH_SQL, edges, evidence, issues, nodes
 from tracelake.sources.scratch import written
 
@@ -69,10 +70,7 @@ def compared_graphs(base: tuple[DataFrame, ...], head: tuple[DataFrame, ...]) ->
 def capped(changes: DataFrame, keep: int = MOST_ITEMS) -> DataFrame:
     """changes: section, change, key. The first `keep` of each list, with the list's true length."""
     sizes = changes.groupBy("section", "change").agg(F.count(F.lit(1)).alias("total"))
-    for cell in (F.pmod(F.xxhash64("key"), F.lit(64)), F.lit(0)):  # cells are cut first, so that no task ranks a whole list
-        rank = F.row_number().over(Window.partitionBy("section", "change", "_c").orderBy("key"))
-        changes = changes.withColumn("_c", cell).withColumn("_k", rank).where(F.col("_k") <= keep).drop("_c", "_k")
-    return changes.join(sizes, ["section", "change"])
+    return first_of(changes, ["section", "change"], "key", ["key"], keep).join(sizes, ["section", "change"])
 
 
 def pruned(issues_: DataFrame, known: DataFrame) -> DataFrame:
