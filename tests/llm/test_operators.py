@@ -430,3 +430,58 @@ def test_pipeline_stages(spark):
 
 def test_digests_are_those_of_hashlib():
     assert brute.sha("") == hashlib.sha256(b"").hexdigest()
+
+
+def test_toxicity_of_odd_texts(spark, insults):
+    rows = [(i, t, "en", 0.5, 1) for i, t, _ in insults] + [(9001, "word " * 60_000 + "blockhead and dimwit", "en", 0.5, 1), (9002, None, "en", 0.5, 1), (9003, "", "en", 0.5, 1), (9004, "... ! ?", "en", 0.5, 1)]
+    docs = spark.createDataFrame(rows + [rows[0], rows[0]], "doc_id long, text string, lang string, score double, toxic int")
+    labels = spark.createDataFrame([(i, y, "s") for i, _, y in insults] + [(5, None, "s"), (None, 1, "s"), (77777, 1, "s")], "doc_id long, toxic int, text string")
+    got = toxicity.toxicity(docs, labels).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows + [rows[0], rows[0]])
+    by_id = {r.doc_id: r for r in got}
+    assert by_id[9001].predicted == 1 and not any(by_id[i].predicted for i in (9002, 9003, 9004))
+    assert len({r.score for r in got if r.doc_id == rows[0][0]}) == 1
+    one = {r.doc_id: r.score for r in toxicity.toxicity(docs.select("doc_id", "text"), labels.select("doc_id", "toxic")).collect()}
+    assert one == {r.doc_id: r.score for r in got}
+
+
+def test_sentences_end_alike_in_training_and_scoring():
+    words = "You are a blockhead.Next one! i.d.i.o.t at s c u m b a g? yes"
+    trained = [w for s in toxicity.SENTENCE.split(words) for w in toxicity.chunks_of(s)]
+    assert "blockheadnext" in trained and "idiot" in trained and "scumbag" in trained
+
+
+def test_packing_keeps_repeated_rows(odd):
+    pieces = packing.packed(odd, public_tokenizers.path("word_bpe_49k.json")).toPandas()
+    counts = {i: sum(r[0] == i for r in odd_rows()) for i in {r[0] for r in odd_rows()}}
+    whole = pieces.groupby("doc_id").agg(n=("length", "sum"), of=("doc_tokens", "first"))
+    assert all(whole.n[i] == counts[i] * whole.of[i] for i in counts)
+    total = pieces.groupby("sequence_id").length.sum()
+    assert total.map(lambda n: n <= 4096 and n & (n - 1) == 0).all()
+
+
+def test_sharding_of_odd_rows(odd, small):
+    for df in (odd, small):
+        rows = rows_of(df)
+        got = sharding.assign_shards(df, 5).collect()
+        assert sorted((r.doc_id, r.size, r.text_crc32) for r in got) == sorted((i, len(t.encode()) + 8, zlib.crc32(t.encode())) for i, t in rows)
+        sizes = {k: [r.slot for r in got if r.shard == k] for k in range(5)}
+        assert all(sorted(v) == list(range(len(v))) for v in sizes.values()) and max(map(len, sizes.values())) - min(map(len, sizes.values())) <= 1
+
+
+def test_pipeline_stages_of_odd_rows(spark, odd, empty):
+    if importlib.util.find_spec("corpus_pipeline") is None:
+        pytest.skip("no pipeline")
+    import corpus_pipeline
+
+    from tracelake.llm.common import written
+
+    for docs in (odd.drop("digest", "text_key", "score"), empty.drop("digest", "text_key", "score")):
+        names, ids = docs.columns, {r.doc_id for r in docs.collect()}
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = written(stage(spark, docs, SMALL))
+            assert docs.columns == names
+        kept = {r.doc_id for r in docs.collect()}
+        assert kept <= ids and bool(kept) == bool(ids)
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
+        assert {r.doc_id for r in pieces} == kept
