@@ -149,7 +149,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     common = F.lit([r.term for r in df.where(F.col("df") > most).select("term").collect()]).cast("array<bigint>")
     rare = df.where(F.col("df") < MIN_DOCS).groupBy("doc_id", "h").agg(F.collect_list("term").alias("rare"))  # at most a text's terms
     rows = docs.withColumn("rare", F.lit(None).cast("array<bigint>")).unionByName(rare.withColumn("text", F.lit(None).cast("string")))
-    rows = in_blocks(rows, ends(docs))
+    # dealt by block once, which serves both windows
+    rows = in_blocks(rows, ends(docs)).repartition("block", "part")
     same = Window.partitionBy("block", "part", "own", "doc_id", "h").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumn("out", F.first("rare", ignorenulls=True).over(same)).where("text is not null")
 
