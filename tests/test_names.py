@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.functions import names, text
-from tracelake.operators import paths, search
+from tracelake.operators import merge, paths, search
 
 
 def values(spark, column, rows):
@@ -93,3 +93,13 @@ def test_traces_stop_at_their_bounds(spark, most):
     assert got.nodes == min(most, len(seen)) and got.truncated == (len(seen) - 1 >= most)
     if most > len(seen):
         assert got.edges == sum(a in seen and b in seen for a, b in links)
+
+
+def test_compact_ids_have_no_collisions(spark):
+    keys = spark.createDataFrame([(f"n{k}",) for k in range(200)], "stable_id string")
+    got = {r.stable_id: r.id for r in merge.compact_ids(keys, 9).collect()}
+    assert len(got) == 200 and len(set(got.values())) == 200 and all(0 <= v < 512 for v in got.values())
+    assert {r.stable_id: r.id for r in merge.compact_ids(keys.orderBy(F.rand(1)), 9).collect()} == got
+    edges = spark.createDataFrame([("e", "n1", "n2")], "edge_id string, source string, target string")
+    row = merge.with_compact_ends(edges, merge.compact_ids(keys)).first()
+    assert (row.source, row.target) == tuple({r.stable_id: r.id for r in merge.compact_ids(keys).collect()}[k] for k in ("n1", "n2"))

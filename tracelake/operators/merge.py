@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.contract import edge_id, table
+from tracelake.functions.names import small_id
 from tracelake.plans.projection import GRAPH_SQL, edges, evidence, nodes, shipments
+from tracelake.sources.scratch import written
 
 
 def survivors(df: DataFrame, key: list[str], id_column: str) -> DataFrame:
@@ -42,14 +44,29 @@ def merged_rows(df: DataFrame, key: list[str], rules: dict[str, str]) -> DataFra
     return df.groupBy(*key).agg(*[how[rule](c).alias(c) for c, rule in rules.items()])
 
 
-def compact_id(stable_id: Column) -> Column:
-    """A positive 63-bit key of a stable id, the same in every run."""
-    return F.conv(F.substring(F.sha2(stable_id, 256), 1, 15), 16, 10).cast("long")
+def compact_ids(keys: DataFrame, bits: int = 60, rounds: int = 20) -> DataFrame:
+    """keys: stable_id, distinct. stable_id and id, a number below 2^bits for each, from a digest and without collisions.
+
+    Where several ids share a number the smallest keeps it, and the others are salted; a salted number that is taken, or is shared again, is salted anew. A number
+    depends on the ids alone, not on the order or number of their rows. Collisions are few, so all but the first round are small.
+    """
+    number = lambda salt: small_id(F.col("stable_id"), salt) % F.lit(1 << bits)
+    done, left = None, keys.select("stable_id")
+    for salt in range(rounds):
+        tried = left.withColumn("id", number(salt))
+        first = tried.groupBy("id").agg(F.min("stable_id").alias("stable_id"))
+        won = written((first if done is None else first.join(done, "id", "left_anti")).select("stable_id", "id"))
+        done = won if done is None else done.unionByName(won)
+        left = written(left.join(won, "stable_id", "left_anti"))
+        if left.isEmpty():
+            return done
+    raise ValueError(f"{bits} bits are too few")
 
 
-def collisions(nodes_: DataFrame) -> DataFrame:
-    """Compact ids that several stable ids share."""
-    return nodes_.groupBy(compact_id(F.col("stable_id")).alias("compact")).agg(F.count_distinct("stable_id").alias("n")).where("n > 1")
+def with_compact_ends(edges_: DataFrame, ids: DataFrame) -> DataFrame:
+    """The edges with the small ids of both ends in place of the stable ones."""
+    of = lambda end: ids.select(F.col("stable_id").alias(end), F.col("id").alias(f"_{end}"))
+    return edges_.join(of("source"), "source").join(of("target"), "target").withColumn("source", F.col("_source")).withColumn("target", F.col("_target")).drop("_source", "_target")
 
 
 def insert_or_ignore(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -92,7 +109,8 @@ QUERIES = {
     "edge_identity_sha": lambda s, d: edges(s, d).where("edge_type = 'CALLS_API'").select("edge_id", "source", "target"),
     "alias_rewrite_edges": lambda s, d: rewritten(edges(s, d).where("edge_type = 'READS'"), survivors(_parts(s, d), ["p_brand", "p_type", "p_name"], "id")).select("edge_id", "source", "target", "confidence", "copies"),
     "duplicate_row_merge": lambda s, d: merged_rows(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate", F.col("l_linestatus").alias("status")), ["l_orderkey", "l_linenumber"], {"l_quantity": "max", "l_returnflag": "first_text", "l_shipdate": "min", "status": "longest"}),
-    "compact_ids_unique": lambda s, d: collisions(nodes(s, d)),
+    "compact_ids_unique": lambda s, d: compact_ids(nodes(s, d).select("stable_id")),
+    "compact_edges": lambda s, d: with_compact_ends(edges(s, d).where("edge_type = 'CALLS_API'"), compact_ids(nodes(s, d).where("node_type in ('SCREEN', 'API_OPERATION')").select("stable_id"))).select("edge_id", "source", "target"),
     "insert_or_ignore_evidence": lambda s, d: insert_or_ignore(evidence(s, d), "edge_id", ["source_path", "start_line", "confidence"]),
     "rules_latest_version": lambda s, d: latest(table(s, d, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type"),
     "stratified_edge_sample": lambda s, d: round_robin(edges(s, d), 60),
@@ -100,7 +118,10 @@ QUERIES = {
     "distinct_package_keys": lambda s, d: nodes(s, d).select(F.col("system_key").alias("package")).unionByName(nodes(s, d).select(F.col("database_key").alias("package"))).where("package is not null").distinct(),
 }
 
+_SMALL = "('0x' || substr(sha256({}), 1, 15))::bigint"
 ORACLES = {
+    "compact_ids_unique": GRAPH_SQL + f"select stable_id, {_SMALL.format('stable_id')} as id from nodes",
+    "compact_edges": GRAPH_SQL + f"select edge_id, {_SMALL.format('source')} as source, {_SMALL.format('target')} as target from edges where edge_type = 'CALLS_API'",
     "node_dedup_survivor": "select 'table:' || p_partkey as id, 'table:' || min(p_partkey) over (partition by p_brand, p_type, p_name) as survivor from part",
     "edge_dedup_merge": GRAPH_SQL + "select sha256(concat_ws('|', source, access, target, operation, 'TECHNICAL')) as edge_id, source, target, access as edge_type, max(confidence) as confidence, count(*) as copies from shipments group by all",
     "edge_identity_sha": "select sha256('screen:' || o_custkey || '|CALLS_API|api-operation:' || o_orderkey || '||DATA_FLOW') as edge_id, 'screen:' || o_custkey as source, 'api-operation:' || o_orderkey as target from orders",
