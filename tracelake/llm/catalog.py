@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, html_text, imatch, license_scan, near_dedup, packing, secret_scan, sharding, toxicity
+from . import byte_bpe, exact_dedup, hard_negatives, html_text, imatch, license_scan, near_dedup, packing, secret_scan, sharding, topk_search, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,10 @@ def queries() -> dict:
         "op8_packing": packing.query,
         "op9_byte_bpe": byte_bpe.query,
         "op10_exact_dedup": exact_dedup.query,
+        "op11_topk_search": topk_search.query,
+        "op12_hard_negatives": hard_negatives.query,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op10_exact_dedup": exact_dedup.SQL}
+    return {"op10_exact_dedup": exact_dedup.SQL, "op11_topk_search": topk_search.SQL, "op12_hard_negatives": hard_negatives.SQL}
