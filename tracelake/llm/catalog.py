@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, hard_negatives, html_text, imatch, license_scan, near_dedup, packing, secret_scan, sharding, topk_search, toxicity
+from . import byte_bpe, exact_dedup, filter_audit, hard_negatives, html_text, imatch, license_scan, near_dedup, packing, secret_scan, sharding, topk_search, toxicity
 
 
 def queries() -> dict:
@@ -19,8 +19,9 @@ def queries() -> dict:
         "op10_exact_dedup": exact_dedup.query,
         "op11_topk_search": topk_search.query,
         "op12_hard_negatives": hard_negatives.query,
+        "op13_filter_audit": filter_audit.query,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op10_exact_dedup": exact_dedup.SQL, "op11_topk_search": topk_search.SQL, "op12_hard_negatives": hard_negatives.SQL}
+    return {"op10_exact_dedup": exact_dedup.SQL, "op11_topk_search": topk_search.SQL, "op12_hard_negatives": hard_negatives.SQL, "op13_filter_audit": filter_audit.SQL}
