@@ -11,6 +11,7 @@ import pytest
 pytest.importorskip("tracelake.llm")
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
+import public_tokenizers  # noqa: E402
 import regex  # noqa: E402
 
 from tracelake.llm import html_text, imatch, near_dedup, packing, secret_scan, sharding  # noqa: E402
@@ -219,7 +220,45 @@ def test_nothing_of_an_article_is_dropped(spark):
     assert got[1] == "T\n\n12.5\n\nso x=1 holds" and got[2] == "deep" and len(got[3]) == 50_000 * 5 - 1
 
 
-def test_host_boilerplate_in_an_article_is_left_out(spark):
-    rows = [(k, "https://x.example/", f"<article><p>Subscribe to read more of us</p><p>Body {k} {'z' * k}</p></article>") for k in range(20)]
-    got = html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert all(r.text == f"Body {r.page_id} {'z' * r.page_id}".strip() for r in got)
+def texts_of(spark, pages):
+    return {r.page_id: r.text for r in html_text.extracted(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+
+
+@pytest.mark.parametrize("n", [1, 4, 6, 20])
+def test_what_a_host_repeats_in_an_article_stays(spark, n):
+    page = "<body><div class=top><p>Our site</p></div><article><h1>Introduction</h1><p>Body {0}</p><p>Subscribe to read more of us</p></article></body>"
+    rows = [(k, "https://x.example/", page.format(f"{k} " + "z" * k)) for k in range(n)]
+    assert texts_of(spark, rows) == {k: "\n\n".join(["Introduction", f"Body {k} {'z' * k}".strip(), "Subscribe to read more of us"]) for k in range(n)}
+
+
+@pytest.mark.parametrize("group", ["optional", "repeated"])
+def test_groups_of_the_wrapper_decide_on_the_root(spark, group):
+    """By the paths of the texts alone, the long elements would be the root, and what stands beside them would be lost."""
+    long = lambda k, j: f"<div class=extra><div class=inner><p>Long {k} {j} " + f"x{k}{j} " * 200 + "</p></div></div>"
+    count = (lambda k: k % 2) if group == "optional" else (lambda k: 1 + k % 3)
+    rows = [(k, "https://y.example/", f"<body><div class=all><p>Short {k} y{k}.</p>{''.join(long(k, j) for j in range(count(k)))}<p>End {k} z{k}.</p></div></body>") for k in range(12)]
+    got = texts_of(spark, rows)
+    assert all(t.startswith(f"Short {k} y{k}.\n\n") and t.endswith(f"End {k} z{k}.") and t.count("Long") == count(k) for k, t in got.items())
+    chars = {"/div.all": 100, "/div.all/div.extra/div.inner/p": 10_000, "/div.all/p": 100}
+    whole = html_text.expression(html_text.tokens(rows[0][2]))
+    for _, _, page in rows[1:]:
+        whole = html_text.aligned(whole, html_text.expression(html_text.tokens(page)))
+    assert html_text.root_of(whole, chars) == "/div.all"
+    flat = lambda items: [[x[0], x[1] and flat(x[1]), False, False] for x in html_text._ungrouped(items)]
+    assert html_text.root_of(flat(whole), chars) != "/div.all"
+
+
+def test_ids_stay_whole_beside_null_ones(spark):
+    from tracelake.llm import byte_bpe, exact_dedup, toxicity
+
+    ids = [None, 2**60 + 1, 2**60 + 2, -(2**62) - 1]
+    docs = spark.createDataFrame([(i, f"document number {k} of its own words {k * k} and {k + 7} more", 1) for k, i in enumerate(ids)], "doc_id long, text string, n long").coalesce(1)
+    labels = spark.createDataFrame([(2**60 + 1, 1), (2**60 + 2, 0)], "doc_id long, toxic int")
+    tok, ranks = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    same = lambda df, name="doc_id": sorted((r[name] for r in df.select(name).distinct().collect()), key=str) == sorted(ids, key=str)
+    assert same(toxicity.toxicity(docs, labels)) and same(near_dedup.near_groups(docs)) and same(exact_dedup.exact_groups(docs))
+    assert same(packing.packed(docs, tok)) and same(byte_bpe.digests(docs, ranks, public_tokenizers.PATTERN))
+    assert same(byte_bpe.decoded(byte_bpe.encoded(docs, ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN))
+    pages = docs.selectExpr("doc_id as page_id", "'http://a.example/' as url", "text as html")
+    assert same(html_text.extracted(pages), "page_id")
+    assert same(near_dedup.keep_one(docs)) and same(exact_dedup.keep_one(docs))

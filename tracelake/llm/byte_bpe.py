@@ -15,11 +15,12 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, texts
-from .ragged import Lists, gathered, sliced
+from .ragged import Lists, gathered, row_by_row
 
 #: Columns up to which a round moves them; both ways merge the same pairs in the same order.
 WIDE = 128
@@ -208,14 +209,11 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, ids (array of int): the ids of every whole text; of an empty or null one, none."""
     shared = docs.sparkSession.sparkContext.broadcast(_read(ranks_path))
 
-    def run(batches):
-        coder = opened(shared.value, pattern)
-        for batch in batches:
-            for rows in sliced(batch):
-                ids, counts, _ = coder.encode(rows["text"].tolist())
-                yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "ids": np.split(ids.astype(np.int32), np.cumsum(counts)[:-1])})
+    def encode(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, counts, _ = opened(shared.value, pattern).encode(rows["text"].tolist())
+        return pd.DataFrame({"ids": np.split(ids.astype(np.int32), np.cumsum(counts)[:-1])})
 
-    return texts(docs).mapInPandas(run, "doc_id long, ids array<int>")
+    return row_by_row(texts(docs), ["doc_id"], lambda: encode, "ids array<int>")
 
 
 def decoded(ids: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -225,9 +223,11 @@ def decoded(ids: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches):
         coder = opened(shared.value, pattern)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "bytes": [coder.decode(np.asarray(x)) for x in batch["ids"]]})
+            lists = batch.column("ids")
+            data = pa.array([b"" if x is None else coder.decode(np.asarray(x, np.int64)) for x in lists.to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), data], ["doc_id", "bytes"])
 
-    return ids.select("doc_id", "ids").mapInPandas(run, "doc_id long, bytes binary")
+    return ids.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
 def _read(path: str) -> bytes:
@@ -244,23 +244,14 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(_read(ranks_path))
 
-    def run(batches):
+    def digest(rows: pd.DataFrame) -> pd.DataFrame:
         coder = opened(shared.value, pattern)
-        for batch in batches:
-            for rows in sliced(batch):
-                ids, counts, decimal = coder.encode(rows["text"].tolist())
-                parts = np.split(ids, np.cumsum(counts)[:-1])
-                yield pd.DataFrame(
-                    {
-                        "doc_id": rows["doc_id"].to_numpy(),
-                        "n_tokens": counts,
-                        "ids_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in decimal],
-                        "decoded_sha256": [hashlib.sha256(coder.decode(x)).hexdigest() for x in parts],
-                    }
-                )
-
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return texts(docs).select(F.col("doc_id"), F.col("text")).mapInPandas(run, schema)
+        ids, counts, decimal = coder.encode(rows["text"].tolist())
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        hexed = lambda x: hashlib.sha256(x).hexdigest()
+        return pd.DataFrame({"n_tokens": counts, "ids_sha256": [hexed(x.encode()) for x in decimal], "decoded_sha256": [hexed(coder.decode(x)) for x in parts]})
+
+    return row_by_row(texts(docs), ["doc_id"], lambda: digest, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

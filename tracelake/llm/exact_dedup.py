@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,14 +83,14 @@ def filters(run: DataFrame) -> DataFrame:
 def probed(entries: DataFrame, by: DataFrame) -> DataFrame:
     """entries with `maybe`: whether the filters let them through. False is certain."""
 
-    def test(group: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
+    def test(group: pa.Table, of: pa.Table) -> pa.Table:  # in Arrow, as a null doc_id would make doubles of the others in pandas
         maybe = np.zeros(len(group), bool)
         if len(group) and len(of):
-            bits = np.unpackbits(np.frombuffer(of["bits"].iloc[0], np.uint8)).astype(bool)
-            maybe = bits[_positions(group["digest"].tolist(), len(bits))].all(axis=0)
-        return group.assign(maybe=maybe)
+            bits = np.unpackbits(np.frombuffer(of["bits"][0].as_py(), np.uint8)).astype(bool)
+            maybe = bits[_positions(group["digest"].to_pylist(), len(bits))].all(axis=0)
+        return group.append_column("maybe", pa.array(maybe))
 
-    return entries.groupBy("part").cogroup(by.groupBy("part")).applyInPandas(test, ENTRY + ", maybe boolean")
+    return entries.groupBy("part").cogroup(by.groupBy("part")).applyInArrow(test, ENTRY + ", maybe boolean")
 
 
 def compacted(older: DataFrame, newer: DataFrame) -> DataFrame:

@@ -6,9 +6,10 @@ A mismatch of tags is resolved as a repeat, where the surplus tokens repeat thos
 texts makes a text slot. Texts are matched over all pages of a host at once, by counting: a text that stands on nearly all different pages that have
 its place is a constant of the wrapper, all others fill a slot.
 
-What the wrapper says decides on every page: its content root is the element that holds the text of its slots, and a page's main text is what fills
-the slots under that root. Names of elements and classes are hints: an element called article or main is the root if it holds half of the slots' text, and
-elements called menu, advert, comments and the like don't count. No hint switches off an element around the root.
+What the wrapper says decides on every page: its content root is the innermost element that all pages have once and that holds the text of its slots, so
+optional and repeated groups lie inside the root or beside it; a page's main text is all that stands under that root. Names of elements and classes are
+hints: on the way to an element called article or main half of the slots' text is enough, and elements called menu, advert, comments and the like
+don't count. No hint switches off an element around the root.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import freed, short_batches, written
+from .ragged import row_by_row
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 #: Elements whose content is no text of the page: scripts, styles, form controls, and what stands in for embedded objects.
@@ -41,8 +44,6 @@ NOT_TEXT = frozenset(
 WITH_THEM = frozenset("area bar block bottom box button buttons container content global inner item items left link links list main outer page panel right section site slot text thread top unit widget wrap wrapper".split())
 ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-hidden|hidden)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
-#: Different pages of a host on which a text must stand before it counts as the template's.
-LEAST_PAGES = 5
 FAN_IN = 16
 #: How sure it is that an element holds no article: not at all, by its class, by its name.
 ON, HINTED, OFF = 0, 1, 2
@@ -294,18 +295,35 @@ HEADING = re.compile(r"h[1-3]($|\.)")
 NAMED = re.compile(r"(article|main)($|\.)|[^.]+\.main($|\.)")
 
 
-def places(items: list, path: str = "") -> set[str]:
-    """Paths of the text slots of an expression."""
-    out = set()
-    for label, body, *_ in items:
-        out |= {path} if label == "#" else places(body, path if label == "()" else f"{path}/{label}")
+def nodes(items: list, path: str = "") -> Iterator[tuple[str, bool, bool]]:
+    """path, many, open of each element of an expression, parents first: whether it stands in a repeated or an optional group of its parent. Its slots have an empty label.
+
+    Siblings of one label that stand apart are one path; it is there more than once, and open only if all of them are.
+    """
+    merged: dict[str, list] = {}
+    for label, body, repeated, optional in _ungrouped(items):
+        if label == "#":
+            yield f"{path}/#", repeated, optional
+            continue
+        before = merged.get(label)
+        merged[label] = [label, body if before is None else before[1] + body, repeated or before is not None, optional and (before is None or before[3])]
+    for label, body, repeated, optional in merged.values():
+        yield f"{path}/{label}", repeated, optional
+        yield from nodes(body, f"{path}/{label}")
+
+
+def _ungrouped(items: list) -> list:
+    """The items with those of groups in place of the groups, which hand on their flags."""
+    out = []
+    for label, body, repeated, optional in items:
+        out += [[x[0], x[1], x[2] or repeated, x[3] or optional] for x in _ungrouped(body)] if label == "()" else [[label, body, repeated, optional]]
     return out
 
 
-def weights(items: list, chars: dict[str, int]) -> dict[str, int]:
+def weights(found: list[tuple[str, bool, bool]], chars: dict[str, int]) -> dict[str, int]:
     """Characters in the slots of each element of an expression, by path."""
     out: dict[str, int] = {}
-    for place in places(items):
+    for place in {p[:-2] for p, _, _ in found if p.endswith("/#")}:
         up = place if place in chars else ""
         while up:
             out[up] = out.get(up, 0) + chars[place]
@@ -314,41 +332,55 @@ def weights(items: list, chars: dict[str, int]) -> dict[str, int]:
 
 
 def root_of(expression_: list, chars: dict[str, int]) -> str:
-    """The path of the content root of a wrapper, from the characters that fill its slots."""
-    weight = weights(expression_, chars)
-    total = chars.get("", 0) + sum(w for p, w in weight.items() if p.count("/") == 1)
+    """The path of the content root of a wrapper, from the characters that fill its slots and the groups that these stand in.
+
+    From the top it goes down to the element that holds nearly all (for one on the way to an article or main element, half) of the slots' text. It doesn't go
+    into what the wrapper has as optional or repeated, as the root is one element that the host's pages have, and what differs between them is in it. An optional
+    article is still the root, for pages that have it; of repeated ones, the element around them is.
+    """
+    found = list(nodes(expression_))
+    weight = weights(found, chars)
     label = lambda p: p.rpartition("/")[2]
-    named = [p for p, w in weight.items() if NAMED.match(label(p)) and w and 2 * w >= total]
-    if named:
-        most = max(weight[p] for p in named)
-        # of nested ones the innermost that holds nearly as much
-        return max((p for p in named if 10 * weight[p] >= 9 * most), key=lambda p: (label(p).startswith("article"), p.count("/"), weight[p], p))
+    flags: dict[str, tuple[bool, bool]] = {p: (many, open_) for p, many, open_ in found if not p.endswith("/#")}
+    below: dict[str, list[str]] = {}
+    for p in flags:
+        if weight.get(p):
+            below.setdefault(p.rpartition("/")[0], []).append(p)
+    named = {p for p, w in weight.items() if NAMED.match(label(p)) and w}
+    ways = {p[:k] for p in named for k in range(1, len(p) + 1) if k == len(p) or p[k] == "/"}
     root = ""
     while True:
-        below = {p: w for p, w in weight.items() if p.rpartition("/")[0] == root and w}
-        best = max(below, key=lambda p: (below[p], p), default=None)
-        whole = chars.get(root, 0) + sum(below.values())
-        inner = best is not None and any(p.startswith(best + "/") and w for p, w in weight.items())
-        heading = any(HEADING.match(label(p)) and w and p.startswith(root + "/") and p != best and not p.startswith(f"{best}/") for p, w in weight.items())
-        if not inner or heading or 10 * below[best] < 9 * whole:
+        inner = below.get(root, [])
+        best = max(inner, key=lambda p: (weight[p], p), default=None)
+        if best is None:
+            return root
+        many, open_ = flags[best]
+        whole = chars.get(root, 0) + sum(weight[p] for p in inner)
+        if best in ways and 2 * weight[best] >= whole and not many:
+            root = best
+            continue
+        if root in named or many or open_ or 10 * weight[best] < 9 * whole:
+            return root
+        heading = any(HEADING.match(label(p)) and p.startswith(root + "/") and p != best and not p.startswith(f"{best}/") for p, w in weight.items() if w)
+        if heading or best not in below:
             return root
         root = best
 
 
 def content(seen: DataFrame, found: DataFrame) -> DataFrame:
-    """host, root, hints and template of each wrapper: whether its hints are to be followed, and the texts that are constants of their places.
+    """host, root and hints of each wrapper: whether its hints are to be followed.
 
-    Equal pages of a host count once. A text is a constant if it stands in its place on nearly all different pages that have the place. Only texts of
-    LEAST_PAGES pages come together by place; all others are summed up before.
+    Equal pages of a host count once. A text is a constant if it stands in its place on nearly all different pages that have the place; constants fill no
+    slot, and so don't draw the root to themselves, but they are text as any other of a page once the root is chosen.
     """
     pages = seen.select("host", F.xxhash64("slots").alias("page"), F.array_distinct("slots").alias("slots")).dropDuplicates(["host", "page"])
     single = pages.select("host", "page", F.explode("slots").alias("s")).select("host", "page", "s.*")
     by_page = single.groupBy("host", "page", "path").agg(F.max("off").alias("off"), F.sum("chars").alias("chars"))
     places = by_page.groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"), F.min("off").alias("off"), F.sum("chars").alias("chars"))
-    often = single.groupBy("host", "path", "hash").agg(F.count(F.lit(1)).alias("n"), F.first("chars").alias("size")).where(F.col("n") >= LEAST_PAGES)
+    often = single.groupBy("host", "path", "hash").agg(F.count(F.lit(1)).alias("n"), F.first("chars").alias("size")).where("n > 1")
     fixed = often.join(places.select("host", "path", "pages"), ["host", "path"]).where("n * 10 >= pages * 9")
-    fixed = fixed.groupBy("host", "path").agg(F.collect_list("hash").alias("fixed"), F.sum(F.col("n") * F.col("size")).alias("less"))  # at most a page's texts
-    slots = places.join(fixed, ["host", "path"], "left").select("host", F.struct("path", "off", (F.col("chars") - F.coalesce("less", F.lit(0))).alias("chars"), "fixed").alias("slot"))
+    fixed = fixed.groupBy("host", "path").agg(F.sum(F.col("n") * F.col("size")).alias("less"))
+    slots = places.join(fixed, ["host", "path"], "left").select("host", F.struct("path", "off", (F.col("chars") - F.coalesce("less", F.lit(0))).alias("chars")).alias("slot"))
     rows = slots.groupBy("host").agg(F.collect_list("slot").alias("slots"))  # at most the places of the wrapper
 
     def choose(batches):
@@ -358,39 +390,31 @@ def content(seen: DataFrame, found: DataFrame) -> DataFrame:
                 slots = list(slots) if slots is not None else []
                 hints = any(s["off"] == ON and s["chars"] > 0 for s in slots)
                 chars = {s["path"]: int(s["chars"]) for s in slots if s["chars"] > 0 and (s["off"] == ON or not hints)}
-                template = sorted(_named(s["path"], h) for s in slots if s["fixed"] is not None for h in s["fixed"])
-                out.append((host, root_of(json.loads(expression_), chars), hints, template))
-            yield pd.DataFrame(out, columns=["host", "root", "hints", "template"])
-
-    return found.join(rows, "host", "left").mapInPandas(choose, "host string, root string, hints boolean, template array<string>")
+                out.append((host, root_of(json.loads(expression_), chars), hints))
+            yield pd.DataFrame(out, columns=["host", "root", "hints"])
 
-
-def _named(path: str, text_hash: int) -> str:
-    return f"{path} {text_hash}"
+    return found.join(rows, "host", "left").mapInPandas(choose, "host string, root string, hints boolean")
 
 
 def _tags(path: str) -> str:
     return re.sub(r"\.[^/]*", "", path)
 
 
-def main_text(page: str, root: str, hints: bool, template: frozenset) -> str:
-    """What fills the slots under the root. A page that has no such element is asked for one of the same tags, and else for all that may be text."""
+def main_text(page: str, root: str, hints: bool) -> str:
+    """All text under the root. A page that has no such element is asked for one of the same tags, and else for all that may be text."""
     found = [(p, t) for p, off, t in blocks(tokens(page)) if off == ON or (off == HINTED and not hints)]
     inside = [(p, t) for p, t in found if not root or p == root or p.startswith(root + "/")]
     if not inside and root:
         tags = _tags(root)
         inside = [(p, t) for p, t in found if (q := _tags(p)) == tags or q.startswith(tags + "/")]
-    inside = inside or found
-    own = [t for p, t in inside if _named(p, _text_hash(t)) not in template] if template else []
-    return "\n\n".join(own or [t for _, t in inside])
+    return "\n\n".join(t for _, t in inside or found)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """A row for each page: page_id, url, text, n_chars.
 
     Null and empty pages have empty texts, and so has a page whose text is all menus, notices and the like. The content of the elements in RAW is no text.
-    A text that the host repeats at its place on nearly all different pages is left out, unless the page has no other. A null or strange url belongs to the
-    host without a name. Repeated rows each return, a null page_id is carried along, other columns are ignored, an empty table gives no rows.
+    Under the wrapper's root nothing is left out, whether the host repeats it or not. A null or strange url belongs to the host without a name. Repeated rows each return, a null page_id is carried along, other columns are ignored, an empty table gives no rows.
     """
     pages = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     seen = written(observed(pages))
@@ -398,15 +422,12 @@ def extracted(pages: DataFrame) -> DataFrame:
     freed(seen)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST.pattern, 1))
 
-    def run(batches):
-        for batch in batches:
-            wrapped = zip(batch["html"], batch["root"], batch["hints"], batch["template"], strict=True)
-            texts_ = [main_text(page, root or "", bool(hints), frozenset(template if template is not None else ())) for page, root, hints, template in wrapped]
-            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts_, "n_chars": [len(t) for t in texts_]})
+    def extract(rows: pd.DataFrame) -> pd.DataFrame:
+        out = [main_text(page, root or "", bool(hints)) for page, root, hints in zip(rows["text"], rows["root"], rows["hints"], strict=True)]
+        return pd.DataFrame({"text": out, "n_chars": [len(t) for t in out]})
 
-    kind = dict(pages.dtypes)["page_id"]
     joined = pages.withColumn("host", host).join(found, "host", "left")
-    return joined.select("page_id", "url", "html", "root", "hints", "template").mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long")
+    return row_by_row(joined.select("page_id", "url", F.col("html").alias("text"), "root", "hints"), ["page_id", "url"], lambda: extract, "text string, n_chars long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, freed, texts, written
-from .ragged import sliced
+from .ragged import row_by_row
 
 WORDS = 5
 SKETCH = 128
@@ -103,17 +103,15 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
     The top bit of a sketch value is flipped, so that signed order, by which Spark sorts, is that of the hashes.
     """
 
-    def run(batches):
+    def sketch(rows: pd.DataFrame) -> pd.DataFrame:
         import hashlib
 
-        for batch in batches:
-            for rows in sliced(batch):
-                sets = shingle_sets(rows["text"], words)
-                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                least = [(s[:SKETCH] ^ np.uint64(1 << 63)).view(np.int64) for s in sets]
-                yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "n": [len(s) for s in sets], "set_key": keys, "sketch": least})
+        sets = shingle_sets(rows["text"], words)
+        keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+        least = [(s[:SKETCH] ^ np.uint64(1 << 63)).view(np.int64) for s in sets]
+        return pd.DataFrame({"n": [len(s) for s in sets], "set_key": keys, "sketch": least})
 
-    return docs.mapInPandas(run, "doc_id long, n long, set_key binary, sketch array<long>")
+    return row_by_row(docs.select("doc_id", "text"), ["doc_id"], lambda: sketch, "n long, set_key binary, sketch array<long>")
 
 
 def shared_of_sets(percent: int) -> Column:
@@ -173,13 +171,10 @@ def full_sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     Rows that repeat a doc_id with other texts are one document with several sets, each of which can confirm a pair.
     """
 
-    def build(batches):
-        for batch in batches:
-            for rows in sliced(batch):
-                sets = shingle_sets(rows["text"], words)
-                yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "values": [s.view(np.int64) for s in sets]})
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"values": [s.view(np.int64) for s in shingle_sets(rows["text"], words)]})
 
-    sets = docs.join(ids, "doc_id", "left_semi").mapInPandas(build, "doc_id long, values array<long>")
+    sets = row_by_row(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), ["doc_id"], lambda: build, "values array<long>")
     return written(sets.withColumn("of", F.xxhash64("values")).dropDuplicates(["doc_id", "of"]))
 
 

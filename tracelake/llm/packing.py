@@ -211,11 +211,9 @@ class Bins:
             self._close(part)
             total -= size
 
-    def take(self) -> pd.DataFrame:
-        frame = pd.DataFrame(self.out, columns=list(self.COLUMNS))
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
-        self.out = []
-        return frame
+    def take(self) -> pa.RecordBatch:
+        rows, self.out = self.out, []
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], list(self.COLUMNS))
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -235,13 +233,14 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end:
     def run(batches):
         coder, bins = opened(shared.value), Bins(TaskContext.get().partitionId(), capacity)
         for batch in batches:
-            for rows in sliced(batch):
+            doc_ids = iter(batch.column("doc_id").to_pylist())  # as Python's integers: in pandas a null would make doubles of them
+            for rows in sliced(batch.select(["text"]).to_pandas()):
                 flat, counts = coder.encode(rows["text"])
                 at = 0
-                for doc_id, n in zip(rows["doc_id"].tolist(), counts.tolist(), strict=True):
+                for n in counts.tolist():
+                    doc_id = next(doc_ids)
                     ids = np.append(flat[at : at + n], np.uint32(end)).astype("<u4")
                     at += n
-                    doc_id = None if doc_id != doc_id else int(doc_id)
                     bins.put(Piece(doc_id, 0, n + 1, n + 1, memoryview(ids.tobytes())))
                 if bins.out:
                     yield bins.take()
@@ -249,7 +248,7 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end:
         if bins.out:
             yield bins.take()
 
-    return texts(docs).mapInPandas(run, SCHEMA)
+    return texts(docs).mapInArrow(run, SCHEMA)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

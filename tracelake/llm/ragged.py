@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Characters whose words are in memory at once, unless a single text has more.
 SLICE_CHARS = 1_500_000
@@ -13,11 +17,35 @@ SLICE_CHARS = 1_500_000
 
 def sliced(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
     """The rows of a batch in slices of about SLICE_CHARS characters of text, at least one row each."""
-    part = (batch["text"].str.len().to_numpy().cumsum() - 1).clip(0) // SLICE_CHARS
+    part = (batch["text"].str.len().to_numpy(dtype=np.int64).cumsum() - 1).clip(0) // SLICE_CHARS
     for _, rows in batch.groupby(part, sort=False):
         yield rows
 
 
+def row_by_row(rows: DataFrame, carried: list[str], opened: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], made: str) -> DataFrame:
+    """The carried columns of each row with the columns `made` of it, by a function that each task opens and that gets the other columns.
+
+    The carried columns never leave Arrow: pandas would make doubles of identifiers beside a null one, and change those above 2^53.
+    """
+    kept = rows.select(*carried).schema
+    schema = StructType([*kept.fields, *StructType.fromDDL(made).fields])
+    whole = to_arrow_schema(schema)
+    new = pa.schema([whole.field(k) for k in range(len(carried), len(whole))])
+
+    def run(batches):
+        each = opened()
+        for batch in batches:
+            frame = batch.select([n for n in batch.schema.names if n not in carried]).to_pandas()
+            at = 0
+            for part in sliced(frame):
+                out = pa.RecordBatch.from_pandas(each(part), schema=new, preserve_index=False)
+                ids = [batch.column(n).slice(at, len(part)).cast(whole.field(n).type) for n in carried]
+                at += len(part)
+                yield pa.RecordBatch.from_arrays([*ids, *out.columns], schema=whole)
+
+    return rows.mapInArrow(run, schema)
+
+
 def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The stretches of `flat` at starts, end to end."""
     ends = np.cumsum(lengths)

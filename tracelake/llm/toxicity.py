@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import short_batches, texts, written
-from .ragged import sliced
+from .ragged import row_by_row, sliced
 
 #: The documented bound of the training sample: labelled documents of each label, taken by hash, of at most so many characters.
 TRAIN_DOCS = 1500
@@ -311,19 +311,16 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        model = shared.value
-        known: dict[str, float] = {}
-        for batch in batches:
-            for rows in sliced(batch):
-                yield _scores(rows, model, known)
+    def opened():
+        model, known = shared.value, {}
+        return lambda rows: _scores(rows, model, known)
 
-    return docs.mapInPandas(run, "doc_id long, score double, predicted int")
+    return row_by_row(docs.select("doc_id", "text"), ["doc_id"], opened, "score double, predicted int")
 
 
 def _scores(rows: pd.DataFrame, model: Model, known: dict[str, float]) -> pd.DataFrame:
     score = model.probability(summaries(rows, model, known))
-    return pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "score": score, "predicted": (score >= 0.5).astype(np.int32)})
+    return pd.DataFrame({"score": score, "predicted": (score >= 0.5).astype(np.int32)})
 
 
 def summaries(rows: pd.DataFrame, model: Model, known: dict[str, float]) -> np.ndarray:
