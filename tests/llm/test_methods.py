@@ -84,8 +84,10 @@ def test_fingerprints_against_plain_sets(spark):
     texts += [" ".join(rng.choices(vocabulary[:60], k=30)) for _ in range(20)] + [texts[3], texts[4]]
     rows = [(3 * k, t) for k, t in enumerate(texts)]
     got = {r.doc_id: r for r in imatch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    terms = lambda t: {w for w in regex.split(r"[^\p{L}\p{N}]+", (t or "").lower()) if w}
-    every = sorted(set().union(*(terms(t) for _, t in rows)))
+    terms = lambda t: {w.lower() for w in regex.split(r"[^\p{L}\p{N}]+", t or "") if w}
+    after_ = dict(zip(sorted((i for i, _ in rows), reverse=True), [t or "" for _, t in sorted(rows, reverse=True)][1:] + [max(rows)[1] or ""], strict=True))
+    cut = lambda i, t: (t or "")[: len(t or "") - len(t or "") // 2] + after_[i][: len(t or "") // 2]
+    every = sorted(set().union(*(terms(t) for _, t in rows), *(terms(cut(i, t)) for i, t in rows)))
     hashes = spark.createDataFrame([(w,) for w in every], "w string").selectExpr("w", *(f"xxhash64(xxhash64(w), {r}) as h{r}" for r in range(imatch.SERIES)))
     of = {r["w"]: [r[f"h{k}"] for k in range(imatch.SERIES)] for r in hashes.collect()}
     df = {w: sum(w in terms(t) for _, t in rows) for w in every}
@@ -116,7 +118,7 @@ def test_fingerprints_against_plain_sets(spark):
     for k, (i, text) in enumerate(down):
         text, after = text or "", down[(k + 1) % len(down)][1] or ""
         edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
-        own, other, nxt = lexicon(terms(text)), lexicon(terms(edited) & (terms(text) | terms(after))), lexicon(terms(after))
+        own, other, nxt = lexicon(terms(text)), lexicon(terms(edited)), lexicon(terms(after))
         assert got[i].edited_sha256 == brute.sha(edited)
         assert got[i].near_edited == pytest.approx(likeness(own, other)) and got[i].near_next == pytest.approx(likeness(own, nxt)), i
         parts = got[i].fingerprint.split(" ")
@@ -126,6 +128,26 @@ def test_fingerprints_against_plain_sets(spark):
             assert seen.setdefault((name, digest), words) == words
 
 
+def test_an_edited_text_that_is_a_document_has_its_fingerprint(spark):
+    filler = [f"word{k} more{k % 7} beta alpha gam" for k in range(30)]
+    rows = [(k, t) for k, t in enumerate(filler)]
+    # the cut makes "beta" of "be" and "ta", and "gam" at the end of "gamma"
+    rows += [(100, "alpha beta gamma"), (103, "ta gammaXX yy zz"), (104, "alpha be" + "-" * 8)]
+    rows += [(201, "alpha beta gamm"), (110, "one two three"), (301, "ΑΣ'ΑΣ alpha"), (300, "ΑΣ'Α" + "x" * 4)]
+    edited = {}
+    down = sorted(rows, reverse=True)
+    for k, (i, t) in enumerate(down):
+        edited[i] = t[: len(t) - len(t) // 2] + down[(k + 1) % len(down)][1][: len(t) // 2]
+    assert edited[104] == "alpha beta gamma"
+    rows += [(-k - 1, t) for k, t in enumerate(v for _, v in sorted(edited.items(), reverse=True)[:-1])]  # below all others, so that no edited text changes but the last
+    got = {r.doc_id: r for r in imatch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    of = {t: got[i].fingerprint for i, t in rows}
+    same = [i for i, t in edited.items() if i > 0 and t in of]
+    assert len(same) >= 30 and all(got[i].edited_fingerprint == of[edited[i]] for i in same if got[i].edited_sha256 == brute.sha(edited[i]))
+    assert sum(got[i].edited_sha256 == brute.sha(edited[i]) for i in same) >= 30
+    assert got[104].edited_fingerprint == got[100].fingerprint
+
+
 def test_null_ids_make_no_rows_of_their_own(spark):
     rows = [(None, "a b c d"), (-1, "a b c d"), (None, "a b"), (-1, "x y z"), (5, "q r s"), (5, "q r s"), (None, None)]
     got = imatch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()

@@ -27,9 +27,43 @@ BLOCK = 1024
 
 
 def term_hashes(text: Column) -> Column:
-    """Hashes of the distinct terms: runs of letters and digits, in lower case."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    """Hashes of the distinct terms: runs of letters and digits, each in lower case."""
+    words = F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_distinct(F.transform(words, term_hash))
+
+
+def term_hash(word: Column) -> Column:
+    return F.xxhash64(F.lower(word))
+
+
+def first_word(text: Column) -> Column:
+    """The run of letters and digits that a text begins with, empty where there is none."""
+    return F.regexp_extract(text, r"^[\p{L}\p{N}]+", 0)
+
+
+def last_word(text: Column) -> Column:
+    return F.reverse(first_word(F.reverse(text)))
+
+
+def pieces(text: str, following: str) -> tuple[Column, Column]:
+    """What stays of a text when it is edited, and the start of the next one that follows on it; nothing where there is no next one."""
+    half = F.floor(F.char_length(text) / 2).cast("int")
+    own = F.when(F.col(following).isNull(), F.col(text)).otherwise(F.substring(F.col(text), F.lit(1), F.char_length(text) - half))
+    return own, F.coalesce(F.substring(F.col(following), F.lit(1), half), F.lit(""))
+
+
+def cut_terms(rows: DataFrame, df: DataFrame, most: int) -> DataFrame:
+    """block, part, cuts: the terms of the lexicon among the words that the cuts of a block's edited texts make, at its seam and at its end.
+
+    These are the only words of an edited text that neither of its documents need have. A block has at most two for each row.
+    """
+    rows = rows.withColumn("next_text", before("text")).where("own = 1")
+    own, more = pieces("text", "next_text")
+    seam, end = F.concat(last_word(own), first_word(more)), last_word(F.concat(own, more))
+    made = F.array_except(F.transform(F.filter(F.array(seam, end), lambda w: w != ""), term_hash), "out")
+    made = rows.select("block", "part", F.explode(made).alias("term")).distinct()
+    band = df.where(F.col("df").between(MIN_DOCS, most)).select("term")
+    return made.join(band, "term").groupBy("block", "part").agg(F.collect_list("term").alias("cuts"))
 
 
 def lower_neighbour(ids: DataFrame, low: int, high: int) -> DataFrame:
@@ -64,10 +98,11 @@ def ends(docs: DataFrame) -> DataFrame:
 def in_blocks(rows: DataFrame, copies: DataFrame) -> DataFrame:
     """rows: doc_id, h and others. Each in its block, with own = 1, and the last document of the next lower block before them, with own = 0.
 
-    Rows without a doc_id are dealt by h.
+    Rows without a doc_id are dealt by h. block and part are never null, so that no join on them adds a filter below the shuffle, which then serves several readers.
     """
-    own = rows.withColumn("block", block_of(F.col("doc_id"))).withColumn("part", F.when(F.col("doc_id").isNull(), F.pmod("h", F.lit(BLOCK))).otherwise(0)).withColumn("own", F.lit(1))
-    copied = rows.join(copies, "doc_id").withColumn("part", F.lit(0).cast("long")).withColumn("own", F.lit(0))
+    kept = lambda value: F.coalesce(value, F.lit(0).cast("long"))
+    own = rows.withColumn("block", kept(block_of(F.col("doc_id")))).withColumn("part", kept(F.when(F.col("doc_id").isNull(), 1 + F.pmod("h", F.lit(BLOCK))))).withColumn("own", F.lit(1))
+    copied = rows.join(copies, "doc_id").withColumn("block", kept(F.col("block"))).withColumn("part", F.lit(0).cast("long")).withColumn("own", F.lit(0))
     return own.unionByName(copied)
 
 
@@ -136,8 +171,8 @@ def in_words(print_: Column) -> Column:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The edited text is the contract's: the last half of the code points gives way to the start of the next document in descending doc_id. Words that
-    neither document has, but that the cut makes, are no terms of it.
+    The edited text is the contract's: the last half of the code points gives way to the start of the next document in descending doc_id. It is
+    fingerprinted as any text: words that the cut makes are looked up in the lexicon too, so an edited text that equals a document has its fingerprint.
     A text none of whose terms is in the band is fingerprinted on all its terms. Null text is empty; texts without terms have fingerprints of nothing, which are alike.
     Of rows that repeat a doc_id each comes before the next in the order of a hash of their texts; a single document has itself as the next one, and a null doc_id
     has none (it keeps its text, near_next is 0). Other columns are ignored; an empty table gives no rows.
@@ -149,23 +184,24 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     common = F.lit([r.term for r in df.where(F.col("df") > most).select("term").collect()]).cast("array<bigint>")
     rare = df.where(F.col("df") < MIN_DOCS).groupBy("doc_id", "h").agg(F.collect_list("term").alias("rare"))  # at most a text's terms
     rows = docs.withColumn("rare", F.lit(None).cast("array<bigint>")).unionByName(rare.withColumn("text", F.lit(None).cast("string")))
-    # dealt by block once, which serves both windows
+    # Dealt by block once: that serves all windows, and the words that cuts make come back to their block.
     rows = in_blocks(rows, ends(docs)).repartition("block", "part")
     same = Window.partitionBy("block", "part", "own", "doc_id", "h").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("out", F.first("rare", ignorenulls=True).over(same)).where("text is not null")
-
     none = F.expr("cast(array() as array<bigint>)")
+    rows = rows.withColumn("out", F.coalesce(F.first("rare", ignorenulls=True).over(same), none)).where("text is not null")
+    cuts = cut_terms(rows, df, most)
+
     band = lambda terms, out: let(F.array_except(F.array_except(terms, common), out), lambda ts: F.array_sort(F.when(F.size(ts) > 0, ts).otherwise(terms)))
-    rows = rows.select("block", "part", "own", "doc_id", "h", "text", F.coalesce("out", none).alias("out"), term_hashes(F.col("text")).alias("terms"))
+    rows = rows.select("block", "part", "own", "doc_id", "h", "text", "out", term_hashes(F.col("text")).alias("terms"))
     rows = rows.withColumn("lexicon", band(F.col("terms"), F.col("out"))).withColumn("print", hashed("lexicon"))
     rows = rows.select("*", *(before(c).alias(f"next_{c}") for c in ("text", "terms", "out", "print"))).where("own = 1")
 
-    half = F.floor(F.char_length("text") / 2).cast("int")
-    kept = F.substring(F.col("text"), F.lit(1), F.char_length("text") - half)
-    edited = F.when(F.col("next_text").isNull(), F.col("text")).otherwise(F.concat(kept, F.substring(F.col("next_text"), F.lit(1), half)))
-    rows = rows.select("doc_id", "text", "print", "next_print", edited.alias("edited"), F.array_union("terms", F.coalesce("next_terms", none)).alias("known"), F.array_union("out", F.coalesce("next_out", none)).alias("out"))
-    rows = rows.withColumn("terms", F.array_intersect(term_hashes(F.col("edited")), F.col("known")))
-    rows = rows.withColumn("lexicon", band(F.col("terms"), F.col("out"))).withColumn("edited_print", hashed("lexicon"))
+    known = F.array_union("terms", F.coalesce("next_terms", none))
+    rows = rows.select("block", "part", "doc_id", "text", "print", "next_print", F.concat(*pieces("text", "next_text")).alias("edited"), known.alias("known"), F.array_union("out", F.coalesce("next_out", none)).alias("out"))
+    rows = rows.join(cuts, ["block", "part"], "left").withColumn("terms", term_hashes(F.col("edited")))
+    # A word that neither document has is in the lexicon if the corpus says so.
+    strange = let(F.array_except("terms", "known"), lambda ts: F.array_except(ts, F.coalesce("cuts", none)))
+    rows = rows.withColumn("lexicon", band(F.col("terms"), F.concat("out", strange))).withColumn("edited_print", hashed("lexicon"))
     return rows.select(
         "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         in_words(F.col("print")).alias("fingerprint"), in_words(F.col("edited_print")).alias("edited_fingerprint"),
