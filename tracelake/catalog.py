@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tracelake.operators import aggregates, catalogue, derive, diff, joins, knowledge, linking, listing, merge, paths, reports, search, traverse
+from tracelake.operators import aggregates, catalogue, derive, diff, frontier, joins, knowledge, linking, listing, memory, merge, paths, reports, search, traverse
 from tracelake.sources import readers
 from tracelake.streaming import usage
 
-MODULES: tuple = (listing, aggregates, joins, linking, traverse, paths, reports, merge, diff, search, derive, knowledge, catalogue, readers, usage)
+MODULES: tuple = (listing, aggregates, joins, linking, traverse, frontier, paths, memory, reports, merge, diff, search, derive, knowledge, catalogue, readers, usage)
 FLAGSHIP = "screen_impact"
 
 
