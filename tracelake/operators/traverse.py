@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.contract import CALLER_TYPES, DATA_TARGETS, follows, is_data_edge
+from tracelake.plans.calls import CALLS_SQL, call_edges, call_nodes
 from tracelake.plans.projection import GRAPH_SQL, edges, nodes
 from tracelake.sources.scratch import written
 
@@ -81,15 +82,15 @@ def induced(edges_: DataFrame, ids: DataFrame) -> DataFrame:
     return edges_.join(ids.select(F.col("id").alias("source")), "source", "left_semi").join(ids.select(F.col("id").alias("target")), "target", "left_semi").select(*edges_.columns)
 
 
-def spread_labels(seeds: DataFrame, links: DataFrame, rounds: int = 20) -> DataFrame:
-    """seeds: node, label; links: a, b, both ways. The label of the nearest seed; the smallest at the same distance."""
+def spread_labels(seeds: DataFrame, links: DataFrame) -> DataFrame:
+    """seeds: node, label; links: a, b, both ways. The label of the nearest seed, however far; the smallest at the same distance."""
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     known = front = written(seeds.groupBy("node").agg(F.min("label").alias("label")).withColumn("distance", F.lit(0)))
-    for k in range(1, rounds + 1):
+    k = 0
+    while not front.isEmpty():
+        k += 1
         front = front.join(both, F.col("node") == F.col("a")).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("label"))
         front = written(front.join(known.select("node"), "node", "left_anti").withColumn("distance", F.lit(k)))
-        if front.isEmpty():
-            break
         known = known.unionByName(front)
     return known
 
@@ -102,13 +103,11 @@ def _table(s, d, k=5):
     return nodes(s, d).where("node_type = 'TABLE'").where(F.col("stable_id") == f"table:{k}").select(F.col("stable_id").alias("start"))
 
 
-def _ring(s, d):
-    n = F.lit(200)
-    return s.range(200).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("source"), F.concat(F.lit("m"), ((F.col("id") * 7 + 3) % n).cast("string")).alias("target"), F.concat(F.lit("e"), F.col("id").cast("string")).alias("edge_id"), F.lit("CALLS").alias("edge_type"), F.lit(1.0).alias("confidence"))
-
-
-def _ring_nodes(s, d):
-    return s.range(200).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("stable_id"), F.lit("METHOD").alias("node_type"))
+def _circles(s, d):
+    """Walks over calls that go round in circles, from every job."""
+    jobs = call_nodes(s, d).where("node_type = 'JOB'").select(F.col("stable_id").alias("start"))
+    calls = call_edges(s, d).where("edge_type in ('CALLS', 'STARTS')")
+    return walk(jobs, adjacency(calls, call_nodes(s, d)), F.lit(False), 64).select("start", "node", "depth")
 
 
 def _labels(s, d):
@@ -125,12 +124,15 @@ QUERIES = {
     "touched_data": lambda s, d: touched(_every_screen(s, d), edges(s, d), nodes(s, d)),
     "business_reach": lambda s, d: walk(_every_screen(s, d), adjacency(edges(s, d), nodes(s, d), lambda k, t: is_data_edge(k) | follows(k, t)), F.col("to_type").isin(*DATA_TARGETS), 8).groupBy("start", "depth").agg(F.count(F.lit(1)).alias("n")),
     "induced_subgraph": lambda s, d: induced(edges(s, d), nodes(s, d).where("node_type in ('SYSTEM', 'APPLICATION', 'SCREEN')").select(F.col("stable_id").alias("id"))).select("edge_id", "source", "target"),
-    "cycle_walk": lambda s, d: walk(_ring_nodes(s, d).where("stable_id in ('m1', 'm2')").select(F.col("stable_id").alias("start")), adjacency(_ring(s, d), _ring_nodes(s, d)), F.lit(False), 64).select("start", "node", "depth"),
+    "cycle_walk": _circles,
+    "touched_data_by_calls": lambda s, d: touched(call_nodes(s, d).where("node_type in ('SCREEN', 'JOB')").select(F.col("stable_id").alias("start")), call_edges(s, d), call_nodes(s, d)),
+    "flows_by_calls": lambda s, d: flows(call_nodes(s, d).where("node_type in ('SCREEN', 'JOB')").select(F.col("stable_id").alias("start")), call_edges(s, d), call_nodes(s, d), most=10_000).select("start", "target", "depth", (F.size("path") - 1).alias("steps")),
     "label_propagation": _labels,
     "node_flow_index": lambda s, d: flows(_every_screen(s, d), edges(s, d), nodes(s, d)).select("start", F.explode("path").alias("node")).distinct().groupBy("node").agg(F.count(F.lit(1)).alias("flows"), F.min("start").alias("first_flow")),
 }
 
 _REACH = ", screens as (select stable_id as start from nodes where node_type = 'SCREEN'), hops as (select start, a.target as api, m.target as method, t.target as target, t.edge_type, least(a.confidence, m.confidence, t.confidence) as confidence from screens join edges a on a.source = start and a.edge_type = 'CALLS_API' join edges m on m.source = a.target join edges t on t.source = m.target) "
+_STEPS_SQL = ", w as (select stable_id as start, stable_id as node, 0 as depth from nodes where node_type in ('SCREEN', 'JOB') union select start, target, depth + 1 from w join edges on source = node join nodes on stable_id = target where edge_type in ('CALLS_API', 'HANDLED_BY', 'CALLS', 'STARTS') and depth < 8)"
 _UP = ", up as (select source as method, target from edges where target = 'table:5'), api as (select distinct e.source as api, e.target as method from edges e where e.edge_type = 'HANDLED_BY' and e.target in (select method from up)), scr as (select distinct source as node from edges where edge_type = 'CALLS_API' and target in (select api from api)), hit as (select distinct method as node, 1 as depth from up union all select distinct api, 2 from api union all select node, 3 from scr) "
 ORACLES = {
     "screen_impact": GRAPH_SQL + _UP + "select 'table:5' as start, node, node_type, system_key, depth::int as depth from hit join nodes on node = stable_id",
@@ -140,6 +142,8 @@ ORACLES = {
     "touched_data": GRAPH_SQL + _REACH + "select distinct start, target, edge_type, 3 as steps from hops",
     "business_reach": GRAPH_SQL + _REACH + "select start, 1 as depth, count(distinct target) as n from screens join edges on source = start and edge_type = 'CALLS_API' group by 1 union all select start, 2, count(distinct method) from (select start, m.target as method from screens join edges a on a.source = start and a.edge_type = 'CALLS_API' join edges m on m.source = a.target) group by 1 union all select start, 3, count(distinct target) from hops group by 1",
     "induced_subgraph": GRAPH_SQL + "select edge_id, source, target from edges where layer = 'STRUCTURAL'",
-    "cycle_walk": "with recursive w as (select s as start, s as node, 0 as depth from (values (1), (2)) v(s) union all select start, (node * 7 + 3) % 200, depth + 1 from w where depth < 64), f as (select start, node, min(depth) as depth from w group by all) select 'm' || start as start, 'm' || node as node, depth::int as depth from f where depth > 0",
+    "cycle_walk": CALLS_SQL + ", w as (select stable_id as start, stable_id as node, 0 as depth from nodes where node_type = 'JOB' union select start, target, depth + 1 from w join edges on source = node where edge_type in ('CALLS', 'STARTS') and depth < 30) select start, node, min(depth)::int as depth from w group by start, node having min(depth) > 0",
+    "touched_data_by_calls": CALLS_SQL + _STEPS_SQL + " select start, target, edge_type, min(depth) + 1 as steps from w join edges on source = node where edge_type in ('READS', 'INSERTS', 'UPDATES', 'DELETES') and depth < 8 group by all",
+    "flows_by_calls": CALLS_SQL + _STEPS_SQL + ", t as (select start, target, depth + 1 as depth from w join edges on source = node join nodes on stable_id = target where node_type in ('TABLE', 'VIEW') and depth < 8) select start, target, min(depth)::int as depth, min(depth) as steps from t group by all",
     "label_propagation": GRAPH_SQL + "select 'system:' || r_regionkey as node, r_name as label, 0 as distance from region union all select 'application:' || n_nationkey, r_name, 1 from nation join region on n_regionkey = r_regionkey union all select 'screen:' || c_custkey, r_name, 2 from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey union all select 'api-operation:' || o_orderkey, r_name, 3 from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey",
 }
