@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tracelake.operators import aggregates, budget, catalogue, derive, diff, frontier, joins, knowledge, linking, listing, memory, merge, paths, reports, search, traverse, trees
+from tracelake.operators import aggregates, budget, catalogue, derive, details, diff, frontier, joins, knowledge, linking, listing, memory, merge, paths, reports, search, traverse, trees
 from tracelake.sources import readers
 from tracelake.streaming import usage
 
-MODULES: tuple = (listing, aggregates, joins, linking, traverse, frontier, paths, memory, reports, merge, diff, search, derive, knowledge, catalogue, budget, trees, readers, usage)
+MODULES: tuple = (listing, aggregates, joins, linking, traverse, frontier, paths, memory, reports, merge, diff, search, derive, knowledge, catalogue, budget, trees, details, readers, usage)
 FLAGSHIP = "screen_impact"
 
 
