@@ -3,7 +3,8 @@
 Memtables: each task of the first pass merges its rows by digest. A generation's memtables flush into a run of level 0, entries sorted by digest
 in parts of its range, and each part gets a Bloom filter. An entry has the row that stays (of the longest texts the
 smallest identifier) and the number of its rows. Where a newer run has grown to half of the older one it is compacted into it: its entries are probed
-against the older run's filters; those that a filter excludes are new and move as they are, and only the others are merged by digest.
+against the older run's filters; those that a filter excludes are new and move as they are, and only the others are merged by digest. Spark has
+no merge of sorted files, so a compaction groups the older run by digest again; the order of a run serves its readers.
 The last compaction leaves one run, the index. Digests with more than one row are hits: their texts are compared byte by byte,
 and where texts differ despite an equal digest, they form groups by the text itself.
 """
