@@ -93,8 +93,8 @@ def suggestions(concepts: DataFrame, names: DataFrame, keep: int = 5) -> DataFra
     """concepts: concept, label, aliases, status; names: node, name. For each node the approved concepts that share a term with its name, best first.
 
     A label or alias that stands in the name scores 0.84 and 0.05 for each of its terms up to three, 0.99 at most; others 0.42 and up to 0.37 by the share of
-    the concept's terms, 0.79 at most. Pairs come from an index of terms, and each node keeps its best as they are found, never all pairs of a frequent term:
-    what a concept scores for a node depends on the node's terms, so nodes of the same folded name are scored once.
+    the concept's terms, 0.79 at most. Pairs come from an index of terms. A term of many concepts and many names makes
+    all their pairs before the best are kept; what a concept scores depends on the folded name only, so nodes of the same one are paired and scored once.
     """
     approved = concepts.where("lower(status) = 'approved'").select("concept", "label", F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>"))).alias("every"))
     approved = approved.withColumn("t", F.array_distinct(tokens(F.array_join("every", " "))))
