@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import documents, texts
-from .ragged import Lists, gathered, sliced
+from .ragged import Lists, gathered, give_back, sliced
 
 CAPACITY = 4096
 END = 2
@@ -62,7 +62,7 @@ class ChunkTokenizer:
         parts = json.loads(file)
         self.by_bytes = any(x["type"] == "ByteLevel" for x in (parts["pre_tokenizer"] or {}).get("pretokenizers", ()))
         self.words = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": None}))
-        self.known = Lists(400_000)
+        self.known = Lists(250_000)
         self.stops = {x: self._ids(self.whole, [x])[0] for x in ("", ".", ",")}
 
     @staticmethod
@@ -247,6 +247,7 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end:
         bins.finish()
         if bins.out:
             yield bins.take()
+        give_back()
 
     return texts(docs).mapInArrow(run, SCHEMA)
 

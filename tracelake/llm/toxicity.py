@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import short_batches, texts, written
-from .ragged import row_by_row, sliced
+from .ragged import give_back, row_by_row, sliced
 
 #: The documented bound of the training sample: labelled documents of each label, taken by hash, of at most so many characters.
 TRAIN_DOCS = 1500
@@ -378,6 +378,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
             text = pd.DataFrame({"text": batch.column("text").fill_null("").to_pandas()})
             parts = [shared.value.probability(summaries(rows, shared.value, known)) < threshold for rows in sliced(text)]
             yield batch.filter(pa.array(np.concatenate(parts))) if parts else batch
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
