@@ -165,7 +165,7 @@ def test_bins_hold_as_many_documents_as_their_class():
         assert all(len(b.pieces) < k for k, b in bins.open.items()) and all(k == packing.class_of(p.length) for k, b in bins.open.items() for p in b.pieces)
     inside = len({p[5] for p in bins.out})
     bins.finish()
-    out = bins.take()
+    out = bins.take().to_pandas()
     total = out.groupby("sequence_id").length.sum()
     assert (total.iloc[:inside] == 4096).all() and total.map(lambda n: n & (n - 1) == 0).all()
     assert (out.groupby("doc_id").length.sum() == lengths).all()
