@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from tracelake.operators import aggregates, budget, business, catalogue, derive, details, diff, frontier, joins, knowledge, linker, linking, listing, memory, merge, paths, reports, search, traverse, trees
-from tracelake.sources import readers
+from tracelake.sources import imports, readers
 from tracelake.streaming import usage
 
-MODULES: tuple = (listing, aggregates, joins, linking, traverse, frontier, paths, memory, reports, merge, diff, search, derive, knowledge, catalogue, budget, trees, details, business, linker, readers, usage)
+MODULES: tuple = (listing, aggregates, joins, linking, traverse, frontier, paths, memory, reports, merge, diff, search, derive, knowledge, catalogue, budget, trees, details, business, linker, imports, readers, usage)
 FLAGSHIP = "screen_impact"
 
 
