@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -9,11 +12,20 @@ from tracelake.llm import exact_dedup, near_dedup, packing, secret_scan, toxicit
 from tracelake.llm.common import freed, short_batches, written
 
 
+def _given_back() -> None:
+    """Memory that training used goes back to the system, as the driver's JVM grows in the stages behind it."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity machine, trained on the labelled ones among them, rejects go."""
     short_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(toxicity.training_rows(toxicity.texts(docs), labels))
+    _given_back()
     return toxicity.without_toxic(docs, model)
 
 
