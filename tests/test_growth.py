@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from tracelake.operators.paths import bounded_trace
+from tracelake.operators import budget
+from tracelake.operators.catalogue import alias_links
+from tracelake.operators.joins import span_owner
+from tracelake.operators.paths import bounded_trace, data_paths, steps_to_data, users_of_data, within
 from tracelake.operators.traverse import adjacency, flow_targets, flows, reach, walk
 from tracelake.sources.scratch import dealt, freed
 
@@ -46,3 +49,57 @@ def test_traces_are_cut_at_their_bound_only(spark):
     traced = lambda most: tuple(bounded_trace(start, edges, nodes, F.col("to_type") == "TABLE", most_nodes=most).first())
     assert traced(12) == traced(11) == ("s", 11, 10, False)
     assert traced(10) == ("s", 10, 9, True)
+
+
+def most_rows(df):
+    """The rows that leave the widest join of the executed plan."""
+    df.collect()
+    plan, most = [df._jdf.queryExecution().executedPlan()], 0
+    while plan:
+        node = plan.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.executedPlan()
+        if "Join" in node.nodeName() and node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        plan += [node.children().apply(k) for k in range(node.children().size())]
+        plan += [node.plan()] if hasattr(node, "plan") and "QueryStage" in node.nodeName() else []
+    return most
+
+
+def test_a_common_alias_meets_only_the_nodes_that_are_kept(spark):
+    concepts = spark.range(40).select(F.col("id").alias("concept"), F.lit("A b").alias("alias"))
+    names = spark.range(300).select(F.format_string("t%03d", "id").alias("node"), F.lit("a B").alias("name"))
+    out = alias_links(concepts, names, cap=3)
+    assert {(r.concept, r.node) for r in out.collect()} == {(c, f"t00{k}") for c in range(40) for k in range(3)}
+    assert most_rows(out) == 120
+
+
+def test_lines_meet_spans_once_however_many_comments_they_have(spark):
+    comments = spark.range(500).select(F.col("id").alias("comment_id"), F.lit("f").alias("path"), (F.col("id") % 2).cast("int").alias("line"))
+    spans = spark.range(90).select(F.format_string("d%02d", 99 - F.col("id")).alias("owner_id"), F.lit("f").alias("path"), F.lit(0).alias("start"), F.lit(0).alias("end"))
+    out = span_owner(comments, spans)
+    assert {(r.owner_id, r.tier) for r in out.collect()} == {("d10", 0), ("file:f", 2)}
+    assert most_rows(out) <= 500
+
+
+def test_paths_that_fit_are_not_gone_through(spark):
+    start, edges, nodes = star(spark, 9)
+    paths = data_paths(start, edges, nodes)
+    assert within(paths, edges, 100).count() == 9
+    assert within(paths, edges, 5).count() == 3
+
+
+def test_steps_to_data_are_those_of_the_routes(spark):
+    _, edges, nodes = star(spark, 9)
+    tables = nodes.where("node_type = 'TABLE'").select(F.col("stable_id").alias("start"))
+    rows = lambda df: sorted(df.select("start", "node", "steps").collect())
+    assert rows(steps_to_data(tables, edges, nodes)) == rows(users_of_data(tables, edges, nodes))
+
+
+def test_hubs_are_ranked_as_others(spark, monkeypatch):
+    _, edges, _ = star(spark, 130)
+    ranked = [F.desc("priority"), F.asc("side"), F.asc("edge_id")]
+    rows = lambda: sorted(budget.offered(edges, "both", 5, ranked).collect())
+    whole = rows()
+    monkeypatch.setattr(budget, "MANY", 100)
+    assert rows() == whole and len(whole) == 5 + 130 + 1
