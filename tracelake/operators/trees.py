@@ -29,7 +29,7 @@ def opened(docs: DataFrame, into: tuple[str, ...] = ("object", "array")) -> Data
     as is a missing one. `into`: kinds that are opened; others are parts as they are."""
     none = F.array().cast("array<struct<key:string,pos:int>>")
     rows = docs.select("id", none.alias("path"), F.coalesce(F.try_parse_json("doc"), F.parse_json(F.lit("null"))).alias("value"))
-    level = written(rows.withColumn("kind", _kind(F.col("value"))).select("id", "path", "kind", "value"))
+    level = written(rows.withColumn("kind", _kind(F.col("value"))).select("id", "path", "kind", "value"), compression="zstd")
     every = level
     while True:
         inner = level.where(F.col("kind").isin(*into))
@@ -39,14 +39,14 @@ def opened(docs: DataFrame, into: tuple[str, ...] = ("object", "array")) -> Data
         step = inner.lateralJoin(inner.sparkSession.tvf.variant_explode(F.col("whole").outer()))
         at = F.struct(F.when(F.col("above") == "object", F.col("key")).alias("key"), F.when(F.col("above") == "array", F.col("pos")).alias("pos"))
         step = step.select("id", F.concat("path", F.array(at)).alias("path"), "value")
-        level = written(step.withColumn("kind", _kind(F.col("value"))).select("id", "path", "kind", "value"))
+        level = written(step.withColumn("kind", _kind(F.col("value"))).select("id", "path", "kind", "value"), compression="zstd")
         every = every.unionByName(level)
 
 
 def closed(parts: DataFrame, spaced: bool = False) -> DataFrame:
     """parts: id, path, kind, text (of parts that were not opened). id, doc: each document put together again, level by level from its deepest parts."""
     comma, colon = (", ", ": ") if spaced else (",", ":")
-    parts = written(parts.select("id", "path", "kind", "text", F.size("path").alias("depth")))
+    parts = written(parts.select("id", "path", "kind", "text", F.size("path").alias("depth")), compression="zstd")
     deepest = parts.agg(F.max("depth")).first()[0] or 0
     below = parts.where(F.col("depth") == deepest).select("id", "path", "kind", "text").withColumn("text", F.coalesce("text", _empty()))
     for depth in range(deepest, 0, -1):
@@ -57,7 +57,7 @@ def closed(parts: DataFrame, spaced: bool = False) -> DataFrame:
         held = held.select("id", "path", F.array_join("m.member", comma).alias("inner"))
         here = parts.where(F.col("depth") == depth - 1).join(held, ["id", "path"], "left")
         text = F.when(F.col("inner").isNull(), F.coalesce("text", _empty())).when(F.col("kind") == "object", F.concat(F.lit("{"), "inner", F.lit("}"))).otherwise(F.concat(F.lit("["), "inner", F.lit("]")))
-        below = written(here.select("id", "path", "kind", text.alias("text")))
+        below = written(here.select("id", "path", "kind", text.alias("text")), compression="zstd")
     return below.select("id", F.col("text").alias("doc"))
 
 
@@ -70,9 +70,9 @@ def _empty() -> Column:
     return F.when(F.col("kind") == "object", "{}").when(F.col("kind") == "array", "[]").otherwise("null")
 
 
-def texts(parts: DataFrame, into: tuple[str, ...] = ("object", "array")) -> DataFrame:
+def texts(parts: DataFrame, into: tuple[str, ...] = ("object", "array"), also: tuple[str, ...] = ()) -> DataFrame:
     """The parts with their own JSON text; opened ones have none."""
-    return parts.select("id", "path", "kind", F.when(~F.col("kind").isin(*into), F.to_json("value")).alias("text"))
+    return parts.select("id", "path", "kind", *also, F.when(~F.col("kind").isin(*into), F.to_json("value")).alias("text"))
 
 
 def without_keys(parts: DataFrame, keys: tuple[str, ...] = POSITION_KEYS) -> DataFrame:
@@ -90,15 +90,15 @@ def references(parts: DataFrame, one: str = "ref_node_id", many: str = "ref_node
 
 def rewritten(parts: DataFrame, names: DataFrame) -> DataFrame:
     """parts as from `texts`, with value; names: old, new. Texts that are an old name become the new one."""
-    named = parts.withColumn("old", F.when(F.col("kind") == "text", F.variant_get("value", "$", "string"))).join(names.groupBy("old").agg(F.min("new").alias("new")), "old", "left")
+    named = parts.withColumn("old", F.when(F.col("kind") == "text", F.try_variant_get("value", "$", "string"))).join(names.groupBy("old").agg(F.min("new").alias("new")), "old", "left")
     return named.select("id", "path", "kind", F.when(F.col("new").isNotNull(), _quoted(F.col("new"))).otherwise(F.col("text")).alias("text"))
 
 
 def restored(parts: DataFrame, names: DataFrame) -> DataFrame:
     """parts as from `texts`, with value; names: number, new. Large whole numbers, and long texts of digits, that are a compact identifier become its name."""
-    number = F.when(F.schema_of_variant("value") == "BIGINT", F.variant_get("value", "$", "bigint"))
-    digits = F.variant_get("value", "$", "string")
-    number = F.coalesce(F.when(F.abs(number) > SMALL, number), F.when((F.col("kind") == "text") & (F.char_length(digits) > FEW_DIGITS) & digits.rlike("^-*[0-9]+$"), F.expr("try_cast(variant_get(value, '$', 'string') as bigint)")))
+    number = F.when(F.schema_of_variant("value") == "BIGINT", F.try_variant_get("value", "$", "bigint"))
+    digits = F.try_variant_get("value", "$", "string")
+    number = F.coalesce(F.when(F.abs(number) > SMALL, number), F.when((F.col("kind") == "text") & (F.char_length(digits) > FEW_DIGITS) & digits.rlike("^-*[0-9]+$"), F.expr("try_cast(try_variant_get(value, '$', 'string') as bigint)")))
     named = parts.withColumn("number", number).join(names.groupBy("number").agg(F.min("new").alias("new")), "number", "left")
     return named.select("id", "path", "kind", F.when(F.col("new").isNotNull(), _quoted(F.col("new"))).otherwise(F.col("text")).alias("text"))
 
@@ -154,8 +154,7 @@ def _lines(s, d):
 
 
 def _parts(s, d):
-    parts = written(opened(_docs(s, d)))
-    return texts(parts).join(parts.select("id", "path", "value"), ["id", "path"])
+    return texts(opened(_docs(s, d)), also=("value",))
 
 
 def _rewritten(s, d):
