@@ -114,7 +114,8 @@ def merged(left: DataFrame, right: DataFrame) -> DataFrame:
     # What the left side has as a value stays, and what the right side has under it goes.
     firm = a.where("kind_a <> 'object' and not blank_a").select("id", F.col("path").alias("above"))
     prefixes = b.where(F.size("path") > 0).select("id", "path", F.explode(F.transform(F.sequence(F.lit(0), F.size("path") - 1), lambda n: F.slice("path", 1, n))).alias("above"))
-    under = written(prefixes.join(firm, ["id", "above"], "left_semi").select("id", "path").distinct())
+    # Paths repeat, so the file of these parts says nothing of their size: they are never to be a broadcast.
+    under = written(prefixes.join(firm.hint("merge"), ["id", "above"], "left_semi").select("id", "path").distinct())
     both = a.join(b.join(under, ["id", "path"], "left_anti"), ["id", "path"], "full")
     lists = (F.col("kind_a") == "array") & (F.col("kind_b") == "array")
     values = lambda s: F.transform(F.col(f"value_{s}").cast("array<variant>"), lambda v: F.to_json(v))
