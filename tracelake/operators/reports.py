@@ -55,20 +55,24 @@ def compared_graphs(base: tuple[DataFrame, ...], head: tuple[DataFrame, ...]) ->
     Issues are known by type, severity, file and message without its digits, so those that only moved are not new.
     """
 
-    def both_ways(a: DataFrame, b: DataFrame, section: str) -> DataFrame:
-        new, gone = b.join(a, "key", "left_anti"), a.join(b, "key", "left_anti")
-        return new.withColumn("change", F.lit("added")).unionByName(gone.withColumn("change", F.lit("removed"))).withColumn("section", F.lit(section))
+    def both_ways(a: DataFrame, b: DataFrame, section: str, repeated: bool = False) -> DataFrame:
+        # Both sides are read once and meet in one aggregate, which leaves out repeats too.
+        sided = a.select("key", F.lit(1).alias("gone"), F.lit(0).alias("new")).unionByName(b.select("key", F.lit(0).alias("gone"), F.lit(1).alias("new")))
+        rows = sided.groupBy("key").agg(F.sum("gone").alias("gone"), F.sum("new").alias("new")).where("gone = 0 or new = 0")
+        rows = rows.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("gone") + F.col("new")))) if repeated else rows
+        return rows.select("key", F.when(F.col("gone") > 0, "removed").otherwise("added").alias("change"), F.lit(section).alias("section"))
 
     own = lambda n: n.where(~F.col("node_type").isin(*QUIET_TYPES)).select(F.col("stable_id").alias("key"))
-    linked = lambda e: e.where(~F.col("edge_type").isin(*STRUCTURE)).select(F.concat_ws("|", "source", "edge_type", "operation", "target").alias("key")).distinct()
-    columns = lambda n, e: e.where("edge_type = 'CONTAINS'").join(n.where("node_type = 'COLUMN'").select(F.col("stable_id").alias("target")), "target", "left_semi").select(F.concat_ws("|", "source", "target").alias("key")).distinct()
-    said = lambda i: i.select(F.concat_ws("|", "issue_type", "severity", F.coalesce("source_path", F.lit("")), F.regexp_replace(F.coalesce("message", F.lit("")), "[0-9]+", "#")).alias("key")).distinct()
-    out = both_ways(own(base[0]), own(head[0]), "nodes").unionByName(both_ways(linked(base[1]), linked(head[1]), "edges")).unionByName(both_ways(columns(base[0], base[1]), columns(head[0], head[1]), "schema"))
+    linked = lambda e: e.where(~F.col("edge_type").isin(*STRUCTURE)).select(F.concat_ws("|", "source", "edge_type", "operation", "target").alias("key"))
+    columns = lambda n, e: e.where("edge_type = 'CONTAINS'").join(n.where("node_type = 'COLUMN'").select(F.col("stable_id").alias("target")), "target", "left_semi").select(F.concat_ws("|", "source", "target").alias("key"))
+    said = lambda i: i.select(F.concat_ws("|", "issue_type", "severity", F.coalesce("source_path", F.lit("")), F.regexp_replace(F.coalesce("message", F.lit("")), "[0-9]+", "#")).alias("key"))
+    out = both_ways(own(base[0]), own(head[0]), "nodes", repeated=True).unionByName(both_ways(linked(base[1]), linked(head[1]), "edges")).unionByName(both_ways(columns(base[0], base[1]), columns(head[0], head[1]), "schema"))
     return out.unionByName(both_ways(said(base[2]), said(head[2]), "issues").where("change = 'added'"))
 
 
 def capped(changes: DataFrame, keep: int = MOST_ITEMS) -> DataFrame:
     """changes: section, change, key. The first `keep` of each list, with the list's true length."""
+    changes = written(changes, compression="zstd")  # read twice
     sizes = changes.groupBy("section", "change").agg(F.count(F.lit(1)).alias("total"))
     return first_of(changes, ["section", "change"], "key", ["key"], keep).join(sizes, ["section", "change"])
 
