@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.contract import DATA_TARGETS, WRITE_EDGES, table
+from tracelake.contract import DATA_TARGETS, WRITE_EDGES, short_key, table
 from tracelake.functions.names import shortened, small_id
 from tracelake.functions.text import fold_ascii, tokens
 from tracelake.operators.ranks import first_of
@@ -100,11 +100,12 @@ def preferred_meanings(mapping: DataFrame, meanings: DataFrame, locale: str) ->
 
 def detail_counts(nodes_: DataFrame, edges_: DataFrame, proof: DataFrame) -> DataFrame:
     """node, n_in, n_out, n_evidence (of its edges), n_writers: what a node's page counts. Ends are counted before they meet the nodes."""
-    counts = proof.groupBy("edge_id").agg(F.count(F.lit(1)).alias("v"))
-    rows = edges_.join(counts, "edge_id", "left").withColumn("v", F.coalesce("v", F.lit(0)))
-    out = rows.select(F.col("source").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o"), "v", F.lit(0).alias("w"))
-    into = rows.select(F.col("target").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o"), "v", F.col("edge_type").isin(*WRITE_EDGES).cast("int").alias("w"))
-    sums = out.unionByName(into).groupBy("node").agg(*(F.sum(k).alias(v) for k, v in (("i", "n_in"), ("o", "n_out"), ("v", "n_evidence"), ("w", "n_writers"))))
+    counts = proof.groupBy(short_key(F.col("edge_id")).alias("key")).agg(F.count(F.lit(1)).alias("v"))
+    rows = edges_.withColumn("key", short_key(F.col("edge_id"))).join(counts, "key", "left").withColumn("v", F.coalesce("v", F.lit(0)))
+    # Both ends of an edge come from one row, as a union of the two would join edges with evidence twice.
+    end = lambda node, i, wrote: F.struct(F.col(node).alias("node"), F.lit(i).alias("i"), F.lit(1 - i).alias("o"), wrote.alias("w"))
+    ends = F.array(end("source", 0, F.lit(0)), end("target", 1, F.coalesce(F.col("edge_type").isin(*WRITE_EDGES).cast("int"), F.lit(0))))
+    sums = rows.select("v", F.inline(ends)).groupBy("node").agg(*(F.sum(k).alias(v) for k, v in (("i", "n_in"), ("o", "n_out"), ("v", "n_evidence"), ("w", "n_writers"))))
     return nodes_.select(F.col("stable_id").alias("node")).join(sums, "node", "left").select("node", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_in", "n_out", "n_evidence", "n_writers")))
 
 
