@@ -17,8 +17,10 @@ def histogram(df: DataFrame, *columns: str) -> DataFrame:
 def access_per_table(edges_: DataFrame) -> DataFrame:
     """Readers and writers of each table that any edge touches."""
     wrote, read = F.col("edge_type").isin(*WRITE_EDGES), F.col("edge_type") == "READS"
-    data = edges_.where(wrote | read)
-    return data.groupBy("target").agg(F.count_distinct(F.when(read, F.col("source"))).alias("readers"), F.count_distinct(F.when(wrote, F.col("source"))).alias("writers"), F.min("confidence").alias("confidence"))
+    # Sources are made distinct first: two distinct counts in one aggregate would hold every edge three times.
+    data = edges_.where(wrote | read).groupBy("target", "source", read.alias("read")).agg(F.min("confidence").alias("confidence"))
+    of = lambda side: F.count_if(side & F.col("source").isNotNull())
+    return data.groupBy("target").agg(of(F.col("read")).alias("readers"), of(~F.col("read")).alias("writers"), F.min("confidence").alias("confidence"))
 
 
 def quality(nodes_: DataFrame, edges_: DataFrame, issues_: DataFrame) -> DataFrame:
