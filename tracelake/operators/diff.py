@@ -24,8 +24,11 @@ def digest(lines: DataFrame, owner: str) -> DataFrame:
     It is a digest of how many different lines there are and of the sum of their digests' first 60 bits. Sums are combined before the
     shuffle, so an owner of any number of lines never has them in one row; two sets agree if their numbers and sums do.
     """
-    value = F.conv(F.substring(F.sha2("line", 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    sums = lines.select(owner, "line").distinct().groupBy(owner).agg(F.count(F.lit(1)).alias("n"), F.sum(value).cast("string").alias("sum"))
+    # Halves of the bits are summed up as long numbers, as a decimal for each line costs more than its digest.
+    value = F.conv(F.substring(F.sha2("line", 256), 1, 15), 16, 10).cast("long")
+    high, low = F.sum(F.shiftright(value, 30)).cast("decimal(28,0)"), F.sum(value.bitwiseAND(F.lit(2**30 - 1))).cast("decimal(28,0)")
+    total = (high * F.lit(2**30).cast("decimal(10,0)") + low).cast("string")
+    sums = lines.select(owner, "line").distinct().groupBy(owner).agg(F.count(F.lit(1)).alias("n"), total.alias("sum"))
     return sums.select(owner, F.substring(F.sha2(F.concat_ws(":", F.col("n").cast("string"), "sum"), 256), 1, 20).alias("fingerprint"))
 
 
