@@ -129,11 +129,12 @@ def merged(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def tree_fingerprints(docs: DataFrame, lines: DataFrame, key: str = "semantic_tree") -> DataFrame:
     """docs: id, doc; lines: id, line (an edge type, operation and target). id, fingerprint: the first 20 digits of the digest of a node's sorted edges with its tree, positions left out."""
-    parts = without_keys(texts(opened(docs)))
+    every = opened(docs)
+    parts = without_keys(texts(every))
     under = parts.where(F.get("path", F.lit(0))["key"] == key).withColumn("path", F.slice("path", 2, 1_000_000))
     trees = closed(under, spaced=True).select("id", F.when(~F.col("doc").isin("{}", "[]", '""', "0", "false"), F.col("doc")).alias("tree"))
     listed = lines.groupBy("id").agg(F.array_sort(F.collect_list("line")).alias("l")).select("id", F.array_join(F.transform("l", _quoted), ", ").alias("edges"))
-    rows = docs.select("id").join(listed, "id", "left").join(trees, "id", "left")
+    rows = every.where(F.size("path") == 0).select("id").join(listed, "id", "left").join(trees, "id", "left")
     payload = F.concat(F.lit('{"edges": ['), F.coalesce("edges", F.lit("")), F.lit('], "tree": '), F.coalesce("tree", F.lit("null")), F.lit("}"))
     return rows.select("id", F.substring(F.sha2(payload, 256), 1, 20).alias("fingerprint"))
 
