@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tracelake.operators import budget
+from tracelake.operators import budget, frontier
 from tracelake.operators.catalogue import alias_links
 from tracelake.operators.joins import span_owner
 from tracelake.operators.paths import bounded_trace, data_paths, steps_to_data, users_of_data, within
@@ -103,3 +103,16 @@ def test_hubs_are_ranked_as_others(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr(budget, "MANY", 100)
     assert rows() == whole and len(whole) == 5 + 130 + 1
+
+
+def test_ways_to_no_data_are_left_out_before_the_walk(spark, monkeypatch):
+    _, edges, nodes = star(spark, 9)
+    dead = spark.createDataFrame([(f"d{k}", "s" if k == 0 else f"x{k - 1}", f"x{k}", "CALLS", 1.0) for k in range(3)], edges.schema)
+    edges = edges.unionByName(dead).withColumn("layer", F.lit("TECHNICAL"))
+    nodes = nodes.unionByName(dead.select(F.col("target").alias("stable_id"), F.lit("METHOD").alias("node_type")))
+    walked, taken = frontier.walked, []
+    monkeypatch.setattr(frontier, "walked", lambda starts, moves, *rest: taken.append((starts.count(), moves.count())) or walked(starts, moves, *rest))
+    rows = frontier.data_between(nodes.select(F.col("stable_id").alias("start")), edges, nodes).collect()
+    # s and a lead out, nine tables in; nothing walks out of x0, x1 and x2, or into them
+    assert taken == [(11, 10 + 19 + 3)] and len(rows) == 10 + 9 + 9 * 2
+    assert not {r.edge_id for r in rows} & {"d0", "d1", "d2"}
