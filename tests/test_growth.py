@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from tracelake.operators import budget, frontier
-from tracelake.operators.catalogue import alias_links
-from tracelake.operators.joins import span_owner
+from tracelake.operators.catalogue import alias_links, file_seeds, shown_in
+from tracelake.operators.joins import maybe, span_owner
 from tracelake.operators.paths import bounded_trace, data_paths, steps_to_data, users_of_data, within
 from tracelake.operators.traverse import adjacency, flow_targets, flows, reach, walk
 from tracelake.sources.scratch import dealt, freed
@@ -116,3 +116,14 @@ def test_ways_to_no_data_are_left_out_before_the_walk(spark, monkeypatch):
     # s and a lead out, nine tables in; nothing walks out of x0, x1 and x2, or into them
     assert taken == [(11, 10 + 19 + 3)] and len(rows) == 10 + 9 + 9 * 2
     assert not {r.edge_id for r in rows} & {"d0", "d1", "d2"}
+
+
+def test_a_file_meets_only_the_edges_it_may_show(spark):
+    edges = spark.range(3000).select(F.format_string("e%04d", "id").alias("edge_id"), F.format_string("n%04d", F.col("id") % 1500).alias("source"))
+    nodes = edges.select(F.col("source").alias("stable_id"), F.lit("METHOD").alias("node_type"))
+    evidence = edges.select("edge_id", F.when(F.col("edge_id") < "e0005", "a/b/c.sql").otherwise("d.sql").alias("source_path"), F.lit(2).alias("start_line"))
+    for path, there in (("./a/b/c.sql", 5), ("x/a/b/c.sql", 5), ("c/d.sql", 0)):
+        located = shown_in(evidence, edges, nodes, path)
+        assert {r.node: r.score for r in file_seeds(located, path, 2).collect()} == {f"n000{k}": 10.0 for k in range(there)}
+    few = maybe(edges, edges.where("edge_id < 'e0005'"), "edge_id")
+    assert 5 <= few.count() < 30 and few.where("edge_id < 'e0005'").count() == 5
