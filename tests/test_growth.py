@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tracelake.operators import budget, frontier
+from tracelake.operators import budget, business, frontier
 from tracelake.operators.catalogue import alias_links, file_seeds, shown_in
 from tracelake.operators.joins import maybe, span_owner
 from tracelake.operators.paths import bounded_trace, data_paths, steps_to_data, users_of_data, within
@@ -127,3 +127,14 @@ def test_a_file_meets_only_the_edges_it_may_show(spark):
         assert {r.node: r.score for r in file_seeds(located, path, 2).collect()} == {f"n000{k}": 10.0 for k in range(there)}
     few = maybe(edges, edges.where("edge_id < 'e0005'"), "edge_id")
     assert 5 <= few.count() < 30 and few.where("edge_id < 'e0005'").count() == 5
+
+
+def test_only_steps_to_operations_are_walked(spark, monkeypatch):
+    nodes = spark.createDataFrame([("s", "SCREEN"), ("o", "API_OPERATION"), ("q", "API_OPERATION"), ("g", "API_OPERATION"), ("p", "PROCEDURE"), ("t", "TABLE")], "stable_id string, node_type string")
+    edges = spark.createDataFrame([("s", "o", "CALLS_API"), ("o", "p", "HANDLED_BY"), ("p", "p", "CALLS"), ("p", "t", "READS"), ("s", "t", "CONTAINS")], "source string, target string, edge_type string").withColumn("edge_id", F.concat("source", "target"))
+    walk, taken = business.tree, []
+    monkeypatch.setattr(business, "tree", lambda starts, moves, *rest: taken.append(moves.count()) or walk(starts, moves, *rest))
+    features = spark.createDataFrame([("feature:s", "s", "SCREEN", "menu:home")], "feature string, entry string, node_type string, menu string")
+    extra = spark.createDataFrame([("feature:s", "g"), ("feature:s", "nowhere"), ("feature:none", "q")], "feature string, entry string")
+    lost = business.unassigned(features, nodes, edges, business.given(features, nodes, extra))
+    assert [r.stable_id for r in lost.collect()] == ["q"] and taken == [1]
