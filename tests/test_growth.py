@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tracelake.operators import budget, business, frontier
+from tracelake.operators import budget, business, frontier, trees
 from tracelake.operators.catalogue import alias_links, file_seeds, shown_in
 from tracelake.operators.joins import maybe, span_owner
 from tracelake.operators.paths import bounded_trace, data_paths, steps_to_data, users_of_data, within
@@ -138,3 +138,15 @@ def test_only_steps_to_operations_are_walked(spark, monkeypatch):
     extra = spark.createDataFrame([("feature:s", "g"), ("feature:s", "nowhere"), ("feature:none", "q")], "feature string, entry string")
     lost = business.unassigned(features, nodes, edges, business.given(features, nodes, extra))
     assert [r.stable_id for r in lost.collect()] == ["q"] and taken == [1]
+
+
+def test_references_of_whole_documents(spark, monkeypatch):
+    docs = [r'{"a":[1,{"ref_node_id":"n1"}],"ref_node_ids":["n2",["no"],{"ref_node_id":"n3"},5,""]}', r'{"deep":[[{"r\u0065f_node_id":"n4"}]],"x":"\"ref_node_id\":\"no\""}', '["ref_node_id"]', '"ref_node_id"', "{", None, '{"ref_node_id":{"ref_node_ids":[]},"b":"n"}', '{"ref_node_ids":{"k":"no"}}', '{"ref_node_ids":[[["no"]],"n2","n2"]}']
+    docs = spark.createDataFrame(list(enumerate(docs)), "id long, doc string")
+    got = sorted(map(tuple, trees.references_of(docs).collect()))
+    assert got == sorted(map(tuple, trees.references(trees.opened(docs)).collect())) == [(0, "n1"), (0, "n2"), (0, "n3"), (1, "n4"), (8, "n2")]
+    # what holds no key isn't opened
+    written, rows = trees.written, []
+    monkeypatch.setattr(trees, "written", lambda df, **o: rows.append(df.count()) or written(df, **o))
+    deep = spark.createDataFrame([(0, '{"ref_node_id":"n","steps":[[[{"a":[1,2,3]}]]]}')], "id long, doc string")
+    assert [tuple(r) for r in trees.references_of(deep).collect()] == [(0, "n")] and rows == [1]

@@ -6,6 +6,8 @@ for each step into an object, a position for each into an array. Closed document
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,6 +90,34 @@ def references(parts: DataFrame, one: str = "ref_node_id", many: str = "ref_node
     return found.where("node <> ''").distinct()
 
 
+def references_of(docs: DataFrame, one: str = "ref_node_id", many: str = "ref_node_ids") -> DataFrame:
+    """docs: id, doc. The `references` of whole documents. Only parts whose text has one of the keys are opened, and of other parts only texts that may be references are kept."""
+    names = [json.dumps(key, ensure_ascii=False) for key in (one, many)]
+    holds = lambda text, after="": F.contains(text, F.lit(names[0] + after)) | F.contains(text, F.lit(names[1] + after))
+    # Made inside explode, a document is put into text and parsed once; filters would repeat it. A key may be written with escapes.
+    wanted = F.filter(F.array("doc"), lambda d: holds(d) | F.contains(d, F.lit("\\")))
+    level = docs.select("id", F.lit(False).alias("list"), F.explode_outer(F.transform(wanted, lambda d: F.try_parse_json(d))).alias("whole"))
+    found = None
+
+    def kept(part: Column) -> Column:
+        text, is_list = F.startswith(part["json"], F.lit('"')), F.startswith(part["json"], F.lit("["))
+        listed = is_list & F.coalesce(F.col("key") == many, F.lit(False))
+        opens = listed | ((is_list | F.startswith(part["json"], F.lit("{"))) & holds(part["json"], ":"))
+        named = text & F.coalesce((F.col("key") == one) | (F.col("list") & F.col("key").isNull()), F.lit(False))
+        return F.struct(listed.alias("list"), F.when(opens, part["value"]).alias("whole"), F.when(named, F.variant_get(part["value"], "$", "string")).alias("node"))
+
+    while True:
+        step = level.lateralJoin(level.sparkSession.tvf.variant_explode(F.col("whole").outer()))
+        parts = F.transform(F.array("value"), lambda v: F.struct(v.alias("value"), F.to_json(v).alias("json")))
+        level = step.select("id", F.explode_outer(F.transform(parts, kept)).alias("p")).select("id", "p.*").where("whole is not null or node is not null")
+        level = written(level, compression="zstd")
+        here = level.where("node <> ''").select("id", "node")
+        found = here if found is None else found.unionByName(here)
+        level = level.where("whole is not null").select("id", "list", "whole")
+        if level.isEmpty():
+            return found.distinct()
+
+
 def rewritten(parts: DataFrame, names: DataFrame) -> DataFrame:
     """parts as from `texts`, with value; names: old, new. Texts that are an old name become the new one."""
     named = parts.withColumn("old", F.when(F.col("kind") == "text", F.try_variant_get("value", "$", "string"))).join(names.groupBy("old").agg(F.min("new").alias("new")), "old", "left")
@@ -143,7 +173,7 @@ def _docs(s, d):
     """A tree for each procedure that has accesses: its steps with the targets they touch, and where they stand."""
     steps = _accesses(s, d).select("l_orderkey", "start_line", "l_partkey", "access", "target").distinct()
     step = F.struct("start_line", "l_partkey", "access", "target")
-    rows = steps.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(step)).alias("s"))
+    rows = steps.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(step)).alias("s"))
     listed = F.transform("s", lambda x: F.struct(x["access"].alias("kind"), F.struct(x["start_line"].alias("start_line")).alias("span"), F.array(F.array(x["target"]), F.array()).alias("targets")))
     number = F.lit(5_000_000_000).cast("long") + F.col("l_orderkey")
     tree = F.struct(F.lit("procedure").alias("kind"), (F.col("l_orderkey") % 100).alias("line"), F.get("s", F.lit(0))["target"].alias("ref_node_id"), listed.alias("steps"))
@@ -179,7 +209,7 @@ def _merged(s, d):
 
 QUERIES = {
     "tree_fingerprints": lambda s, d: tree_fingerprints(_docs(s, d), _lines(s, d)),
-    "json_references": lambda s, d: references(opened(_docs(s, d))),
+    "json_references": lambda s, d: references_of(_docs(s, d)),
     "json_rewritten": _rewritten,
     "json_ids_restored": _restored,
     "json_merged": _merged,
