@@ -176,6 +176,71 @@ def test_bins_hold_as_many_documents_as_their_class():
     assert len(out) < len(lengths) + 2 * len(total)
 
 
+class Counted:
+    """A tokenizer that keeps how many texts it was given."""
+
+    def __init__(self, of):
+        self.of, self.texts = of, 0
+
+    def encode_batch_fast(self, texts, **how):
+        self.texts += len(texts)
+        return self.of.encode_batch_fast(texts, **how)
+
+
+def test_the_library_gets_all_new_plain_words_in_one_text():
+    import pandas as pd
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder = packing.ChunkTokenizer(Path(path).read_bytes())
+    library, coder.whole, coder.words = coder.whole, Counted(coder.whole), Counted(coder.words)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdeilnorstéñü") for _ in range(rng.randrange(1, 12)))
+    texts = [" ".join(word() + rng.choice(["", ".", ",", "!!", "'s", "-7(", "É"]) for _ in range(300)) for _ in range(10)]
+    ids, counts = coder.encode(pd.Series(texts))
+    assert ids.tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids] and len(counts) == 10
+    assert coder.whole.texts + coder.words.texts <= 2
+
+
+def test_ids_of_any_characters_are_the_librarys():
+    import json
+
+    import pandas as pd
+
+    parts = json.loads(Path(public_tokenizers.path("word_bpe_49k.json")).read_text())
+    other = parts | {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [parts["pre_tokenizer"]["pretokenizers"][0] | {"pattern": {"Regex": r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}}, parts["pre_tokenizer"]["pretokenizers"][1]]}}
+    some = ["<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "</w>", "'s", "'LL", "'", "12", "É", "é", "ß", "×", "÷", "e\u0301", "<\u0338", "K", "İ", "ſ", "ª", "½", "\xa0", "\x85", "\x1c", "\x7f", "日本", "Ж", "😀", "\u200d", "ﬁ", "word", "The"]
+    signs = [*some, *map(chr, range(1, 256))]
+    for file in (parts, other):
+        coder = packing.ChunkTokenizer(json.dumps(file).encode())
+        coder.known.most = 300  # forgets often
+        assert (coder.ends is None) == (file is other)
+        for seed in range(60):
+            rng = random.Random(seed)
+            of = rng.choice([some, signs, signs[32:]])
+            texts = ["".join(rng.choice(of) + rng.choice(["", "", " ", "\n\t"]) for _ in range(rng.choice([0, 1, 9, 80]))) for _ in range(rng.choice([1, 7]))]
+            ids, counts = coder.encode(pd.Series(texts))
+            want = [coder.whole.encode(t, add_special_tokens=False).ids for t in texts]
+            assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
+def test_recent_words_keep_their_ids():
+    import numpy as np
+
+    from tracelake.llm.ragged import Recent, gathered
+
+    known, of, learnt = Recent(40), lambda w: [w] * (w % 4), []
+    rng = random.Random(3)
+    for _ in range(60):
+        words = list({0, *(rng.randrange(400) for _ in range(25))})
+        fresh = known.missing(words)
+        learnt += fresh
+        known.add(fresh, np.array([x for w in fresh for x in of(w)], np.uint32), np.array([len(of(w)) for w in fresh], np.int64))
+        at = known.at(words)
+        assert gathered(known.flat, known.starts[at], known.lengths[at]).tolist() == [x for w in words for x in of(w)]
+        assert len(known.rows) <= 40 + 26 and len(known.former.rows if known.former else ()) <= 40 + 26
+    assert learnt.count(0) == 1 and len(learnt) > 400
+
+
 def test_propagation_cuts_fewer_edges(spark):
     rows = [(k, f"text {k // 4}" if k < 800 else f"own {k}") for k in range(1600)]
     rows += [(5000 + k, None) for k in range(3)] + [rows[0]]

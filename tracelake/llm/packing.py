@@ -10,9 +10,8 @@ are put end to end; the last of these sequences, which isn't full, is cut into l
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pandas as pd
@@ -22,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import documents, texts
-from .ragged import Lists, gathered, give_back, sliced
+from .ragged import Recent, gathered, give_back, sliced
 
 CAPACITY = 4096
 END = 2
@@ -32,25 +31,27 @@ CLASSES = 64
 TASK_IDS = 1 << 40
 
 
-#: Words that the tokenizer's normaliser and splitter leave whole, and a stop that they cut off.
-SIMPLE = re.compile("([a-zß-öø-ÿ]+)([.,]?)")
+#: What splits normalised texts, and what of it isn't letters in plain chunks (RE2 has the same order of preference).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SIGNS = r"'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[!-/:-@\[-`{-~]+"
+#: Chunks that normalisation only lower-cases.
+PLAIN = "^[!-~À-ÖØ-öø-ÿ]+$"
 
 
 _PRINTED = frozenset([*range(33, 127), *range(161, 173), *range(174, 256)])
 _OTHERS = [b for b in range(256) if b not in _PRINTED]
 #: The characters that stand for bytes in byte-level vocabularies.
 BYTE_NAMES = {b: chr(b) if b in _PRINTED else chr(256 + _OTHERS.index(b)) for b in range(256)}
-
-
-def as_bytes(word: str) -> str:
-    return word.encode().decode("latin-1").translate(BYTE_NAMES)
+#: The same as code units, but white space stays.
+BYTE_UNITS = np.array([b if b == 32 else ord(BYTE_NAMES[b]) for b in range(256)], "<u2")
 
 
 class ChunkTokenizer:
     """Ids of texts by a public tokenizer that never joins characters across ASCII white space.
 
-    A text is then the chunks between white space, each of which is encoded once and remembered. Most chunks are a word of lower-case Latin-1
-    letters, perhaps with a full stop or comma: normalisation and splitting leave it as it is, so the library's model alone encodes it.
+    A text is then the chunks between white space. Most are plain: their pieces (words, digits, runs of signs) are found in Arrow, and the library's model
+    alone encodes them, all pieces that aren't remembered in one call, as the last id of a piece is one of a word's end. The library
+    encodes other chunks whole, and all chunks of vocabularies that are split or normalised in another way.
     """
 
     def __init__(self, file: bytes) -> None:
@@ -60,23 +61,42 @@ class ChunkTokenizer:
 
         self.whole = Tokenizer.from_buffer(file)
         parts = json.loads(file)
-        self.by_bytes = any(x["type"] == "ByteLevel" for x in (parts["pre_tokenizer"] or {}).get("pretokenizers", ()))
-        self.words = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": None}))
-        self.known = Lists(250_000)
-        self.stops = {x: self._ids(self.whole, [x])[0] for x in ("", ".", ",")}
+        vocab, suffix = parts["model"]["vocab"], parts["model"].get("end_of_word_suffix")
+        splits, normal = ((parts[x] or {}).get(of, ()) for x, of in (("pre_tokenizer", "pretokenizers"), ("normalizer", "normalizers")))
+        as_known = [x["type"] for x in normal] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"] and splits[0]["pattern"] == {"Regex": SPLIT}
+        self.ends = None
+        if as_known and suffix and all(x in vocab and x + suffix in vocab for x in BYTE_NAMES.values()):
+            self.words = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}))
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for word, i in vocab.items() if word.endswith(suffix)]] = True
+        self.known = Recent(200_000)
 
     @staticmethod
-    def _ids(tokenizer, texts_: list[str]) -> list[list[int]]:
-        return [x.ids for x in tokenizer.encode_batch_fast(texts_, add_special_tokens=False)]
-
-    def chunks(self, chunks: list[str]) -> list[list[int]]:
-        """Ids of each chunk."""
-        found = {x: SIMPLE.fullmatch(x) for x in chunks} if self.by_bytes else {}
-        words = list({m[1] for m in found.values() if m})
-        others = [x for x in chunks if not found.get(x)]
-        of = dict(zip(words, self._ids(self.words, [x if x.isascii() else as_bytes(x) for x in words]), strict=True))
-        rest = dict(zip(others, self._ids(self.whole, others), strict=True))
-        return [of[m[1]] + self.stops[m[2]] if (m := found.get(x)) else rest[x] for x in chunks]
+    def _ids(tokenizer, texts_: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids end to end, and their number in each text."""
+        ids = [x.ids for x in tokenizer.encode_batch_fast(texts_, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
+
+    def _plain(self, chunks: pa.Array) -> pa.Array:
+        """Which chunks are plain; their pieces are so too."""
+        if self.ends is None:
+            return pa.repeat(False, len(chunks))
+        return pc.and_not(pc.match_substring_regex(chunks, PLAIN), pc.match_substring(chunks, "<|"))  # special tokens have names like <|this|>
+
+    def _pieces(self, chunks: pa.Array) -> pa.Array:
+        """The list of each chunk's pieces; a chunk that isn't plain is one."""
+        apart = pc.ascii_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(chunks), SIGNS, r" \0 "))
+        return pc.ascii_split_whitespace(pc.if_else(self._plain(chunks), apart, chunks))
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Remembers pieces."""
+        plain = self._plain(pa.array(fresh, pa.large_string())).to_numpy(zero_copy_only=False).tolist()
+        words, others = list(compress(fresh, plain)), [x for x, p in zip(fresh, plain, strict=True) if not p]
+        self.known.add(others, *self._ids(self.whole, others))
+        if words:
+            ids, _ = self._ids(self.words, [BYTE_UNITS[np.frombuffer(" ".join(words).encode(), np.uint8)].tobytes().decode("utf-16-le")])
+            self.known.add(words, ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1))
 
     def encode(self, text: pd.Series) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and their number in each text."""
@@ -88,19 +108,18 @@ class ChunkTokenizer:
         there = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
         ends = np.concatenate(([0], np.cumsum(there)))[ends - ends[0]]
         chunks = flat.filter(pa.array(there, pa.bool_())).dictionary_encode()
-        names = chunks.dictionary.to_pylist()
-        if len(self.known.rows) > self.known.most:
-            self.known.clear()
-        rows = self.known.rows
-        fresh = [x for x in names if x not in rows]
-        if fresh:
-            ids = self.chunks(fresh)
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.known.add(fresh, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths)
-        every = np.fromiter((rows[x] for x in names), np.int64, len(names))[chunks.indices.to_numpy()]
+        lists = self._pieces(chunks.dictionary)
+        pieces = lists.flatten().dictionary_encode()
+        names = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn(self.known.missing(names))
+        every = self.known.at(names)[pieces.indices.to_numpy()]
         lengths = self.known.lengths[every]
+        ids = gathered(self.known.flat, self.known.starts[every], lengths)
+        starts = np.concatenate(([0], np.cumsum(lengths)))[lists.offsets.to_numpy()]
+        every = chunks.indices.to_numpy()
+        lengths = np.diff(starts)[every]
         total = np.concatenate(([0], np.cumsum(lengths)))
-        return gathered(self.known.flat, self.known.starts[every], lengths), np.diff(total[ends])
+        return gathered(ids, starts[:-1][every], lengths), np.diff(total[ends])
 
 
 _OPEN: dict[bytes, ChunkTokenizer] = {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from copy import copy
 
 import numpy as np
 import pandas as pd
@@ -86,3 +87,31 @@ class Lists:
         self.lengths[n : n + k] = lengths
         self.used += len(flat)
         self.rows.update(zip(words, range(n, n + k), strict=True))
+
+
+class Recent(Lists):
+    """Words and their ids; each time that it holds more than `most`, it forgets those not asked for since the time before."""
+
+    def clear(self) -> None:
+        super().clear()
+        self.former = None
+
+    def missing(self, words: list) -> list:
+        """Those of different words that are not remembered. Rows found before this call are no longer valid."""
+        if len(self.rows) > self.most:
+            former = copy(self)
+            self.clear()
+            self.former, former.former = former, None
+        words = [x for x in words if x not in self.rows]
+        if self.former is None:
+            return words
+        old = self.former.rows
+        back = [x for x in words if x in old]
+        at = np.fromiter((old[x] for x in back), np.int64, len(back))
+        lengths = self.former.lengths[at]
+        self.add(back, gathered(self.former.flat, self.former.starts[at], lengths), lengths)
+        return [x for x in words if x not in old]
+
+    def at(self, words: list) -> np.ndarray:
+        """Rows of remembered words."""
+        return np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
