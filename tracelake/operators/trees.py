@@ -19,6 +19,10 @@ from tracelake.sources.scratch import written
 POSITION_KEYS = ("line", "start_line", "end_line", "start_column", "end_column", "column", "location", "source", "offset", "span")
 #: Numbers up to this size, and texts of up to so many digits, are no compact identifiers.
 SMALL, FEW_DIGITS = 2**31, 9
+#: A document of up to so many characters is changed as one text; of a longer one, each part is a row.
+SHORT = 100_000
+#: Pieces of a flat text: a text (with a colon if it is a key), a number, anything between.
+PIECE = r'"[^"]*+":?+|-?[0-9][-+.0-9eE]*+|[^"0-9-]++'
 
 
 def _kind(value: Column) -> Column:
@@ -128,7 +132,7 @@ def restored(parts: DataFrame, names: DataFrame) -> DataFrame:
     """parts as from `texts`, with value; names: number, new. Large whole numbers, and long texts of digits, that are a compact identifier become its name."""
     number = F.when(F.schema_of_variant("value") == "BIGINT", F.try_variant_get("value", "$", "bigint"))
     digits = F.try_variant_get("value", "$", "string")
-    number = F.coalesce(F.when(F.abs(number) > SMALL, number), F.when((F.col("kind") == "text") & (F.char_length(digits) > FEW_DIGITS) & digits.rlike("^-*[0-9]+$"), F.expr("try_cast(try_variant_get(value, '$', 'string') as bigint)")))
+    number = F.coalesce(F.when((number > SMALL) | (number < -SMALL), number), F.when((F.col("kind") == "text") & (F.char_length(digits) > FEW_DIGITS) & digits.rlike("^-*[0-9]+$"), F.expr("try_cast(try_variant_get(value, '$', 'string') as bigint)")))
     named = parts.withColumn("number", number).join(names.groupBy("number").agg(F.min("new").alias("new")), "number", "left")
     return named.select("id", "path", "kind", F.when(F.col("new").isNotNull(), _quoted(F.col("new"))).otherwise(F.col("text")).alias("text"))
 
@@ -169,6 +173,48 @@ def tree_fingerprints(docs: DataFrame, lines: DataFrame, key: str = "semantic_tr
     return rows.select("id", F.substring(F.sha2(payload, 256), 1, 20).alias("fingerprint"))
 
 
+def _parsed(doc: str = "doc") -> Column:
+    return F.coalesce(F.try_parse_json(doc), F.parse_json(F.lit("null")))
+
+
+def _flat(text: Column) -> Column:
+    """JSON text whose quotes only begin and end texts: control characters, which JSON has escaped, stand for escaped backslashes and quotes."""
+    return F.replace(F.replace(text, F.lit("\\\\"), F.lit("\1")), F.lit('\\"'), F.lit("\2"))
+
+
+def _json(flat: Column) -> Column:
+    return F.replace(F.replace(flat, F.lit("\2"), F.lit('\\"')), F.lit("\1"), F.lit("\\\\"))
+
+
+def _replaced(docs: DataFrame, names: DataFrame, key, long: Column, by_parts) -> DataFrame:
+    """docs: id, doc; names: key, new. id, doc: pieces of a document that have a key among the names become the new text. `key` makes it of a piece, or null.
+
+    A document is one row: only pieces with a key are looked up. Those for which `long` holds are changed `by_parts`.
+    """
+    long = F.coalesce(long | (F.char_length("doc") > SHORT), F.lit(False))
+    docs = written(docs.select("id", F.when(long, F.col("doc")).alias("doc"), F.when(~long, _flat(F.to_json(_parsed()))).alias("flat")), compression="zstd")
+    pieces = docs.where("flat is not null").select("id", F.regexp_extract_all("flat", F.lit(PIECE), F.lit(0)).alias("pieces"))
+    keyed = F.filter(F.transform(F.array_distinct("pieces"), lambda p: F.struct(p.alias("piece"), key(p).alias("key"))), lambda p: p["key"].isNotNull())
+    new = names.where("key is not null").groupBy("key").agg(_flat(_quoted(F.min("new"))).alias("new")).where("new <> 'null'")
+    found = pieces.select("id", F.explode(keyed).alias("p")).select("id", "p.*").join(new, "key")
+    found = found.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("piece", "new"))).alias("new"))
+    rows = pieces.join(found, "id", "left")
+    text = F.array_join(F.when(F.col("new").isNull(), F.col("pieces")).otherwise(F.transform("pieces", lambda p: F.coalesce(F.try_element_at("new", p), p))), "")
+    rows, rest = rows.select("id", _json(text).alias("doc")), docs.where("flat is null").select("id", "doc")
+    return rows if rest.isEmpty() else rows.unionByName(by_parts(texts(opened(rest), also=("value",))))
+
+
+def restored_docs(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """docs: id, doc; names: number, new. `restored` for whole documents. A fraction may read like a whole number once it is parsed, so documents with one are changed part by part."""
+
+    def number(p: Column) -> Column:
+        whole = F.when(p.rlike("^-?[0-9]+$"), p.try_cast("bigint"))
+        digits = F.when(p.rlike(f'^"(?=.{{{FEW_DIGITS + 1}}})-*[0-9]+"$'), F.btrim(p, F.lit('"')).try_cast("bigint"))
+        return F.coalesce(F.when((whole > SMALL) | (whole < -SMALL), whole), digits)
+
+    return _replaced(docs, names.select(F.col("number").alias("key"), "new"), number, F.col("doc").rlike("[0-9][.eE]"), lambda parts: closed(restored(parts, names)))
+
+
 def _docs(s, d):
     """A tree for each procedure that has accesses: its steps with the targets they touch, and where they stand."""
     steps = _accesses(s, d).select("l_orderkey", "start_line", "l_partkey", "access", "target").distinct()
@@ -185,18 +231,14 @@ def _lines(s, d):
     return call_edges(s, d).where("source like 'procedure:%'").select(F.col("source").alias("id"), F.concat("edge_type", F.lit("||"), "target").alias("line"))
 
 
-def _parts(s, d):
-    return texts(opened(_docs(s, d)), also=("value",))
-
-
 def _rewritten(s, d):
     names = call_nodes(s, d).where("node_type = 'VIEW'").select(F.col("stable_id").alias("old"), F.concat(F.lit("table:"), F.substring_index("stable_id", ":", -1)).alias("new"))
-    return closed(rewritten(_parts(s, d), names))
+    return closed(rewritten(texts(opened(_docs(s, d)), also=("value",)), names))
 
 
 def _restored(s, d):
     names = table(s, d, "orders").select((F.lit(5_000_000_000).cast("long") + F.col("o_orderkey")).alias("number"), F.concat(F.lit("screen:"), F.col("o_custkey").cast("string")).alias("new"))
-    return closed(restored(_parts(s, d), names))
+    return restored_docs(_docs(s, d), names)
 
 
 def _merged(s, d):
