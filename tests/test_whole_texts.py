@@ -39,3 +39,14 @@ def test_numbers_are_restored_as_by_parts(spark, short):
 def test_json_ids_are_restored_without_opening(spark, monkeypatch):
     monkeypatch.delattr(trees, "opened")
     assert all(json.loads(r.doc)["owner"].startswith("screen:") for r in trees.QUERIES["json_ids_restored"](spark, SF).collect())
+
+
+def test_names_are_rewritten_as_by_parts(spark, short):
+    docs = frames(spark)
+    names = spark.createDataFrame([("n1", 'new "1"\\'), ("x", "y"), ('a "n1" \\', ","), ("n2", None), (None, "z"), ("", "none")], "old string, new string")
+    assert got(trees.rewritten_docs(docs, names)) == got(trees.closed(trees.rewritten(parts_of(docs), names)))
+
+
+def test_json_is_rewritten_without_opening(spark, monkeypatch):
+    monkeypatch.delattr(trees, "opened")
+    assert not any("view:" in r.doc for r in trees.QUERIES["json_rewritten"](spark, SF).collect())

@@ -204,6 +204,13 @@ def _replaced(docs: DataFrame, names: DataFrame, key, long: Column, by_parts) ->
     return rows if rest.isEmpty() else rows.unionByName(by_parts(texts(opened(rest), also=("value",))))
 
 
+def rewritten_docs(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """docs: id, doc; names: old, new. `rewritten` for whole documents."""
+    text = lambda p: F.when(F.startswith(p, F.lit('"')) & F.endswith(p, F.lit('"')), p)
+    keys = names.where("old is not null").select(_flat(_quoted(F.col("old"))).alias("key"), "new")
+    return _replaced(docs, keys, text, F.lit(False), lambda parts: closed(rewritten(parts, names)))
+
+
 def restored_docs(docs: DataFrame, names: DataFrame) -> DataFrame:
     """docs: id, doc; names: number, new. `restored` for whole documents. A fraction may read like a whole number once it is parsed, so documents with one are changed part by part."""
 
@@ -233,7 +240,7 @@ def _lines(s, d):
 
 def _rewritten(s, d):
     names = call_nodes(s, d).where("node_type = 'VIEW'").select(F.col("stable_id").alias("old"), F.concat(F.lit("table:"), F.substring_index("stable_id", ":", -1)).alias("new"))
-    return closed(rewritten(texts(opened(_docs(s, d)), also=("value",)), names))
+    return rewritten_docs(_docs(s, d), names)
 
 
 def _restored(s, d):
