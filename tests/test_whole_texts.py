@@ -50,3 +50,16 @@ def test_names_are_rewritten_as_by_parts(spark, short):
 def test_json_is_rewritten_without_opening(spark, monkeypatch):
     monkeypatch.delattr(trees, "opened")
     assert not any("view:" in r.doc for r in trees.QUERIES["json_rewritten"](spark, SF).collect())
+
+
+def test_fingerprints_as_by_parts(spark, short, monkeypatch):
+    docs = frames(spark)
+    lines = spark.createDataFrame([("signs", 'READS||"a"'), ("positions", "b"), ("positions", "a")], "id string, line string")
+    now = {r.id: r.fingerprint for r in trees.tree_fingerprints(docs, lines).collect()}
+    monkeypatch.setattr(trees, "SHORT", -1)
+    assert now == {r.id: r.fingerprint for r in trees.tree_fingerprints(docs, lines).collect()} and len(now) == docs.count()
+
+
+def test_trees_are_fingerprinted_without_opening(spark, monkeypatch):
+    monkeypatch.delattr(trees, "opened")
+    assert trees.QUERIES["tree_fingerprints"](spark, SF).count() > 100

@@ -7,6 +7,7 @@ for each step into an object, a position for each into an array. Closed document
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ POSITION_KEYS = ("line", "start_line", "end_line", "start_column", "end_column",
 SMALL, FEW_DIGITS = 2**31, 9
 #: A document of up to so many characters is changed as one text; of a longer one, each part is a row.
 SHORT = 100_000
+#: Signs of structure, and what stands for them inside texts.
+SIGNS, SHIELDS = "{}[],:", "\3\4\5\6\7\x0b"
 #: Pieces of a flat text: a text (with a colon if it is a key), a number, anything between.
 PIECE = r'"[^"]*+":?+|-?[0-9][-+.0-9eE]*+|[^"0-9-]++'
 
@@ -161,18 +164,6 @@ def merged(left: DataFrame, right: DataFrame) -> DataFrame:
     return closed(rows)
 
 
-def tree_fingerprints(docs: DataFrame, lines: DataFrame, key: str = "semantic_tree") -> DataFrame:
-    """docs: id, doc; lines: id, line (an edge type, operation and target). id, fingerprint: the first 20 digits of the digest of a node's sorted edges with its tree, positions left out."""
-    every = opened(docs)
-    parts = without_keys(texts(every))
-    under = parts.where(F.get("path", F.lit(0))["key"] == key).withColumn("path", F.slice("path", 2, 1_000_000))
-    trees = closed(under, spaced=True).select("id", F.when(~F.col("doc").isin("{}", "[]", '""', "0", "false"), F.col("doc")).alias("tree"))
-    listed = lines.groupBy("id").agg(F.array_sort(F.collect_list("line")).alias("l")).select("id", F.array_join(F.transform("l", _quoted), ", ").alias("edges"))
-    rows = every.where(F.size("path") == 0).select("id").join(listed, "id", "left").join(trees, "id", "left")
-    payload = F.concat(F.lit('{"edges": ['), F.coalesce("edges", F.lit("")), F.lit('], "tree": '), F.coalesce("tree", F.lit("null")), F.lit("}"))
-    return rows.select("id", F.substring(F.sha2(payload, 256), 1, 20).alias("fingerprint"))
-
-
 def _parsed(doc: str = "doc") -> Column:
     return F.coalesce(F.try_parse_json(doc), F.parse_json(F.lit("null")))
 
@@ -186,6 +177,49 @@ def _json(flat: Column) -> Column:
     return F.replace(F.replace(flat, F.lit("\2"), F.lit('\\"')), F.lit("\1"), F.lit("\\\\"))
 
 
+def _shielded(flat: Column, signs: str, by: str) -> Column:
+    """A flat text with the signs inside its texts replaced, those between them as they are."""
+    inside = F.transform(F.split(flat, '"'), lambda t, i: F.when(i % 2 == 1, F.translate(t, signs, by)).otherwise(t))
+    return F.array_join(inside, '"')
+
+
+def _spaced_without(flat: Column, keys: tuple[str, ...]) -> tuple[Column, Column]:
+    """A flat text in spaced form without what stands under the keys, and whether some is left, which holds more than one level."""
+    shielded = _shielded(flat, SIGNS, SHIELDS)
+    name = f'"(?:{"|".join(re.escape(k) for k in keys)})":'
+    member = "(?<=[{,])" + name + r'(?:"[^"]*+"|\{[^{}\[\]]*+\}|\[[^{}\[\]]*+\]|[^"{}\[\],]++)(?:,|(?=\}))'
+    rest = F.replace(F.regexp_replace(shielded, member, ""), F.lit(",}"), F.lit("}"))
+    spaced = F.replace(F.replace(rest, F.lit(","), F.lit(", ")), F.lit(":"), F.lit(": "))
+    return F.translate(spaced, SHIELDS, SIGNS), rest.rlike(name)
+
+
+def _trees_by_parts(docs: DataFrame, key: str) -> DataFrame:
+    parts = without_keys(texts(opened(docs)))
+    under = parts.where(F.get("path", F.lit(0))["key"] == key).withColumn("path", F.slice("path", 2, 1_000_000))
+    return closed(under, spaced=True).select("id", F.col("doc").alias("tree"))
+
+
+def tree_fingerprints(docs: DataFrame, lines: DataFrame, key: str = "semantic_tree") -> DataFrame:
+    """docs: id, doc; lines: id, line (an edge type, operation and target). id, fingerprint: the first 20 digits of the digest of a node's sorted edges with its tree, positions left out.
+
+    A tree is one text; only where a position holds more than one level, or the document is long, is it opened and closed.
+    """
+    long = F.coalesce(F.char_length("doc") > SHORT, F.lit(False))
+    # Made inside explode, a text is made once.
+    flat = F.explode(F.array(F.when(~long, _flat(F.to_json(F.try_variant_get(_parsed(), f"$['{key}']", "variant"))))))
+    flats = docs.select("id", "doc", long.alias("long"), flat.alias("flat"))
+    text, left = _spaced_without(F.col("flat"), POSITION_KEYS)
+    made = flats.select("id", "doc", F.explode(F.array(F.struct((F.col("long") | F.coalesce(left, F.lit(False))).alias("parts"), _json(text).alias("tree")))).alias("t"))
+    made = written(made.select("id", F.when(F.col("t.parts"), F.col("doc")).alias("doc"), "t.parts", F.when(~F.col("t.parts"), F.col("t.tree")).alias("tree")), compression="zstd")
+    trees, rest = made.where("not parts").select("id", "tree"), made.where("parts").select("id", "doc")
+    if not rest.isEmpty():
+        trees = trees.unionByName(rest.select("id").join(_trees_by_parts(rest, key), "id", "left"))
+    trees = trees.withColumn("tree", F.when(~F.col("tree").isin("{}", "[]", '""', "0", "false"), F.col("tree")))
+    listed = lines.groupBy("id").agg(F.array_sort(F.collect_list("line")).alias("l")).select("id", F.array_join(F.transform("l", _quoted), ", ").alias("edges"))
+    payload = F.concat(F.lit('{"edges": ['), F.coalesce("edges", F.lit("")), F.lit('], "tree": '), F.coalesce("tree", F.lit("null")), F.lit("}"))
+    return trees.join(listed, "id", "left").select("id", F.substring(F.sha2(payload, 256), 1, 20).alias("fingerprint"))
+
+
 def _replaced(docs: DataFrame, names: DataFrame, key, long: Column, by_parts) -> DataFrame:
     """docs: id, doc; names: key, new. id, doc: pieces of a document that have a key among the names become the new text. `key` makes it of a piece, or null.
 
